@@ -119,7 +119,7 @@ def _(t):
     return t.table("documents").select("doc_id", F.md5(text.squash_name(C("text"))).alias("digest"))
 
 
-@query("token_set", f"SELECT doc_id, CAST(len(list_filter(list_distinct(string_split({norm('text')}, ' ')), w -> w <> '')) AS BIGINT) AS words FROM documents")
+@query("token_set", f"SELECT doc_id, CAST(len(list_filter(list_distinct(string_split({norm('text')}, ' ')), lambda w: w <> '')) AS BIGINT) AS words FROM documents")
 def _(t):
     words = text.token_set(text.normalize_name(C("text")))
     return t.table("documents").select("doc_id", F.size(words).cast("bigint").alias("words"))

@@ -10,6 +10,7 @@ from heliospan.catalog.registry import query
 from heliospan.catalog.sources import DAY_START, IV_OUT, incoming_intervals, with_epoch
 from heliospan.functions import clock
 from heliospan.operators import keep, live, matching, merge, people, readings, views
+from heliospan.session import materialize
 from heliospan.standins import AS_OF, DAYS_AS_OF, Tables
 
 C = F.col
@@ -405,13 +406,13 @@ def _(t):
 
 
 def route(t: Tables) -> DataFrame:
-    return matching.route_matches(t.leads, t.stations, matching.best_match(t.leads, t.stations))
+    return materialize(matching.route_matches(t.leads, t.stations, matching.best_match(t.leads, t.stations)), "routed")
 
 
 @query("match_candidates", """SELECT ln AS lname, coalesce(c, '') AS city_key, max(score) AS score, arg_min(st, -score * 1000000 + st) AS ord FROM
  (SELECT p.ln, l.c, p.st, p.score FROM pair_score p JOIN lead_name l ON l.id = p.id AND l.ord = p.name_ord) WHERE score > 0 GROUP BY 1, 2""")
 def _(t):
-    return matching.name_candidates(matching.lead_names(t.leads), matching.station_names(t.stations))
+    return matching.name_candidates(matching.lead_names(t.leads), matching.station_names(t.stations)).drop("is_equal")
 
 
 @query("best_match", "SELECT id AS lead_id, score, st AS station_ord, raw AS matched_on FROM best")

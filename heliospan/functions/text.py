@@ -21,9 +21,9 @@ def token_set(normal: Column) -> Column:
 
 def token_overlap(left: Column, right: Column) -> Column:
     """Shared words over the smaller word count; 0 when either side has none."""
-    smaller = F.least(F.size(left), F.size(right))
-    shared = F.size(F.array_intersect(left, right))
-    return F.when(smaller > 0, shared / smaller).otherwise(F.lit(0.0))
+    sizes = [F.coalesce(F.array_size(words), F.lit(0)) for words in (left, right)]
+    shared = F.array_size(F.array_intersect(left, right))
+    return F.when((sizes[0] > 0) & (sizes[1] > 0), shared / F.least(*sizes)).otherwise(F.lit(0.0))
 
 
 def squash_name(name: Column) -> Column:
@@ -59,5 +59,5 @@ def format_income(value: Column, unit: Column) -> Column:
     name = F.trim(first_truthy(unit, F.lit("PHP")))
     magnitude = F.upper(F.regexp_extract(name, r"(?i)^(K|M)?\s*(.+)$", 1))
     currency = F.regexp_extract(name, r"(?i)^(K|M)?\s*(.+)$", 2)
-    number = F.format_number(F.coalesce(value, F.lit(0.0)), "#,##0.###")
+    number = F.call_function("format_number", F.coalesce(value, F.lit(0.0)), F.lit("#,##0.###"))
     return F.concat(currency, F.lit(" "), number, magnitude)

@@ -32,6 +32,7 @@ from heliospan import schemas
 from heliospan.functions.energy import station_status
 from heliospan.functions.numbers import first_truthy, round_n
 from heliospan.functions.text import normalize_name, token_set
+from heliospan.session import materialize
 
 # Names with more shared words than this take the pair path of ``_wide_pairs``;
 # the subset index would need 2^n rows for them.
@@ -209,11 +210,12 @@ def _overlap_base(lookups: DataFrame, members: DataFrame, contained: DataFrame)
     return rows.groupBy("lname").agg(F.max(_candidate(F.col("score"))).alias("best"))
 
 
-def _wide_pairs(lead_words: DataFrame, station_words: DataFrame, contained: DataFrame) -> DataFrame:
+def _wide_pairs(lead_words: DataFrame, station_words: DataFrame, contained: DataFrame) -> DataFrame | None:
     """Overlap of pairs with a name too wide for the subset index.
 
     The index covers one shared word. A pair with more shares a word that is not
     the most frequent one of either name, so that word is left out on both sides.
+    None when no name is that wide.
     """
 
     def probes(rows: DataFrame, name: str, flag: str) -> DataFrame:
@@ -222,6 +224,8 @@ def _wide_pairs(lead_words: DataFrame, station_words: DataFrame, contained: Data
         return rows.select(name, wide.alias(flag), F.explode(rare).alias("word"))
 
     left, right = probes(lead_words, "lname", "_lwide"), probes(station_words, "sname", "_swide")
+    if left.filter("_lwide").isEmpty() and right.filter("_swide").isEmpty():
+        return None
     pairs = (
         left.filter("_lwide").join(right, "word").select("lname", "sname")
         .union(left.filter("not _lwide").join(right.filter("_swide"), "word").select("lname", "sname"))
@@ -230,28 +234,30 @@ def _wide_pairs(lead_words: DataFrame, station_words: DataFrame, contained: Data
     pairs = pairs.join(contained.select("lname", "sname"), ["lname", "sname"], "left_anti")
     sets = token_set(F.col("lname")), token_set(F.col("sname"))
     shared = F.size(F.array_intersect(*sets))
-    return pairs.withColumn("score", shared / F.least(F.size(sets[0]), F.size(sets[1])))
+    scored = pairs.withColumn("score", shared / F.least(F.size(sets[0]), F.size(sets[1])))
+    return scored.join(station_words.select("sname", "ord"), "sname")
 
 
 def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     """Best candidate station per distinct lead name and city.
 
     ``names`` comes from ``lead_names`` and ``stations`` from ``station_names``.
+    The tables below are each used several times, so they are written once.
     """
-    keys = names.select("lname", "city_key").distinct()
+    keys = materialize(names.select("lname", "city_key").distinct(), "lead-keys")
+    stations = materialize(stations, "station-names")
     lnames = keys.select("lname").distinct()
     cities = keys.select(F.col("city_key").alias("needle")).filter("needle <> ''").distinct()
-    in_city = contained_names(cities, stations.select(F.col("sname").alias("text"))).select(
-        F.col("needle").alias("city_key"), F.col("text").alias("sname")
-    )
-    contained = contained_pairs(lnames, stations).join(stations, "sname")
+    city_hits = contained_names(cities, stations.select(F.col("sname").alias("text")))
+    in_city = materialize(city_hits.select(F.col("needle").alias("city_key"), F.col("text").alias("sname")), "cities")
+    contained = materialize(contained_pairs(lnames, stations).join(stations, "sname"), "contained")
 
     shared = _shared_words(lnames, stations)
-    lead_words = _with_shared_words(lnames, "lname", shared)
-    station_words = _with_shared_words(stations, "sname", shared)
+    lead_words = materialize(_with_shared_words(lnames, "lname", shared), "lead-words")
+    station_words = materialize(_with_shared_words(stations, "sname", shared).join(stations, "sname"), "station-words")
     lookups = _subsets(lead_words)
-    members = _subsets(station_words).withColumnRenamed("size", "station_size").join(stations, "sname")
-    wide = _wide_pairs(lead_words, station_words, contained).join(stations, "sname")
+    members = _subsets(station_words).withColumnRenamed("size", "station_size")
+    wide = _wide_pairs(lead_words, station_words, contained)
 
     # Without the city: one best candidate per lead name.
     equal = lnames.join(stations, F.col("lname") == F.col("sname")).select(
@@ -260,12 +266,10 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     holding = contained.groupBy("lname").agg(F.min("ord").alias("ord")).select(
         "lname", _candidate(F.lit(schemas.CONTAINED_SCORE)).alias("best")
     )
-    plain = (
-        equal.unionByName(holding)
-        .unionByName(_overlap_base(lookups, members, contained.select("lname", "ord")))
-        .unionByName(wide.select("lname", _candidate(F.col("score")).alias("best")))
-        .groupBy("lname").agg(F.max("best").alias("plain"))
-    )
+    plain = equal.unionByName(holding).unionByName(_overlap_base(lookups, members, contained.select("lname", "ord")))
+    if wide is not None:
+        plain = plain.unionByName(wide.select("lname", _candidate(F.col("score")).alias("best")))
+    plain = plain.groupBy("lname").agg(F.max("best").alias("plain"))
 
     # With the city in the station name: one best candidate per name and city.
     city_members = members.join(in_city, "sname").groupBy("subset", "station_size", "city_key").agg(
@@ -273,31 +277,37 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     )
     city_overlap = keys.filter("city_key <> ''").join(lookups, "lname").join(city_members, ["subset", "city_key"])
     city_holding = contained.join(in_city, "sname").groupBy("lname", "city_key").agg(F.min("ord").alias("ord"))
-    boosted = (
-        city_overlap.select("lname", "city_key", _candidate(_with_bonus(_overlap_score())).alias("best"))
-        .unionByName(city_holding.select("lname", "city_key", _candidate(_with_bonus(F.lit(schemas.CONTAINED_SCORE))).alias("best")))
-        .unionByName(wide.join(in_city, "sname").select("lname", "city_key", _candidate(_with_bonus(F.col("score"))).alias("best")))
-        .groupBy("lname", "city_key").agg(F.max("best").alias("boosted"))
+
+    def with_city(rows: DataFrame, score: Column) -> DataFrame:
+        return rows.select("lname", "city_key", _candidate(_with_bonus(score)).alias("best"))
+
+    boosted = with_city(city_overlap, _overlap_score()).unionByName(
+        with_city(city_holding, F.lit(schemas.CONTAINED_SCORE))
     )
+    if wide is not None:
+        boosted = boosted.unionByName(with_city(wide.join(in_city, "sname"), F.col("score")))
+    boosted = boosted.groupBy("lname", "city_key").agg(F.max("best").alias("boosted"))
     city_only = in_city.join(stations, "sname").groupBy("city_key").agg(F.min("ord").alias("ord")).select(
         "city_key", _candidate(F.lit(schemas.CITY_BONUS)).alias("city_only")
     )
     joined = keys.join(plain, "lname", "left").join(boosted, ["lname", "city_key"], "left").join(city_only, "city_key", "left")
     best = F.greatest("plain", "boosted", "city_only")
-    return joined.withColumn("_b", best).filter("_b is not null").select(
+    chosen = joined.withColumn("_b", best).filter("_b is not null").select(
         "lname", "city_key", F.col("_b.score").alias("score"), (-F.col("_b.neg_ord")).alias("ord")
     )
+    same = stations.select(F.col("sname").alias("lname"), F.col("ord").alias("_equal_ord"))
+    return chosen.join(same, "lname", "left").select(
+        "lname", "city_key", "score", "ord", F.coalesce(F.col("ord") == F.col("_equal_ord"), F.lit(False)).alias("is_equal")
+    )
 
 
 def best_match(leads: DataFrame, stations: DataFrame) -> DataFrame:
     """Best station, raw score and matched name of every lead that has any candidate."""
-    names, snames = lead_names(leads), station_names(stations)
-    found = names.join(name_candidates(names, snames), ["lname", "city_key"]).join(
-        snames.select("ord", "sname"), "ord"
-    )
+    names = lead_names(leads)
+    found = names.join(name_candidates(names, station_names(stations)), ["lname", "city_key"])
     # Earliest station, then an equal name, then field order.
     ranked = found.groupBy("lead_id").agg(F.max(F.struct(
-        "score", (-F.col("ord")).alias("neg_ord"), (F.col("lname") == F.col("sname")).alias("is_equal"),
+        "score", (-F.col("ord")).alias("neg_ord"), "is_equal",
         (-F.col("name_ord")).alias("neg_name"), F.col("lead_name").alias("matched_on"),
     )).alias("b"))
     return ranked.select(

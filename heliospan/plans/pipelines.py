@@ -17,6 +17,7 @@ from heliospan.functions import clock, energy
 from heliospan.functions.numbers import first_truthy, round_n, strict_float, to_float
 from heliospan.operators import live as live_ops
 from heliospan.operators import matching, merge, people, readings, views
+from heliospan.session import materialize
 
 
 @dataclass
@@ -212,6 +213,7 @@ def lead_matching(leads: DataFrame, stages: DataFrame, stations: DataFrame) -> M
         raise ValueError("no installed or won stage")
     chosen = matching.leads_in_stages(leads, used)
     routed = matching.route_matches(chosen, stations, matching.best_match(chosen, stations))
+    routed = materialize(routed, "routed")
     return Matches(routed, matching.unmatched_stations(stations, routed), matching.match_summary(routed, stations))
 
 
