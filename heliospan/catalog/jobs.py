@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliospan.catalog.operators import BUCKETS, DAY_OUT, LIVE, TOTALS, WINDOW_SQL, buckets, live_points, summary_sql
+from heliospan.catalog.operators import BUCKETS, DAY_OUT, LIVE, TOTALS, WINDOW_SQL, summary_sql
 from heliospan.catalog.oracle import LEVEL, STATE, STATUS, rnd
 from heliospan.catalog.registry import query
-from heliospan.catalog.sources import DAY_START, DAY_VALUES, IV_OUT, SYSTEM_COLUMNS, SYSTEM_SQL, land, with_epoch
+from heliospan.catalog.sources import DAY_START, DAY_VALUES, SYSTEM_COLUMNS, SYSTEM_SQL, land, with_epoch
 from heliospan.operators import readings
 from heliospan.plans import pipelines
 from heliospan.session import scratch_dir
@@ -142,17 +142,12 @@ def _(t):
 
 # Streams: payload files derived from the tables, run to the end, final state returned.
 
-def land_points(t: Tables, day: str | None = None) -> str:
-    """Landed day curves, one folder for all days."""
+def land_points(t: Tables) -> str:
+    """Landed day curves: one fetch, every point on its own line."""
     path = scratch_dir(t.spark, "curves")
-    fields = [c for c in t.points.columns if c not in ("station_id", "day", "pos")]
-    rows = t.points if day is None else t.points.filter(C("day") == day)
-    # One line per station and five-minute step holds the few points of that step, in order.
-    step = rows.groupBy("station_id", "day", F.coalesce("dataTimestamp", "time").alias("step")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("points")
-    )
-    plain = F.transform("points", lambda p: F.struct(*[p[f].alias(f) for f in fields]))
-    land(step, F.to_json(plain), station_id=C("station_id"), day=C("day")).repartition(4, "station_id").write.json(path)
+    point = F.struct(*[c for c in t.points.columns if c not in ("station_id", "day", "pos")])
+    lines = land(t.points, F.to_json(F.array(point)), station_id=C("station_id"), day=C("day"), seq=F.lit(1).cast("bigint"), page_no=C("pos"))
+    lines.write.json(path)
     return path
 
 
@@ -191,12 +186,10 @@ def _(t):
  FROM stored_days s LEFT JOIN udc u ON u.user_id = s.user_id AND u.target = s.epoch""")
 def _(t):
     path, table = scratch_dir(t.spark, "months"), scratch_dir(t.spark, "daily")
-    fields = [c for c in t.days.columns if c not in ("station_id", "month", "pos")]
-    # One line per station and day holds the copies of that day, in payload order.
-    per_day = t.days.filter("dateStr <> ''").groupBy("station_id", "dateStr").agg(
-        F.sort_array(F.collect_list(F.struct("month", "pos", *fields))).alias("days"), F.max("month").alias("month"))
-    plain = F.transform("days", lambda d: F.struct(*[d[f].alias(f) for f in fields]))
-    land(per_day, F.to_json(plain), station_id=C("station_id"), month=C("month")).write.json(path)
+    record = F.struct(*[c for c in t.days.columns if c not in ("station_id", "month", "pos")])
+    # Order, line and part number as one page number.
+    page = (C("pos.l_orderkey") * 10 + C("pos.l_linenumber")) * 10000000 + C("pos.l_partkey")
+    land(t.days, F.to_json(F.array(record)), station_id=C("station_id"), month=C("month"), seq=F.lit(1).cast("bigint"), page_no=page).write.json(path)
     local_month = F.date_format(files.clock.local_date(C("timestamp")), "yyyy-MM")
     t.stored_days.withColumn("local_month", local_month).write.partitionBy("local_month").parquet(table)
     battery = readings.station_battery(t.inverter_list, t.inverters)
@@ -206,15 +199,9 @@ def _(t):
     return with_epoch(t.spark.read.parquet(table), "user_id", *DAY_VALUES)
 
 
-@query("stream_live_buckets", BUCKETS.replace("(day < '2024-01-30' OR (day = '2024-01-30' AND", "(day < '2025' OR (day = '2025' AND"))
+@query("stream_live_buckets", BUCKETS)
 def _(t):
     table = scratch_dir(t.spark, "buckets")
-    files.stream_live_buckets(t.spark, land_points(t), table, scratch_dir(t.spark, "state")).awaitTermination()
+    files.stream_live_buckets(t.spark, land_points(t), table, scratch_dir(t.spark, "state"), lambda: AS_OF).awaitTermination()
     rows = files.current_buckets(t.spark, table)
-    energy = files.live_ops.energy
-
-    def total(c):
-        return files.live_ops.round_n(energy.kwh_of_point(C(c)), 4)
-
-    return rows.select("station_id", C("day").cast("string").alias("day"), C("slot").cast("bigint").alias("slot"), (C("slot") + 2).cast("bigint").alias("hour"),
-                       total("watts").alias("production_kwh"), total("load_w").alias("consumption_kwh"))
+    return rows.select("station_id", "day", C("slot").cast("bigint").alias("slot"), C("hour").cast("bigint").alias("hour"), "production_kwh", "consumption_kwh")

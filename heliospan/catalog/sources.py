@@ -19,7 +19,7 @@ C = F.col
 def land(rows: DataFrame, data: Column, success=None, code=None, **request) -> DataFrame:
     """Landed rows: request fields and the envelope around ``data``."""
     fields = {n: request.get(n, F.lit(None).cast(kind)) for n, kind in
-              (("station_id", "string"), ("entity_id", "string"), ("day", "string"), ("month", "string"), ("page_no", "int"))}
+              (("station_id", "string"), ("entity_id", "string"), ("day", "string"), ("month", "string"), ("seq", "bigint"), ("page_no", "bigint"))}
     return rows.select(
         *[c.alias(n) for n, c in fields.items()],
         (F.lit(True) if success is None else success).alias("success"),
@@ -31,7 +31,7 @@ def land(rows: DataFrame, data: Column, success=None, code=None, **request) -> D
 def station_pages(t: Tables) -> DataFrame:
     fields = ("id", "stationName", "sno", "state", "capacity", "power", "dayEnergy", "allEnergy")
     page = F.struct((C("ord") + 1).alias("total"), F.array(F.struct(*fields)).alias("records"))
-    return land(t.stations, F.to_json(F.struct(page.alias("page"))), page_no=C("ord").cast("int"))
+    return land(t.stations, F.to_json(F.struct(page.alias("page"))), page_no=C("ord"))
 
 
 @query("read_station_pages", f"SELECT ord AS page_no, id, station_name, sno, {STATE} AS status, power FROM stations")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from heliospan import schemas
 from heliospan.functions import clock
-from heliospan.operators.keep import keep_first
+from heliospan.operators.keep import keep_last
 from heliospan.operators.readings import last_system
 
 LAST_SECOND_OF_DAY = 23 * 3600 + 59 * 60 + 59
@@ -171,8 +171,6 @@ def sync_report(changes: DataFrame) -> DataFrame:
     )
 
 
-def last_per_day(incoming: DataFrame) -> DataFrame:
+def last_per_day(incoming: DataFrame, order: Iterable[str]) -> DataFrame:
     """One incoming reading per user and local day: the last one in payload order."""
-    return keep_first(
-        incoming, ["user_id", "reading_date"], F.col("month").desc_nulls_last(), F.col("pos").desc_nulls_last()
-    )
+    return keep_last(incoming, ["user_id", "reading_date"], *order)

@@ -128,20 +128,22 @@ def owners(users: DataFrame, systems: DataFrame) -> DataFrame:
 def daily_sync(
     profiles: DataFrame, systems: DataFrame, detail: DataFrame, battery: DataFrame, days: DataFrame,
     stored: DataFrame, as_of: datetime, months: list[str] | None = None, history: DataFrame | None = None,
+    order: tuple[str, ...] = ("month", "pos"),
 ) -> Job:
     """Daily readings of the given payload months merged into the stored table.
 
     ``stored`` may be only the partitions of those months, as older ones do not
     change; ``history`` is then the whole table, read for the oldest dates only.
+    ``order`` says which copy of a day is the last.
     """
     users = readings.mapped_users(profiles)
     oldest = readings.oldest_reading_date(users, stored if history is None else history, as_of)
     merged_systems = merge.upsert_solar_system(systems, station_facts(users, detail, battery, oldest), as_of)
     wanted = days if months is None else days.filter(F.col("month").isin(months))
     mine = wanted.join(owners(users, systems), "station_id")
-    incoming = merge.last_per_day(readings.daily_reading(mine, "user_id", "system_id", "month", "pos"))
+    incoming = merge.last_per_day(readings.daily_reading(mine, "user_id", "system_id", *order), order)
     changes = merge.classify_days(stored, incoming)
-    table = merge.upsert_by_local_day(stored, incoming.drop("month", "pos"))
+    table = merge.upsert_by_local_day(stored, incoming.drop(*order))
     return Job(changes, table, merge.sync_report(changes), merged_systems, readings.bad_days(mine))
 
 

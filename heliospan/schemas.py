@@ -4,10 +4,12 @@ Payload numbers may arrive as numbers, text, empty text or null, so every one
 of them lands as STRING and is parsed by an expression.
 """
 
-# One landed line: the request fields, then the response envelope. ``data`` is
-# STRING so that Spark keeps the nested JSON as raw text until it is typed.
+# One landed line: the request fields, then the response envelope. ``seq`` grows
+# from fetch to fetch; a long payload may be split over several lines of one
+# fetch, numbered by ``page_no``. ``data`` is STRING so that Spark keeps the
+# nested JSON as raw text until it is typed.
 LANDED = (
-    "station_id STRING, entity_id STRING, day STRING, month STRING, page_no INT, "
+    "station_id STRING, entity_id STRING, day STRING, month STRING, seq BIGINT, page_no BIGINT, "
     "success BOOLEAN, code STRING, msg STRING, data STRING"
 )
 

@@ -34,10 +34,22 @@ def _array_text(data: Column) -> Column:
 
 
 def _exploded(landed: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    keys = [*keys, "seq", "page_no"]
     items = F.from_json(_array_text(F.col("data")), schema)
     return landed.select(*keys, F.posexplode(items).alias("pos", "item")).select(*keys, "pos", "item.*")
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Make ``pos`` comparable across lines: later fetch, then page, then list position."""
+    return rows.withColumn("pos", F.struct("seq", "page_no", "pos")).drop("page_no")
+
+
+def newest_fetch(landed: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of the newest fetch of every key; a curve fetched again replaces the older one."""
+    newest = landed.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    return landed.join(newest, [*keys, "seq"], "left_semi")
+
+
 def parse_station_pages(landed: DataFrame) -> DataFrame:
     """Station pages to one row per station, in page order."""
     body = F.from_json("data", schemas.STATION_PAGE)

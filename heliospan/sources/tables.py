@@ -69,10 +69,11 @@ def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
 
     Dynamic overwrite stages the new files and swaps them in at commit, so the
     rows may have been read from the same table, and repeating the write gives
-    the same table.
+    the same table. Rebalancing puts a partition's rows together and splits the
+    large ones, so neither many small files nor one long task results.
     """
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", F.col(partition)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)

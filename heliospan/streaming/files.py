@@ -39,20 +39,31 @@ def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint
     return writer.trigger(**trigger).start()
 
 
+def keep_good(batch: DataFrame, batch_id: int, rejects: str | None) -> DataFrame:
+    """Good envelopes of a batch; the others are written aside."""
+    good, bad = landed.split_envelopes(batch)
+    if rejects:
+        write_version(bad, rejects, batch_id)
+    return good
+
+
 def stream_intervals(
     spark: SparkSession, path: str, table: str, checkpoint: str, profiles: DataFrame, systems: DataFrame,
     totals: DataFrame, now: Clock, initial: DataFrame, every: str | None = None, files_per_batch: int | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Merge landed day curves into the versioned table of today's intervals.
 
-    ``initial`` gives the schema and rows before the first version.
+    ``initial`` gives the schema and rows before the first version. Error
+    envelopes go to ``rejects`` when it is given.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         stored = latest_version(spark, table, before=batch_id)
         stored = initial if stored is None else stored
-        good, _ = landed.split_envelopes(batch)
-        job = pipelines.interval_sync(profiles, systems, landed.parse_day_points(good), totals, stored, now())
+        good = keep_good(batch, batch_id, rejects)
+        points = landed.in_order(landed.parse_day_points(good))
+        job = pipelines.interval_sync(profiles, systems, points, totals, stored, now())
         write_version(job.table, table, batch_id)
 
     return _start(landed_stream(spark, path, files_per_batch), step, checkpoint, every)
@@ -61,58 +72,46 @@ def stream_intervals(
 def stream_daily(
     spark: SparkSession, path: str, table: str, checkpoint: str, profiles: DataFrame, systems: DataFrame,
     detail: DataFrame, battery: DataFrame, now: Clock, every: str | None = None, files_per_batch: int | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Merge landed month payloads into the daily table, partitioned by local month."""
     month = F.date_format(clock.local_date(F.col("timestamp")), "yyyy-MM")
 
-    def step(batch: DataFrame, _: int) -> None:
-        good, _ = landed.split_envelopes(batch)
-        days = landed.parse_month_days(good)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        days = landed.in_order(landed.parse_month_days(keep_good(batch, batch_id, rejects)))
         # The months of a batch are few; they prune the scan of the stored table.
         months = days.select(F.date_format(clock.iso_date(F.col("dateStr")), "yyyy-MM").alias("m")).distinct()
         touched = [r.m for r in months.collect() if r.m]
         history = spark.read.parquet(table)
         stored = history.filter(F.col("local_month").isin(touched)).drop("local_month")
-        job = pipelines.daily_sync(profiles, systems, detail, battery, days, stored, now(), history=history)
+        job = pipelines.daily_sync(profiles, systems, detail, battery, days, stored, now(), history=history, order=("seq", "month", "pos"))
         overwrite_partitions(job.table.withColumn("local_month", month), table, "local_month")
 
     return _start(landed_stream(spark, path, files_per_batch), step, checkpoint, every)
 
 
-def live_bucket_stream(points: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Two-hour buckets kept up to date from a stream of points.
-
-    The watermark drops the state of buckets older than ``delay``. Run it with
-    output mode ``update``: each batch emits the buckets it changed.
-    """
-    live = live_ops.live_points(points).filter("timestamp is not null").withWatermark("timestamp", delay)
-    hour = clock.local_hour(F.col("timestamp"))
-    return live.filter(hour >= 5).groupBy(
-        F.window("timestamp", "1 day", "1 day", "16 hours").alias("local_day"), "station_id", live_ops.slot(hour).alias("slot")
-    ).agg(
-        F.sum(F.col("watts").cast("decimal(28,9)")).cast("double").alias("watts"),
-        F.sum(F.col("load_w").cast("decimal(28,9)")).cast("double").alias("load_w"),
-    )
-
-
 def stream_live_buckets(
-    spark: SparkSession, path: str, table: str, checkpoint: str, every: str | None = None, files_per_batch: int | None = None
+    spark: SparkSession, path: str, table: str, checkpoint: str, now: Clock, every: str | None = None,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Append each batch's changed buckets; ``current_buckets`` reads the newest of each."""
-    good = landed_stream(spark, path, files_per_batch).filter(landed.is_good())
-    buckets = live_bucket_stream(landed.parse_day_points(good))
+    """Keep two-hour buckets up to date.
+
+    A curve is fetched whole each time, so the newest fetch of a station and day
+    replaces its buckets; adding fetches up would count points twice. Each batch
+    writes the buckets of the curves it brought; ``current_buckets`` reads the
+    newest of each station and day.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_version(batch.select(F.col("local_day.start").alias("day_start"), "station_id", "slot", "watts", "load_w"), table, batch_id)
+        good, _ = landed.split_envelopes(batch)
+        points = landed.parse_day_points(landed.newest_fetch(good, ["station_id", "day"]))
+        live = live_ops.live_points(landed.in_order(points))
+        write_version(live_ops.two_hour_buckets(live, now()), table, batch_id)
 
-    writer = buckets.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    return _start(landed_stream(spark, path, files_per_batch), step, checkpoint, every)
 
 
 def current_buckets(spark: SparkSession, table: str) -> DataFrame:
     rows = spark.read.parquet(table)
-    newest = rows.groupBy("day_start", "station_id", "slot").agg(
-        F.max_by("watts", "version").alias("watts"), F.max_by("load_w", "version").alias("load_w")
-    )
-    return newest.withColumn("day", clock.local_date(F.col("day_start")))
+    newest = rows.groupBy(*live_ops.KEYS).agg(F.max("version").alias("version"))
+    return rows.join(newest, [*live_ops.KEYS, "version"], "left_semi").drop("version")
