@@ -30,10 +30,17 @@ def moment(when: datetime) -> Column:
     return F.timestamp_micros(F.lit(int(when.timestamp() * 1_000_000)).cast("bigint"))
 
 
+def point_millis(time: Column, data_timestamp: Column) -> Column:
+    return first_nonzero(time, data_timestamp).try_cast("bigint")
+
+
+def millis_timestamp(millis: Column) -> Column:
+    return F.timestamp_millis(F.when(millis.between(MIN_MILLIS, MAX_MILLIS), millis))
+
+
 def point_timestamp(time: Column, data_timestamp: Column) -> Column:
     """Epoch milliseconds of a point; null when missing or not a whole number."""
-    millis = first_nonzero(time, data_timestamp).try_cast("bigint")
-    return F.timestamp_millis(F.when(millis.between(MIN_MILLIS, MAX_MILLIS), millis))
+    return millis_timestamp(point_millis(time, data_timestamp))
 
 
 def epoch_key(ts: Column) -> Column:

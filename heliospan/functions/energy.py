@@ -20,10 +20,13 @@ def interval_energy(watts: Column) -> Column:
     return round_n(kwh_of_point(watts), 6)
 
 
-def interval_load(family: Column, bypass: Column) -> Column:
+def load_of(family: Column, bypass: Column) -> Column:
     """House load in watts; the family load alone when the sum is not positive."""
-    own, both = to_float(family), to_float(family) + to_float(bypass)
-    return F.when(both <= 0, own).otherwise(both)
+    return F.when(family + bypass <= 0, family).otherwise(family + bypass)
+
+
+def interval_load(family: Column, bypass: Column) -> Column:
+    return load_of(to_float(family), to_float(bypass))
 
 
 def export_w(net: Column) -> Column:
@@ -34,20 +37,18 @@ def import_w(net: Column) -> Column:
     return F.abs(F.least(net, F.lit(0.0)))
 
 
-def _direction(power: Column) -> Column:
-    return F.when(power > 0, "charging").when(power < 0, "discharging")
+def status_of(watts: Column, has_soc: Column) -> Column:
+    """Charging, discharging, idle when a charge level is present, else null."""
+    return F.when(watts > 0, "charging").when(watts < 0, "discharging").when(has_soc, "idle")
 
 
 def battery_status(power: Column, soc: Column) -> Column:
-    """Charging, discharging, idle when a charge level is present, else null."""
-    watts = to_float(power)
-    return F.coalesce(_direction(watts), F.when(soc.isNotNull(), "idle"))
+    return status_of(to_float(power), soc.isNotNull())
 
 
 def battery_status_live(power: Column, soc: Column) -> Column:
     """Like ``battery_status`` but null whenever the charge level is missing."""
-    watts = to_float(power)
-    return F.when(soc.isNotNull(), F.coalesce(_direction(watts), F.lit("idle")))
+    return F.when(soc.isNotNull(), status_of(to_float(power), soc.isNotNull()))
 
 
 def battery_level(soc: Column) -> Column:
@@ -55,13 +56,17 @@ def battery_level(soc: Column) -> Column:
     return F.when(~is_blank(soc), round_n(to_float(soc), 1))
 
 
-def daily_consumption(day) -> Column:
+def consumption_of(day) -> Column:
     """Split loads if they add up to more than 0, else home load, else consumption."""
-    split = to_float(day["homeGridEnergy"]) + (
-        to_float(day["backUpEnergy"]) + to_float(day["backup2Energy"])
-    )
-    home = to_float(day["homeLoadEnergy"])
-    return F.when(split > 0, split).when(home > 0, home).otherwise(to_float(day["consumeEnergy"]))
+    split = day["homeGridEnergy"] + (day["backUpEnergy"] + day["backup2Energy"])
+    home = day["homeLoadEnergy"]
+    return F.when(split > 0, split).when(home > 0, home).otherwise(day["consumeEnergy"])
+
+
+def daily_consumption(day) -> Column:
+    """Consumption of a day record from its payload text."""
+    fields = ("homeGridEnergy", "backUpEnergy", "backup2Energy", "homeLoadEnergy", "consumeEnergy")
+    return consumption_of({field: to_float(day[field]) for field in fields})
 
 
 def energy_to_kwh(value: Column, unit: Column) -> Column:

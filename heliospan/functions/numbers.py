@@ -9,13 +9,9 @@ from pyspark.sql import functions as F
 def parse_double(value: Column) -> Column:
     """Number text as DOUBLE, null when it is not a number.
 
-    Java accepts a type suffix (``1d``, ``2f``) that is not a number here.
+    Java accepts a type suffix (``1d``, ``2.f``) that is not a number here.
     """
-    text = F.rtrim(value.cast("string"))
-    suffixed = (
-        text.endswith("d") | text.endswith("D") | text.endswith("f") | text.endswith("F")
-    ) & ~F.lower(text).endswith("inf")
-    return F.when(~suffixed, value.try_cast("double"))
+    return F.when(~value.rlike(r"[0-9.][dDfF]\s*$"), value.try_cast("double"))
 
 
 def to_float(value: Column, default: float = 0.0) -> Column:
@@ -51,7 +47,8 @@ def round_n(value: Column, digits: int) -> Column:
     """Round half away from zero on the binary value.
 
     Within floating-point error of a decimal tie this can differ from
-    half-even rounding: 0.125 gives 0.13, and 2.675 gives 2.68.
+    half-even rounding: 0.125 gives 0.13, and 2.675 gives 2.68. The value is used
+    three times, so pass a column, not a long expression.
     """
     scale = float(10**digits)
     size = F.floor(F.abs(value) * scale + 0.5) / scale

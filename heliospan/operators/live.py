@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliospan.functions import clock, energy
-from heliospan.functions.numbers import exact_sum, first_truthy, round_n, strict_float
+from heliospan.functions.numbers import exact_sum, first_truthy, is_blank, round_n, strict_float, to_float
 from heliospan.operators.readings import point_times
 
 KEYS = ["station_id", "day"]
@@ -24,16 +24,20 @@ def live_points(points: DataFrame) -> DataFrame:
     The load has no fallback here, unlike interval readings.
     """
     soc = F.col("batteryCapacitySoc")
-    load = strict_float(F.col("familyLoadPower")) + strict_float(F.col("bypassLoadPower"))
-    return point_times(points).select(
+    parsed = point_times(points).select(
         *KEYS, "pos", "timestamp",
         strict_float(F.col("power")).alias("watts"),
-        load.alias("load_w"),
+        strict_float(F.col("familyLoadPower")).alias("_family"),
+        strict_float(F.col("bypassLoadPower")).alias("_bypass"),
         strict_float(F.col("psum")).alias("net_w"),
         strict_float(F.col("batteryPower")).alias("battery_w"),
-        energy.battery_level(soc).alias("battery_level"),
+        F.when(~is_blank(soc), to_float(soc)).alias("_soc"),
         soc.isNotNull().alias("has_soc"),
     )
+    return parsed.select(
+        *KEYS, "pos", "timestamp", "watts", (F.col("_family") + F.col("_bypass")).alias("load_w"), "net_w", "battery_w",
+        round_n(F.col("_soc"), 1).alias("battery_level"), "has_soc",
+    )
 
 
 def _kwh(watts: Column) -> Column:
@@ -98,7 +102,7 @@ def battery_state(last: DataFrame) -> list[Column]:
     known = F.when(last["has_soc"], last["battery_level"])
     return [
         known.alias("battery_level"),
-        energy.battery_status_live(last["battery_w"], F.when(last["has_soc"], F.lit(1))).alias("battery_status"),
+        F.when(last["has_soc"], energy.status_of(last["battery_w"], last["has_soc"])).alias("battery_status"),
     ]
 
 

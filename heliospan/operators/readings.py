@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heliospan import schemas
 from heliospan.functions import clock, energy
-from heliospan.functions.numbers import bad_number, exact_sum, is_blank, round_n, strict_float, to_float
+from heliospan.functions.numbers import exact_sum, is_blank, round_n, strict_float, to_float
 from heliospan.operators.keep import keep_first, keep_last, sample_per_key
 
 # Output column, payload field, decimals.
@@ -23,39 +23,60 @@ STRICT_DAY_FIELDS = (
 )
 
 
+# Lenient payload fields that add up to the consumption of a day.
+LENIENT_DAY_FIELDS = ("homeGridEnergy", "backUpEnergy", "backup2Energy", "homeLoadEnergy", "consumeEnergy")
+
+
 def has_date(days: DataFrame) -> DataFrame:
     return days.filter(~is_blank(F.col("dateStr")))
 
 
-def _bad_day(days: DataFrame) -> Column:
-    bad = clock.iso_date(days["dateStr"]).isNull()
-    for _, field, _ in STRICT_DAY_FIELDS:
-        bad = bad | bad_number(days[field])
+def _parsed_days(days: DataFrame, *keep: str) -> DataFrame:
+    """Each payload field parsed once; a later step uses plain columns.
+
+    One long expression per output would repeat the parsing and grow the
+    generated method past what the JVM compiles.
+    """
+    dated = has_date(days)
+    return dated.select(
+        *keep,
+        clock.iso_date(F.col("dateStr")).alias("reading_date"),
+        *[strict_float(F.col(field)).alias(out) for out, field, _ in STRICT_DAY_FIELDS],
+        *[to_float(F.col(field)).alias(field) for field in LENIENT_DAY_FIELDS],
+    )
+
+
+def _is_bad_day() -> Column:
+    """A date or strict number that did not parse is null by now."""
+    bad = F.col("reading_date").isNull()
+    for out, _, _ in STRICT_DAY_FIELDS:
+        bad = bad | F.col(out).isNull()
     return bad
 
 
 def bad_days(days: DataFrame) -> DataFrame:
     """Dated day records with a number or date that does not parse."""
-    dated = has_date(days)
-    return dated.filter(_bad_day(dated))
+    record = F.struct(*days.columns).alias("_record")
+    return _parsed_days(days.withColumn("_record", record), "_record").filter(_is_bad_day()).select("_record.*")
 
 
 def daily_reading(days: DataFrame, *keep: str) -> DataFrame:
     """Day records to daily readings at local noon; bad records are left out."""
-    dated = has_date(days)
-    good = dated.filter(~_bad_day(dated))
-    values = {out: round_n(strict_float(good[field]), n) for out, field, n in STRICT_DAY_FIELDS}
-    date = clock.iso_date(good["dateStr"])
-    return good.select(
-        *keep,
-        date.alias("reading_date"),
-        clock.local_noon(date).alias("timestamp"),
-        values["production_kwh"].alias("production_kwh"),
-        round_n(energy.daily_consumption(good), 4).alias("consumption_kwh"),
+    parsed = _parsed_days(days, *keep)
+    used = parsed.withColumn("consumption_kwh", energy.consumption_of(parsed))
+    strict = {out: round_n(F.col(out), digits).alias(out) for out, _, digits in STRICT_DAY_FIELDS}
+    reading = F.struct(
+        "reading_date",
+        clock.local_noon(F.col("reading_date")).alias("timestamp"),
+        strict.pop("production_kwh"),
+        round_n(F.col("consumption_kwh"), 4).alias("consumption_kwh"),
         F.lit(None).cast("double").alias("battery_level"),
         F.lit(None).cast("string").alias("battery_status"),
-        *[values[c].alias(c) for c in values if c != "production_kwh"],
+        *strict.values(),
     )
+    # One row or none per record. A filter would be pushed below the parsing and
+    # parse every field a second time.
+    return used.select(*keep, F.inline(F.when(~_is_bad_day(), F.array(reading))))
 
 
 def dedup_days_last(readings: DataFrame) -> DataFrame:
@@ -64,27 +85,40 @@ def dedup_days_last(readings: DataFrame) -> DataFrame:
 
 
 def point_times(points: DataFrame) -> DataFrame:
-    return points.withColumn("timestamp", clock.point_timestamp(F.col("time"), F.col("dataTimestamp")))
+    millis = clock.point_millis(F.col("time"), F.col("dataTimestamp"))
+    return points.withColumn("_millis", millis).withColumn("timestamp", clock.millis_timestamp(F.col("_millis"))).drop("_millis")
 
 
 def interval_reading(points: DataFrame, *keep: str, lifetime: bool = True) -> DataFrame:
     """Points to interval readings; points without a timestamp are dropped."""
-    timed = point_times(points).filter("timestamp is not null")
-    watts, net = to_float(timed["power"]), to_float(timed["psum"])
-    load = energy.interval_load(timed["familyLoadPower"], timed["bypassLoadPower"])
-    soc = timed["batteryCapacitySoc"]
-    return timed.select(
+    soc = F.col("batteryCapacitySoc")
+    parsed = point_times(points).filter("timestamp is not null").select(
+        *keep, "timestamp", *(["lifetime_earning"] if lifetime else []),
+        to_float(F.col("power")).alias("_watts"), to_float(F.col("psum")).alias("_net"),
+        to_float(F.col("familyLoadPower")).alias("_family"), to_float(F.col("bypassLoadPower")).alias("_bypass"),
+        to_float(F.col("batteryPower")).alias("_battery"),
+        F.when(~is_blank(soc), to_float(soc)).alias("_soc"), soc.isNotNull().alias("_has_soc"),
+    )
+    net = F.col("_net")
+    kwh = parsed.select(
+        *keep, "timestamp", *(["lifetime_earning"] if lifetime else []), "_battery", "_soc", "_has_soc",
+        energy.kwh_of_point(F.col("_watts")).alias("_production"),
+        energy.kwh_of_point(energy.load_of(F.col("_family"), F.col("_bypass"))).alias("_consumption"),
+        energy.kwh_of_point(energy.import_w(net)).alias("_import"),
+        energy.kwh_of_point(energy.export_w(net)).alias("_export"),
+    )
+    return kwh.select(
         *keep,
         "timestamp",
-        clock.epoch_key(F.col("timestamp")).alias("epoch"),
-        energy.interval_energy(watts).alias("production_kwh"),
-        energy.interval_energy(load).alias("consumption_kwh"),
-        energy.battery_level(soc).alias("battery_level"),
-        energy.battery_status(timed["batteryPower"], soc).alias("battery_status"),
-        energy.interval_energy(energy.import_w(net)).alias("grid_import_kwh"),
-        energy.interval_energy(energy.export_w(net)).alias("grid_export_kwh"),
+        F.unix_seconds("timestamp").alias("epoch"),
+        round_n(F.col("_production"), 6).alias("production_kwh"),
+        round_n(F.col("_consumption"), 6).alias("consumption_kwh"),
+        round_n(F.col("_soc"), 1).alias("battery_level"),
+        energy.status_of(F.col("_battery"), F.col("_has_soc")).alias("battery_status"),
+        round_n(F.col("_import"), 6).alias("grid_import_kwh"),
+        round_n(F.col("_export"), 6).alias("grid_export_kwh"),
         F.lit(0.0).alias("daily_earning"),
-        *([F.col("lifetime_earning")] if lifetime else []),
+        *(["lifetime_earning"] if lifetime else []),
     )
 
 

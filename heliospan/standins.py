@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from heliospan.functions import clock
 from heliospan.functions.numbers import exact_sum
-from heliospan.session import apply_settings
+from heliospan.session import apply_settings, spread
 
 AS_OF = clock.local_time("2024-01-30 14:30")
 DAYS_AS_OF = clock.local_time("2001-08-15 10:00")
@@ -41,7 +41,7 @@ class Tables:
     def points(self) -> DataFrame:
         """Five-minute power points; station is the user of the event."""
         kind, value = F.col("event_type"), F.col("value")
-        events = self.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+        events = spread(self.table("events")).withColumn("ts", F.col("ts").cast("timestamp"))
         millis = text(F.floor(F.unix_millis("ts") / 300000) * 300000)
         charge = F.regexp_extract("props", "([0-9]+)", 1)
         return events.select(
@@ -65,7 +65,7 @@ class Tables:
     @cached_property
     def days(self) -> DataFrame:
         """Day records of monthly payloads; station is the supplier."""
-        line = self.table("lineitem").withColumn("d", F.col("l_shipdate").cast("date"))
+        line = spread(self.table("lineitem")).withColumn("d", F.col("l_shipdate").cast("date"))
         flag, status = F.col("l_returnflag"), F.col("l_linestatus")
         nothing = F.lit(None).cast("string")
         quantity = F.col("l_quantity")
