@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliospan import schemas
 from heliospan.catalog.oracle import HOUR, LEVEL, STATE, STATUS, crm, kwh, rnd, xsum
 from heliospan.catalog.registry import query
 from heliospan.catalog.sources import DAY_START, IV_OUT, incoming_intervals, with_epoch
@@ -202,7 +203,7 @@ def _(t):
 
 @query("resolve_station", "SELECT a.id, coalesce(a.meta, p.station_id) AS station_id FROM auth a LEFT JOIN profiles p ON p.id = a.id")
 def _(t):
-    return live.resolve_station(t.auth_users, t.profiles, "solis_station_id").select("id", "station_id")
+    return live.resolve_station(t.auth_users, t.profiles, schemas.LONG_STATION_FIELD).select("id", "station_id")
 
 
 def provisioned(t: Tables) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliospan import schemas
 from heliospan.catalog.oracle import STATE
 from heliospan.catalog.registry import query
 from heliospan.operators import matching, merge, readings, views
@@ -77,7 +78,7 @@ def _(t):
     key = F.concat_ws("|", *[C(f"pos.{n}") for n in ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")])
     rows = land(t.days, F.to_json(F.array(F.struct(*fields))), station_id=C("station_id"), entity_id=key, month=C("month"))
     parts = F.split("entity_id", r"\|")
-    days = landed._exploded(rows, ["station_id", "entity_id", "month"], landed.schemas.MONTH_SUMMARY)
+    days = landed._exploded(rows, ["station_id", "entity_id", "month"], schemas.MONTH_SUMMARY)
     return days.select("station_id", "month", C("dateStr").alias("date_str"), C("energy").cast("double").alias("energy"),
                        *[parts[i].cast(kind).alias(n) for i, (n, kind) in enumerate((("o1", "bigint"), ("o2", "bigint"), ("o3", "bigint"), ("o5", "double")))])
 
@@ -110,7 +111,7 @@ def _(t):
 
 @query("read_dimensions", "SELECT id, full_name, station_id FROM profiles")
 def _(t):
-    return tables.pick(t.profiles.withColumnRenamed("station_id", "solis_station_id"), ("id", "full_name", "station_id"))
+    return tables.pick(t.profiles.withColumnRenamed("station_id", schemas.LONG_STATION_FIELD), ("id", "full_name", "station_id"))
 
 
 @query("read_crm_leads", "SELECT id, name, partner_name, contact_name, email_from, stage_id, stage FROM leads")
@@ -121,7 +122,7 @@ def _(t):
 @query("read_station_filter_csv", "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS station_id FROM lineitem WHERE l_linenumber > 1")
 def _(t):
     ids = F.when(C("l_linenumber") > 1, F.concat(F.lit(" "), C("l_suppkey").cast("string"), F.lit(" "))).otherwise("")
-    return tables.station_filter(t.table("lineitem").select(ids.alias("\ufeffsolis_station_id")))
+    return tables.station_filter(t.table("lineitem").select(ids.alias(tables.BYTE_ORDER_MARK + schemas.LONG_STATION_FIELD)))
 
 
 REPORT_FIELDS = "lead_id: BIGINT, station_id: STRING, station_name: STRING, partner_name: STRING"

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliospan import schemas
 from heliospan.functions import clock
 from heliospan.functions.numbers import exact_sum
 from heliospan.session import apply_settings, spread
@@ -106,7 +107,7 @@ class Tables:
         return self.table("customer").select(
             F.when(segment == "FURNITURE", F.concat(F.lit("x"), key)).otherwise(key).alias("id"),
             F.concat(F.lit(" U"), key, F.lit("@mail.test")).alias("email"),
-            F.create_map(F.lit("solis_station_id"), own).alias("user_metadata"),
+            F.create_map(F.lit(schemas.LONG_STATION_FIELD), own).alias("user_metadata"),
             F.col("c_custkey").alias("ord"),
         )
 

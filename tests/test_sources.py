@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from heliospan import schemas
 from heliospan.sources import landed, tables
 
 
@@ -67,7 +68,7 @@ def test_newest_fetch_replaces(spark):
 
 def test_station_filter_csv(spark, tmp_path):
     path = tmp_path / "f.csv"
-    path.write_text("﻿solis_station_id,x\n 12 ,1\n,2\n12,3\n", encoding="utf-8")
+    path.write_text(tables.BYTE_ORDER_MARK + schemas.LONG_STATION_FIELD + ",x\n 12 ,1\n,2\n12,3\n", encoding="utf-8")
     assert [r.station_id for r in tables.read_station_filter_csv(spark, str(path)).collect()] == ["12"]
 
 
