@@ -71,26 +71,15 @@ def classify_days(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert_by_local_day(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Merge daily readings, one per user and local day, into the stored table."""
-    changes = classify_days(stored, incoming)
-    names = [c for c in stored.columns if c not in schemas.READING_KEY]
     old = stored.alias("old")
-    new = changes.filter("target is not null").withColumn("_given", F.lit(True)).alias("new")
+    new = classify_days(stored, incoming).withColumn("_given", F.lit(True)).alias("new")
+    # An insert has no target, so it meets no stored row and comes out alone.
     on = (F.col("old.user_id") == F.col("new.user_id")) & (F.col("old.timestamp") == F.col("new.target"))
     given = F.col("new._given").isNotNull()
-    updated = old.join(new, on, "left").select(
-        "old.user_id",
-        F.when(given, F.col("new.timestamp")).otherwise(F.col("old.timestamp")).alias("timestamp"),
-        *[
-            (F.when(given, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) if c in incoming.columns
-             else F.col(f"old.{c}")).alias(c)
-            for c in names
-        ],
-    )
-    inserted = changes.filter("target is null").select(
-        "user_id", "timestamp",
-        *[(F.col(c) if c in incoming.columns else F.lit(None).cast(stored.schema[c].dataType)).alias(c) for c in names],
-    )
-    return updated.unionByName(inserted)
+    return old.join(new, on, "full_outer").select(*[
+        (F.when(given, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) if c in incoming.columns else F.col(f"old.{c}")).alias(c)
+        for c in stored.columns
+    ])
 
 
 def new_system_id(user_id: Column) -> Column:
