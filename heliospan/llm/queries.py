@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm import near_dedup
+from heliospan.llm import mixing, near_dedup, sharding
 from heliospan.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,36 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r G
 @query("op1_super_minhash_dedup", NEAR_DEDUP_SQL)
 def op1_super_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_hypergeometric_shards")
+def op6_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+MIXING_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '')), 0)::BIGINT AS size,
+  ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
+    [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+o AS MATERIALIZED (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS l
+  FROM s WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS MATERIALIZED (
+  SELECT source, source_size, least(cap, coalesce(w * (
+    SELECT arg_min(l, cap / w) FROM o WHERE l * w <= cap), cap))::DOUBLE AS target FROM o)
+SELECT doc_id, size, source_size, target,
+  (size * (floor(r) + CASE WHEN u < r - floor(r) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+"""
+
+
+@query("op7_source_mixing", MIXING_SQL)
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"))
