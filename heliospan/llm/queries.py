@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm import mixing, near_dedup, sharding
+from heliospan.llm import chat, mixing, near_dedup, secrets, sharding
 from heliospan.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,29 @@ FROM (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
 @query("op7_source_mixing", MIXING_SQL)
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"))
+
+
+CHAT_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+e AS (
+  SELECT *, length('<|im_start|>' || replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;') || chr(10)
+    || replace(replace(text, '&', '&amp;'), '<|', '&lt;|') || '<|im_end|>' || chr(10)) AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op2_fingerprint_chat", CHAT_SQL)
+def op2_fingerprint_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_with_probe(table(spark, folder, "conversations"))
+
+
+@query("op4_blob_ledger_secrets")
+def op4_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
