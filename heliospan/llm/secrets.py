@@ -92,13 +92,11 @@ class Ledger:
         """Scan the (blob, rule version) pairs of ``texts`` that the ledger lacks; return the pairs scanned now.
 
         Copies share a blob, so a text that a third of all paths share is scanned
-        once. The first text of a blob is found by its address alone and joined
-        back, so no text passes through a grouping.
+        once; a task keeps one text per address before anything is exchanged.
         """
         wanted = texts.select("blob", "text")
         known = self.read().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         have = F.array(*[F.lit(r.key) for r in rules])
-        # dropDuplicates on the address keeps one text per blob and task before the exchange.
         lacking = F.array_except(have, F.coalesce("seen", F.array().cast("array<string>")))
         unseen = wanted.dropDuplicates(["blob"]).join(known, "blob", "left").withColumn("rules", lacking)
         unseen = unseen.filter(F.size("rules") > 0).select("blob", "text", "rules")
