@@ -49,14 +49,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def over_batches(
-    rows: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str,
+    rows: DataFrame, work: Callable[..., Iterator[dict]], schema: str | T.StructType,
     setup: Callable[[], object] | None = None,
 ) -> DataFrame:
     """Apply ``work`` to every Arrow batch; it yields dicts of equally long columns.
 
     ``setup`` runs once per task and its value is passed as a second argument.
     """
-    target = T.StructType.fromDDL(schema)
+    target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm import chat, mixing, near_dedup, quality_rules, secrets, sharding
+from heliospan.llm import chat, mixing, near_dedup, quality_rules, secrets, sharding, toxicity
 from heliospan.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op4_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_ngram_quality")
 def op5_ngram_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_bigru_toxicity")
+def op9_bigru_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
