@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from heliospan.llm import superminhash
 from heliospan.llm.common import list_array, materialize, over_batches, prepared
 from heliospan.llm.components import components
+from heliospan.llm.linking import bit_columns, link_classes, similar
 from heliospan.llm.words import blocks, mix, shingle_sets
 
-# 40 bands of 4 slots miss a pair at a similarity of 0.75 with a chance of (1 - 0.75^4)^40 < 3e-7.
-BANDS = 40
-BAND_ROWS = 4
-MIN_PERCENT = 75
+# 64 bands of 7 slots miss a pair at a similarity of 0.75 with a chance of about (1 - 0.75^7)^64 = 1e-4, and one at
+# 0.8 with 3e-7. Two signatures of that similarity have 224 of 256 equal bits on average, with a deviation of 5.3.
+BANDING = superminhash.Banding(slots=256, bands=64, rows=7, agree=200)
 
-SKETCH = "doc_id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, bands ARRAY<BIGINT>"
+SKETCH = "doc_id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, bands ARRAY<BIGINT>, " + ", ".join(
+    f"{c} BIGINT" for c in bit_columns(BANDING))
 SETS = "doc_id BIGINT, n BIGINT, items ARRAY<BIGINT>"
 
 
@@ -32,8 +33,8 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 def _sketches(batch: pa.RecordBatch) -> Iterator[dict]:
     for first, values, bounds in _sets(batch):
         count = len(bounds) - 1
-        signature = superminhash.signatures(values, bounds, BANDS * BAND_ROWS)
-        keys = superminhash.band_keys(signature, BAND_ROWS)
+        signature = superminhash.signatures(values, bounds, BANDING.slots)
+        bits = BANDING.bits(signature)
         sums = []
         for seed in (1, 2):
             total = np.zeros(len(values) + 1, np.uint64)
@@ -41,8 +42,9 @@ def _sketches(batch: pa.RecordBatch) -> Iterator[dict]:
             sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
         yield {
             "doc_id": batch.column("doc_id").slice(first, count), "n_shingles": np.diff(bounds),
-            "h1": sums[0], "h2": sums[1], "bands": list_array(keys.reshape(-1), np.arange(count + 1) * BANDS),
-        }
+            "h1": sums[0], "h2": sums[1],
+            "bands": list_array(BANDING.keys(signature).reshape(-1), np.arange(count + 1) * BANDING.bands),
+        } | {c: bits[:, i] for i, c in enumerate(bit_columns(BANDING))}
 
 
 def _full_sets(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -53,12 +55,6 @@ def _full_sets(batch: pa.RecordBatch) -> Iterator[dict]:
         }
 
 
-def similar(a: str, b: str, na: str, nb: str) -> F.Column:
-    """Intersection is at least MIN_PERCENT of the union, on the full sets."""
-    common = F.size(F.array_intersect(a, b)).cast("long")
-    return 100 * common >= MIN_PERCENT * (F.col(na) + F.col(nb) - common)
-
-
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (u, v) pairs whose full shingle sets are similar; sets are made for these documents only."""
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -73,62 +69,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Group documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest
-    doc_id reachable over links), kept (it is that document).
-
-    * Documents with the same set are one class from the start, so copies never
-      meet in pairs.
-    * Every class is compared with the smallest member of each of its buckets.
-      Then, in buckets that still hold several components, the members outside
-      the largest one are compared with members of other components. A pair in
-      one component is never compared again, so a bucket of near copies costs one
-      comparison each, and no link between components is lost.
-    * Pairs are checked on full sets, and their links grouped by union-find.
+    doc_id reachable over links), kept (it is that document). Documents with the
+    same set are one class from the start, so copies never meet in pairs; classes
+    are linked by ``link_classes`` and grouped by union-find.
 
     An empty or null text has no shingles and links with nothing. A row without
     doc_id is returned with a null component_id and is kept. Rows that repeat a
-    doc_id share one component; repeated with different texts, the class of the
-    smallest set hash stands for the id. Extra columns are not read.
+    doc_id share one component; repeated with different texts, one of the texts
+    stands for the id when links are checked. Extra columns are not read.
     """
     prepared(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(over_batches(rows, _sketches, SKETCH), "sketches")
     filled = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "h1", "h2"]
-    classes = filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-    members = filled.select("doc_id", *same).join(classes.select(*same, "rep"), same).select("doc_id", "rep")
-
-    entries = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
-    crowded = materialize(entries.join(hubs.select("key", "hub"), "key"), "crowded")
-    stars = crowded.filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    links = materialize(_verified(rows, materialize(stars, "pairs")), "links")
-    found = materialize(components(links), "components")
-
-    placed = crowded.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("part"), "hub")
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("key").agg(
-        F.count("*").alias("parts"), F.max(F.struct("size", "part"))["part"].alias("main")).filter("parts > 1")
-    mixed = materialize(placed.join(mixed.select("key", "main"), "key"), "mixed")
-    outside = mixed.filter("part <> main").select(
-        "key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
-    across = outside.join(mixed, "key").filter(
-        (F.col("part") != F.col("px"))
-        & (100 * F.least("n", "nx") >= MIN_PERCENT * F.greatest("n", "nx"))
-        & (F.col("rep") != F.col("hub")) & (F.col("x") != F.col("hub")))
-    across = across.select(F.least("x", "rep").alias("u"), F.greatest("x", "rep").alias("v")).distinct()
-    more = _verified(rows, materialize(across, "pairs"))
+    classes = materialize(filled.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    members = filled.select("doc_id", *same).join(classes, same).select("doc_id", "rep")
+    sketched = filled.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
+    sketched = sketched.withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"})
+    links = link_classes(sketched, BANDING, lambda pairs: _verified(rows, pairs))
     same_set = members.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    whole = components(links.unionByName(more).unionByName(same_set))
-    out = sketch.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    whole = components(links.unionByName(same_set)).withColumnRenamed("node", "doc_id")
     component = F.coalesce("component", "doc_id")
-    return out.select(
+    return sketch.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Documents, one of each group of near duplicates; all columns stay."""
-    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped.withColumnRenamed("doc_id", "__dropped_id"), docs["doc_id"] == F.col("__dropped_id"), "left_anti")
+    """Documents, one of each group of near duplicates; all columns stay, rows without an id too."""
+    dropped = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["_dropped_id"], "left_anti")

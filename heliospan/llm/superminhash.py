@@ -9,6 +9,8 @@ large set stops after a few levels.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from heliospan.llm.words import mix
@@ -66,11 +68,34 @@ def signatures(values: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarray
     return out
 
 
-def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """Hash of every ``rows`` neighbouring slots; the band number is part of the hash."""
-    count, slots = signature.shape
-    bands = slots // rows
-    total = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN, (count, 1))
-    for i in range(rows):
-        total = mix(total ^ signature[:, i:bands * rows:rows])
-    return total.view(np.int64)
+@dataclass(frozen=True)
+class Banding:
+    """Bands of ``rows`` slots each, drawn from ``slots`` by a fixed seed.
+
+    ``agree`` is the least number of equal last bits of two signatures to be
+    compared at all: at a similarity of 0.75 a bit is equal with a chance of 0.875.
+    """
+
+    slots: int
+    bands: int
+    rows: int
+    agree: int
+
+    @property
+    def words(self) -> int:
+        return self.slots // 64
+
+    def places(self) -> np.ndarray:
+        random = np.random.default_rng(self.slots)
+        return np.stack([random.permutation(self.slots)[:self.rows] for _ in range(self.bands)])
+
+    def keys(self, signature: np.ndarray) -> np.ndarray:
+        """Hash of every band; the band's number is part of it."""
+        total = np.tile(np.arange(1, self.bands + 1, dtype=np.uint64) * _GOLDEN, (len(signature), 1))
+        for places in self.places().T:
+            total = mix(total ^ signature[:, places])
+        return total.view(np.int64)
+
+    def bits(self, signature: np.ndarray) -> np.ndarray:
+        """The last bit of every slot, packed into 64-bit words."""
+        return np.packbits((signature & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
