@@ -97,3 +97,27 @@ def unit_hash(seed: int, *columns: Column) -> Column:
     """A number in [0, 1) drawn from a hash of the seed and the columns."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)
     return bits.cast("double") / F.lit(float(1 << 53))
+
+
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) with a bit set for the hash of every id, for ``maybe_in``.
+
+    It only spares work: an id that is not there may pass, so an exact join follows.
+    """
+    slot = filter_slot(column)
+    words = ids.select(F.shiftright(slot, 6).cast("int").alias("at"), (slot % 64).cast("int").alias("bit"))
+    bits = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return bitmap
+
+
+def filter_slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def maybe_in(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 6].view(np.uint64) >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1

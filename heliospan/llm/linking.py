@@ -41,30 +41,44 @@ def link_classes(classes: DataFrame, banding: Banding, verified: Callable[[DataF
     """Verified links (u, v) that join all similar classes into their components.
 
     ``classes`` has rep, n (set size), bands and the bit columns. Every class is
-    compared with the smallest member of each of its buckets. Then, in buckets that
-    still hold several components, the members outside the largest one are compared
-    with members of other components. A pair in one component is never compared
-    again, so a bucket of near copies costs one comparison each. Sizes and
-    signature bits are tested inside the join, so pairs that merely share a passage
-    are not made into rows. ``verified`` keeps the pairs that are similar on full sets.
+    compared with the smallest class it shares a bucket with, then with the smallest
+    of each bucket that is in another component. Last, in buckets that still hold
+    several components, the members outside the largest one are compared with
+    members of other components. A pair in one component is never compared again,
+    so a group of near copies costs about one comparison each. Sizes and signature
+    bits are tested inside the join, so pairs that merely share a passage are not
+    made into rows. ``verified`` keeps the pairs that are similar on full sets.
     """
     facts = materialize(classes.select("rep", "n", *bit_columns(banding)).dropDuplicates(["rep"]), "facts")
     entries = classes.select("rep", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
     crowded = materialize(entries.join(hubs.select("key", "hub"), "key"), "crowded")
-    stars = crowded.filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    stars = stars.join(_prefixed(facts, "a_"), F.col("u") == F.col("a_rep")).join(
-        _prefixed(facts, "b_"), F.col("v") == F.col("b_rep")).filter(_plausible(banding, "a_", "b_"))
-    links = materialize(verified(materialize(stars.select("u", "v"), "pairs")), "links")
-    found = materialize(components(links), "components")
-
-    placed = crowded.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "hub", F.coalesce("component", "rep").alias("part"))
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("size"))
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(_prefixed(facts, "a_"), F.col("u") == F.col("a_rep")).join(
+            _prefixed(facts, "b_"), F.col("v") == F.col("b_rep"))
+        return materialize(both.filter(_plausible(banding, "a_", "b_")).select("u", "v"), "pairs")
+
+    def placed(links: DataFrame) -> DataFrame:
+        found = materialize(components(links), "components")
+        return crowded.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "rep", "hub", F.coalesce("component", "rep").alias("part"))
+
+    # One comparison per class, with the smallest class of all its buckets.
+    first = crowded.filter("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))
+    links = materialize(verified(plausible(first.select(F.col("hub").alias("u"), F.col("rep").alias("v")))), "links")
+    # Then with the smallest class of each bucket, where that is in another component.
+    now = placed(links)
+    tops = now.filter("rep = hub").select("key", F.col("part").alias("top_part")).distinct()
+    stars = now.filter("rep <> hub").join(tops, "key").filter("part <> top_part")
+    stars = stars.select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    links = materialize(links.unionByName(verified(plausible(stars))), "links")
+    # Then, in buckets that still hold several components, across these.
+    now = placed(links)
+    parts = now.groupBy("key", "part").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(
         F.count("*").alias("parts"), F.max(F.struct("size", "part"))["part"].alias("main")).filter("parts > 1")
-    mixed = materialize(
-        placed.join(mixed.select("key", "main"), "key").filter("rep <> hub").join(facts, "rep"), "mixed")
+    mixed = materialize(now.join(mixed.select("key", "main"), "key").filter("rep <> hub").join(facts, "rep"), "mixed")
     outside = _prefixed(mixed.filter("part <> main"), "a_")
     across = outside.join(_prefixed(mixed, "b_"), (F.col("a_key") == F.col("b_key")) & (
         F.col("a_part") != F.col("b_part")) & _plausible(banding, "a_", "b_"))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliospan.llm import superminhash
-from heliospan.llm.common import list_array, materialize, over_batches, prepared
+from heliospan.llm.common import (
+    filter_slot, id_filter, list_array, materialize, maybe_in, over_batches, prepared,
+)
 from heliospan.llm.components import components
 from heliospan.llm.linking import bit_columns, link_classes, similar
 from heliospan.llm.words import blocks, mix, shingle_sets
@@ -47,8 +49,9 @@ def _sketches(batch: pa.RecordBatch) -> Iterator[dict]:
         } | {c: bits[:, i] for i, c in enumerate(bit_columns(BANDING))}
 
 
-def _full_sets(batch: pa.RecordBatch) -> Iterator[dict]:
-    for first, values, bounds in _sets(batch):
+def _full_sets(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
+    batch = batch.filter(pa.array(maybe_in(wanted, batch.column("slot").to_numpy(zero_copy_only=False))))
+    for first, values, bounds in _sets(batch) if batch.num_rows else ():
         yield {
             "doc_id": batch.column("doc_id").slice(first, len(bounds) - 1), "n": np.diff(bounds),
             "items": list_array(values.view(np.int64), bounds),
@@ -57,9 +60,11 @@ def _full_sets(batch: pa.RecordBatch) -> Iterator[dict]:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (u, v) pairs whose full shingle sets are similar; sets are made for these documents only."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(over_batches(texts, _full_sets, SETS), "sets").dropDuplicates(["doc_id"])
+    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", filter_slot("doc_id").alias("slot"))
+    sets = over_batches(texts, _full_sets, SETS, lambda: shared.value).dropDuplicates(["doc_id"])
+    sets = materialize(sets, "sets")
     left = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("items").alias("su"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("items").alias("sv"))
     return pairs.join(left, "u").join(right, "v").filter(similar("su", "sv", "nu", "nv")).select("u", "v")
