@@ -102,12 +102,11 @@ def unit_hash(seed: int, *columns: Column) -> Column:
 FILTER_BITS = 1 << 25
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (4 MB) with a bit set for the hash of every id, for ``maybe_in``.
+def id_filter(ids: DataFrame, slot: Column) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) with a bit set for the ``slot`` of every id, for ``maybe_in``.
 
     It only spares work: an id that is not there may pass, so an exact join follows.
     """
-    slot = filter_slot(column)
     words = ids.select(F.shiftright(slot, 6).cast("int").alias("at"), (slot % 64).cast("int").alias("bit"))
     bits = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)

@@ -61,7 +61,7 @@ def _full_sets(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (u, v) pairs whose full shingle sets are similar; sets are made for these documents only."""
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, filter_slot("doc_id")))
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", filter_slot("doc_id").alias("slot"))
     sets = over_batches(texts, _full_sets, SETS, lambda: shared.value).dropDuplicates(["doc_id"])
     sets = materialize(sets, "sets")

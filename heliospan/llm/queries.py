@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm import chat, decontaminate, mixing, near_dedup, quality_rules, secrets, sharding, toxicity
+from heliospan.llm import chat, decontaminate, mixing, near_dedup, paragraphs, quality_rules, secrets, sharding, toxicity
 from heliospan.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op9_bigru_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_cgk_decontamination")
 def op10_cgk_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_paragraph_dedup")
+def op8_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, folder, "documents"))
