@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm import chat, decontaminate, mixing, near_dedup, paragraphs, quality_rules, secrets, sharding, toxicity
+from heliospan.llm import chat, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, secrets, sharding, toxicity
 from heliospan.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op10_cgk_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_paragraph_dedup")
 def op8_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op3_cotraining_quality")
+def op3_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.quality(
+        table(spark, folder, "documents"), table(spark, folder, "pages"), table(spark, folder, "labels"))
