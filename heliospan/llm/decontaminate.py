@@ -48,33 +48,35 @@ class Seeds:
     length: np.ndarray
 
 
-def cgk(words: np.ndarray, walk: int) -> np.ndarray:
-    """Embedding of windows of one length, (windows, STRETCH * length)."""
-    count, length = words.shape
-    at = np.zeros(count, np.int64)
-    rows = np.arange(count)
-    padded = np.concatenate([words, np.zeros((count, 1), np.uint64)], axis=1)
-    out = np.empty((count, STRETCH * length), np.uint64)
-    for j in range(STRETCH * length):
-        symbol = padded[rows, at]
-        out[:, j] = symbol
-        step = mix(symbol ^ mix(np.array([j * 64 + walk], np.uint64) + SEED)) & np.uint64(1)
-        at = np.minimum(at + step.astype(np.int64), length)
+def cgk(words: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
+    """Embedding of windows, (windows, STRETCH * longest); words after a window's length are zero."""
+    count, longest = words.shape
+    at = np.arange(count) * (longest + 1)
+    stop = at + lengths
+    flat = np.concatenate([words, np.zeros((count, 1), np.uint64)], axis=1).reshape(-1)
+    step = [mix(np.array([j * 64 + walk], np.uint64) + SEED) | np.uint64(1) for j in range(STRETCH * longest)]
+    out = np.empty((STRETCH * longest, count), np.uint64)
+    for j in range(STRETCH * longest):
+        symbol = flat[at]
+        out[j] = symbol
+        # The random bit of this place and symbol: the top bit of a multiplication by the place's odd number.
+        at = np.minimum(at + ((symbol * step[j]) >> np.uint64(63)).astype(np.int64), stop)
     return out
 
 
-def lsh_keys(words: np.ndarray) -> np.ndarray:
-    """Keys of windows of one length: every table hashes a few sampled places of a walk."""
-    count, length = words.shape
+def lsh_keys(words: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Keys of windows: every table hashes a few sampled places of a walk, and the length."""
+    count, longest = words.shape
+    lengths = np.full(count, longest) if lengths is None else lengths
     keys = np.empty((count, WALKS * TABLES), np.uint64)
+    rows = np.arange(count)
     # Later places have drifted apart more, so they are sampled up to the length of two thirds of the walk.
-    span = 2 * length
     for walk in range(WALKS):
-        embedded = cgk(words, walk)
+        embedded = cgk(words, lengths, walk)
         for t in range(TABLES):
-            total = np.full(count, np.uint64(length << 16 | walk << 8 | t))
+            total = (lengths.astype(np.uint64) << np.uint64(16)) + np.uint64(walk << 8 | t)
             for u in _draws[walk, t]:
-                total = mix(total * np.uint64(31) ^ embedded[:, int(u * span)])
+                total = mix(total * np.uint64(31) ^ embedded[(u * 2 * lengths).astype(np.int64), rows])
             keys[:, walk * TABLES + t] = mix(total)
     return keys.view(np.int64)
 
@@ -128,19 +130,18 @@ def _windows(batch: pa.RecordBatch, seeds: Seeds) -> Iterator[dict]:
         wanted = np.unique(np.stack([length, text, start], axis=1), axis=0)
         padded = np.append(block.hashes, np.zeros(1, np.uint64))
         ids = batch.column("doc_id").slice(block.first, block.count)
-        for n in np.unique(wanted[:, 0]):
-            own = wanted[wanted[:, 0] == n]
-            first = bounds[own[:, 1]] + own[:, 2]
-            index = first[:, None] + np.arange(n)
-            index = np.where(index < bounds[own[:, 1] + 1][:, None], index, len(block.hashes))
-            words = padded[index]
-            keys = lsh_keys(words)
-            steps = np.arange(len(own) + 1)
-            yield {
-                "doc_id": ids.take(pa.array(own[:, 1])), "start": own[:, 2], "n": own[:, 0],
-                "words": list_array(words.view(np.int64).reshape(-1), steps * n),
-                "keys": list_array(keys.reshape(-1), steps * keys.shape[1]),
-            }
+        n, text, start = wanted.T
+        first = bounds[text] + start
+        index = first[:, None] + np.arange(n.max())
+        inside = (index < bounds[text + 1][:, None]) & (np.arange(n.max()) < n[:, None])
+        words = padded[np.where(inside, index, len(block.hashes))]
+        keys = lsh_keys(words, n)
+        own = np.arange(n.max()) < n[:, None]
+        yield {
+            "doc_id": ids.take(pa.array(text)), "start": start, "n": n,
+            "words": list_array(words[own].view(np.int64), np.concatenate([[0], np.cumsum(n)])),
+            "keys": list_array(keys.reshape(-1), np.arange(len(n) + 1) * keys.shape[1]),
+        }
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
