@@ -17,12 +17,16 @@ class Sparse:
 
     @property
     def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        return np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.index) + 1)
-        np.cumsum(weights[self.index] * self.value, out=total[1:])
-        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+        out = np.zeros(len(self.bounds) - 1)
+        for first in range(0, len(out), 256):  # in pieces, so the products need little memory
+            bounds = self.bounds[first:first + 257]
+            part = slice(bounds[0], bounds[-1])
+            total = np.concatenate([[0.0], np.cumsum(weights[self.index[part]] * self.value[part])])
+            out[first:first + 256] = np.diff(total[bounds - bounds[0]])
+        return out
 
     def take(self, rows: np.ndarray) -> "Sparse":
         parts = [np.arange(self.bounds[i], self.bounds[i + 1]) for i in rows]
@@ -48,7 +52,11 @@ def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, width: int, steps: int = 1
     scale = weight / max(weight.sum(), 1e-9)
     for t in range(1, steps + 1):
         error = (sigmoid(x.dot(w) + bias) - y) * scale
-        grad = np.append(np.bincount(x.index, error[rows] * x.value, width) + penalty * w, error.sum())
+        grad = penalty * w
+        for first in range(0, len(x.index), 1 << 20):
+            part = slice(first, first + (1 << 20))
+            grad += np.bincount(x.index[part], error[rows[part]] * x.value[part], width)
+        grad = np.append(grad, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
         w -= step[:-1]

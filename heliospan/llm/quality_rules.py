@@ -117,12 +117,16 @@ def features(texts: list[str]) -> linear.Sparse:
             owner = np.repeat(np.arange(block.count), sizes)
             at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
             found = linear.sparse(owner, ids[at], (1 / np.maximum(sizes, 1))[owner], block.count, WIDTH)
-            rows.append(found.rows + block.first)
-            index.append(found.index)
-            value.append(found.value)
+            rows.append((found.rows + block.first).astype(np.int32))
+            index.append(found.index.astype(np.int32))
+            value.append(found.value.astype(np.float32))
     if not rows:
-        return linear.Sparse(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64))
-    return linear.sparse(np.concatenate(rows), np.concatenate(index), np.concatenate(value), len(texts), WIDTH)
+        return linear.Sparse(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64))
+    # Every text and family is summed already, so ordering by text is all that is left to do.
+    owner = np.concatenate(rows)
+    order = np.argsort(owner, kind="stable").astype(np.int32)
+    bounds = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    return linear.Sparse(np.concatenate(index)[order], np.concatenate(value)[order], bounds)
 
 
 def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float, float, float]:
@@ -131,10 +135,10 @@ def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float, float, fl
         return np.zeros(WIDTH), 0.0, 1.0, 2.0 if not len(y) or y[0] else -2.0
     x = features(texts)
     own = linear.half(y)
-    rows = np.flatnonzero(own)
-    w, bias = linear.fit(x.take(rows), y[rows], linear.balanced(y[rows]), WIDTH)
+    # Rows that are left out have no weight, so the features need no second copy.
+    w, bias = linear.fit(x, y, np.where(own, linear.balanced(y), 0.0), WIDTH)
     held = np.flatnonzero(~own)
-    a, b = linear.platt(x.take(held).dot(w) + bias, y[held])
+    a, b = linear.platt((x.dot(w) + bias)[held], y[held])
     return w, bias, a, b
 
 
