@@ -25,12 +25,26 @@ def bit_columns(banding: Banding) -> list[str]:
     return [f"bits{i}" for i in range(banding.words)]
 
 
+def parity_columns(banding: Banding) -> list[str]:
+    return [f"parity{i}" for i in range(banding.parity // 64)]
+
+
+def _differing(columns: list[str], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x + y, [
+        F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in columns])
+
+
 def _plausible(banding: Banding, a: str, b: str) -> Column:
-    """Sizes and signature bits of prefixes ``a`` and ``b`` allow a similarity of MIN_PERCENT."""
-    differ = reduce(lambda x, y: x + y, [
-        F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in bit_columns(banding)])
+    """Sizes, signature bits and parities of prefixes ``a`` and ``b`` allow a similarity of MIN_PERCENT.
+
+    Sets of that similarity differ in at most (100 - MIN_PERCENT) / (100 + MIN_PERCENT) of
+    the sum of their sizes, and parities differ in no more places: that test loses nothing.
+    """
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(na, nb) >= MIN_PERCENT * F.greatest(na, nb)) & (differ <= banding.slots - banding.agree)
+    sizes = 100 * F.least(na, nb) >= MIN_PERCENT * F.greatest(na, nb)
+    signature = _differing(bit_columns(banding), a, b) <= banding.slots - banding.agree
+    odd = _differing(parity_columns(banding), a, b)
+    return sizes & signature & ((100 + MIN_PERCENT) * odd <= (100 - MIN_PERCENT) * (na + nb))
 
 
 def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
@@ -40,16 +54,17 @@ def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
 def link_classes(classes: DataFrame, banding: Banding, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Verified links (u, v) that join all similar classes into their components.
 
-    ``classes`` has rep, n (set size), bands and the bit columns. Every class is
+    ``classes`` has rep, n (set size), bands, the bit and the parity columns. Every class is
     compared with the smallest class it shares a bucket with, then with the smallest
     of each bucket that is in another component. Last, in buckets that still hold
     several components, the members outside the largest one are compared with
     members of other components. A pair in one component is never compared again,
-    so a group of near copies costs about one comparison each. Sizes and signature
-    bits are tested inside the join, so pairs that merely share a passage are not
-    made into rows. ``verified`` keeps the pairs that are similar on full sets.
+    so a group of near copies costs about one comparison each. Sizes, signature bits
+    and parities are tested inside the join, so pairs that merely share a passage are
+    not made into rows. ``verified`` keeps the pairs that are similar on full sets.
     """
-    facts = materialize(classes.select("rep", "n", *bit_columns(banding)).dropDuplicates(["rep"]), "facts")
+    marks = bit_columns(banding) + parity_columns(banding)
+    facts = materialize(classes.select("rep", "n", *marks).dropDuplicates(["rep"]), "facts")
     entries = classes.select("rep", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
     crowded = materialize(entries.join(hubs.select("key", "hub"), "key"), "crowded")

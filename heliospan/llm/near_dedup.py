@@ -14,15 +14,16 @@ from heliospan.llm.common import (
     filter_slot, id_filter, list_array, materialize, maybe_in, over_batches, prepared,
 )
 from heliospan.llm.components import components
-from heliospan.llm.linking import bit_columns, link_classes, similar
+from heliospan.llm.linking import bit_columns, link_classes, parity_columns, similar
 from heliospan.llm.words import blocks, mix, shingle_sets
 
 # 64 bands of 7 slots miss a pair at a similarity of 0.75 with a chance of about (1 - 0.75^7)^64 = 1e-4, and one at
 # 0.8 with 3e-7. Two signatures of that similarity have 224 of 256 equal bits on average, with a deviation of 5.3.
-BANDING = superminhash.Banding(slots=256, bands=64, rows=7, agree=200)
+BANDING = superminhash.Banding(slots=256, bands=64, rows=7, agree=200, parity=1024)
 
+MARKS = bit_columns(BANDING) + parity_columns(BANDING)
 SKETCH = "doc_id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, bands ARRAY<BIGINT>, " + ", ".join(
-    f"{c} BIGINT" for c in bit_columns(BANDING))
+    f"{c} BIGINT" for c in MARKS)
 SETS = "doc_id BIGINT, n BIGINT, items ARRAY<BIGINT>"
 
 
@@ -36,7 +37,7 @@ def _sketches(batch: pa.RecordBatch) -> Iterator[dict]:
     for first, values, bounds in _sets(batch):
         count = len(bounds) - 1
         signature = superminhash.signatures(values, bounds, BANDING.slots)
-        bits = BANDING.bits(signature)
+        bits = np.hstack([BANDING.bits(signature), BANDING.parities(values, bounds)])
         sums = []
         for seed in (1, 2):
             total = np.zeros(len(values) + 1, np.uint64)
@@ -46,7 +47,7 @@ def _sketches(batch: pa.RecordBatch) -> Iterator[dict]:
             "doc_id": batch.column("doc_id").slice(first, count), "n_shingles": np.diff(bounds),
             "h1": sums[0], "h2": sums[1],
             "bands": list_array(BANDING.keys(signature).reshape(-1), np.arange(count + 1) * BANDING.bands),
-        } | {c: bits[:, i] for i, c in enumerate(bit_columns(BANDING))}
+        } | {c: bits[:, i] for i, c in enumerate(MARKS)}
 
 
 def _full_sets(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:

@@ -19,12 +19,12 @@ from heliospan.llm.common import (
     FILTER_BITS, id_filter, list_array, materialize, maybe_in, over_batches, prepared,
 )
 from heliospan.llm.components import components
-from heliospan.llm.linking import bit_columns, link_classes, similar
+from heliospan.llm.linking import bit_columns, link_classes, parity_columns, similar
 from heliospan.llm.words import Block, blocks, mix, shingle_sets
 
 # 14 bands of 3 of 64 slots miss a pair at a similarity of 0.75 with a chance of (1 - 0.75^3)^14 = 5e-4. Such a pair
 # has 56 of 64 equal bits on average, with a deviation of 2.6.
-BANDING = superminhash.Banding(slots=64, bands=14, rows=3, agree=45)
+BANDING = superminhash.Banding(slots=64, bands=14, rows=3, agree=45, parity=256)
 MIN_SENTENCE = 5  # words
 MIN_BANDED = 12  # words; a shorter line is compared as a whole only
 # Repeated paragraphs of a document with at most so many other words between them are one passage.
@@ -32,7 +32,8 @@ MAX_GAP = 6
 MIN_PASSAGE = 16  # words
 
 UNITS = "doc_id BIGINT, start INT, n_words INT, mark BIGINT, banded BOOLEAN"
-SKETCH = "mark BIGINT, n BIGINT, bands ARRAY<BIGINT>, " + ", ".join(f"{c} BIGINT" for c in bit_columns(BANDING))
+MARKS = bit_columns(BANDING) + parity_columns(BANDING)
+SKETCH = "mark BIGINT, n BIGINT, bands ARRAY<BIGINT>, " + ", ".join(f"{c} BIGINT" for c in MARKS)
 SETS = "mark BIGINT, n BIGINT, items ARRAY<BIGINT>"
 
 _ENDS_SENTENCE = np.isin(np.arange(256), list(b".!?"))
@@ -110,13 +111,13 @@ def _sketches(batch: pa.RecordBatch) -> Iterator[dict]:
             continue
         mark, values, bounds = _line_sets(block)
         signature = superminhash.signatures(values, bounds, BANDING.slots)
-        bits = BANDING.bits(signature)
+        bits = np.hstack([BANDING.bits(signature), BANDING.parities(values, bounds)])
         keys = BANDING.keys(signature)
         _, once = np.unique(mark, return_index=True)
         yield {
             "mark": mark[once], "n": np.diff(bounds)[once],
             "bands": list_array(keys[once].reshape(-1), np.arange(len(once) + 1) * BANDING.bands),
-        } | {c: bits[once, i] for i, c in enumerate(bit_columns(BANDING))}
+        } | {c: bits[once, i] for i, c in enumerate(MARKS)}
 
 
 def _full_sets(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:

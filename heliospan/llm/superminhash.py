@@ -74,12 +74,14 @@ class Banding:
 
     ``agree`` is the least number of equal last bits of two signatures to be
     compared at all: at a similarity of 0.75 a bit is equal with a chance of 0.875.
+    ``parity`` is the width of the parity sketch in bits.
     """
 
     slots: int
     bands: int
     rows: int
     agree: int
+    parity: int
 
     @property
     def words(self) -> int:
@@ -99,3 +101,16 @@ class Banding:
     def bits(self, signature: np.ndarray) -> np.ndarray:
         """The last bit of every slot, packed into 64-bit words."""
         return np.packbits((signature & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+
+    def parities(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Odd or even number of elements per hash cell of every set, packed into 64-bit words.
+
+        A cell that differs between two sets holds at least one element of only one of
+        them, so the differing bits never exceed the size of the symmetric difference.
+        """
+        words, count = self.parity // 64, len(bounds) - 1
+        cell = mix(values + _GOLDEN) % np.uint64(self.parity)
+        at = np.repeat(np.arange(count), np.diff(bounds)) * words + (cell >> np.uint64(6)).astype(np.int64)
+        flat = np.zeros(count * words, np.uint64)
+        np.bitwise_xor.at(flat, at, np.uint64(1) << (cell & np.uint64(63)))
+        return flat.reshape(count, words).view(np.int64)

@@ -87,6 +87,18 @@ def test_superminhash_estimates_similarity():
     assert len(set(few[0] >> np.uint64(48))) == 64  # one element fills one slot per level
 
 
+def test_parities_never_exceed_the_symmetric_difference():
+    random = np.random.default_rng(4)
+    pool = random.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = [np.sort(random.choice(pool, size, replace=False)) for size in (0, 1, 20, 150, 151, 400, 900)]
+    bounds = np.cumsum([0, *map(len, sets)])
+    parities = near_dedup.BANDING.parities(np.concatenate(sets), bounds)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = sum(int(x).bit_count() for x in (parities[i] ^ parities[j]).view(np.uint64))
+            assert differ <= len(np.setxor1d(a, b)) and (differ - len(a) - len(b)) % 2 == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u BIGINT, v BIGINT").repartition(7)
     got = {r.node: r.component for r in components.components(links).collect()}
