@@ -24,7 +24,7 @@ from heliospan.llm.words import Block, blocks, mix, shingle_sets
 
 # 14 bands of 3 of 64 slots miss a pair at a similarity of 0.75 with a chance of (1 - 0.75^3)^14 = 5e-4. Such a pair
 # has 56 of 64 equal bits on average, with a deviation of 2.6.
-BANDING = superminhash.Banding(slots=64, bands=14, rows=3, agree=45, parity=256)
+BANDING = superminhash.Banding(slots=64, bands=14, rows=3, agree=45, parity=512)
 MIN_SENTENCE = 5  # words
 MIN_BANDED = 12  # words; a shorter line is compared as a whole only
 # Repeated paragraphs of a document with at most so many other words between them are one passage.
