@@ -45,9 +45,15 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def newest_fetch(landed: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines of the newest fetch of every key; a curve fetched again replaces the older one."""
+    """Lines of the newest fetch of every key; without keys, of the newest fetch of all.
+
+    A payload fetched again replaces the older one. All pages of a fetch share its
+    ``seq``. A missing key or ``seq`` is a value of its own, older than any other.
+    """
     newest = landed.groupBy(*keys).agg(F.max("seq").alias("seq"))
-    return landed.join(newest, [*keys, "seq"], "left_semi")
+    newest = newest.select(*[F.col(c).alias(f"_newest_{c}") for c in [*keys, "seq"]])
+    same = [landed[c].eqNullSafe(newest[f"_newest_{c}"]) for c in [*keys, "seq"]]
+    return landed.join(newest, same, "left_semi")
 
 
 def parse_station_pages(landed: DataFrame) -> DataFrame:
@@ -112,29 +118,31 @@ def parse_inverter_detail(landed: DataFrame) -> DataFrame:
     return rows.filter("item is not null").select("inverter_id", "item.*")
 
 
-def _good(spark: SparkSession, path: str) -> DataFrame:
-    return split_envelopes(read_landed(spark, path))[0]
+def _good(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Good lines of the newest fetch of every request key."""
+    return newest_fetch(split_envelopes(read_landed(spark, path))[0], keys)
 
 
 def read_station_pages(spark: SparkSession, path: str) -> DataFrame:
-    return parse_station_pages(_good(spark, path))
+    return parse_station_pages(_good(spark, path, []))
 
 
 def read_station_detail(spark: SparkSession, path: str) -> DataFrame:
-    return parse_station_detail(_good(spark, path))
+    return parse_station_detail(_good(spark, path, ["station_id"]))
 
 
 def read_day_points(spark: SparkSession, path: str, key: str = "station_id") -> DataFrame:
-    return parse_day_points(_good(spark, path), key)
+    return parse_day_points(_good(spark, path, [key, "day"]), key)
 
 
 def read_month_days(spark: SparkSession, path: str, key: str = "station_id") -> DataFrame:
-    return parse_month_days(_good(spark, path), key)
+    return parse_month_days(_good(spark, path, [key, "month"]), key)
 
 
 def read_station_all(spark: SparkSession, path: str) -> DataFrame:
-    return parse_station_all(_good(spark, path))
+    return parse_station_all(_good(spark, path, ["station_id"]))
 
 
 def read_inverters(spark: SparkSession, list_path: str, detail_path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_inverters(_good(spark, list_path)), parse_inverter_detail(_good(spark, detail_path))
+    listed = parse_inverters(_good(spark, list_path, ["station_id"]))
+    return listed, parse_inverter_detail(_good(spark, detail_path, ["entity_id"]))

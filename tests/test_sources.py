@@ -66,6 +66,33 @@ def test_newest_fetch_replaces(spark):
     assert sorted(r.data for r in landed.newest_fetch(rows, ["station_id"]).collect()) == ["w", "y", "z"]
 
 
+def test_readers_take_the_newest_fetch(spark, tmp_path):
+    curve = {"station_id": "a", "entity_id": "I", "day": "d", "month": "m"}
+    path = land(
+        tmp_path,
+        curve | {"seq": 1, "page_no": 1, "data": [{"time": "1", "dateStr": "x"}, {"time": "2", "dateStr": "y"}]},
+        curve | {"seq": 3, "page_no": 1, "data": [{"time": "3", "dateStr": "z"}]},
+        curve | {"seq": 3, "page_no": 2, "data": [{"time": "4", "dateStr": "w"}]},
+        {"station_id": "b", "day": "d", "month": "m", "seq": 2, "data": [{"time": "5", "dateStr": "v"}]},
+        curve | {"seq": 4, "success": False, "code": "9", "data": None},
+    )
+    points = landed.read_day_points(spark, path)
+    assert sorted((r.station_id, r.time) for r in points.collect()) == [("a", "3"), ("a", "4"), ("b", "5")]
+    days = landed.read_month_days(spark, path, "entity_id")
+    assert sorted((r.entity_id or "", r.dateStr) for r in days.collect()) == [("", "v"), ("I", "w"), ("I", "z")]
+    assert landed.read_station_all(spark, path).count() == 3
+
+
+def test_newest_listing_and_detail(spark, tmp_path):
+    pages = [(1, 1, "A"), (1, 2, "B"), (2, 1, "C")]
+    path = land(tmp_path, *[
+        {"station_id": "s", "seq": seq, "page_no": page, "data": {"id": i, "page": {"total": 1, "records": [{"id": i}]}}}
+        for seq, page, i in pages])
+    assert [r.id for r in landed.read_station_pages(spark, path).collect()] == ["C"]
+    assert [r.id for r in landed.read_station_detail(spark, path).collect()] == ["C"]
+    assert [r.inverter_id for r in landed.read_inverters(spark, path, path)[0].collect()] == ["C"]
+
+
 def test_station_filter_csv(spark, tmp_path):
     path = tmp_path / "f.csv"
     path.write_text(tables.BYTE_ORDER_MARK + schemas.LONG_STATION_FIELD + ",x\n 12 ,1\n,2\n12,3\n", encoding="utf-8")
