@@ -1,8 +1,9 @@
 """Passages that repeat across documents: paragraph MinHash banding, verification, removal by components.
 
 A paragraph is a line; it is compared as a set of five-word shingles. Its sentences
-are paragraphs too, compared as wholes, so a passage that was put into the middle
-of a line is found by the sentences inside it.
+are paragraphs too, compared as wholes. Passages inside longer lines are found by
+their runs of words, wherever lines and sentences begin: spans of ``SPAN`` words at
+local minima of their hashes, then every span around those that stand twice.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from heliospan.llm.common import (
 )
 from heliospan.llm.components import components
 from heliospan.llm.linking import bit_columns, link_classes, parity_columns, similar
-from heliospan.llm.words import Block, blocks, mix, shingle_sets
+from heliospan.llm.words import Block, blocks, mix, runs, shingle_sets
 
 # 14 bands of 3 of 64 slots miss a pair at a similarity of 0.75 with a chance of (1 - 0.75^3)^14 = 5e-4. Such a pair
 # has 56 of 64 equal bits on average, with a deviation of 2.6.
@@ -30,11 +31,19 @@ MIN_BANDED = 12  # words; a shorter line is compared as a whole only
 # Repeated paragraphs of a document with at most so many other words between them are one passage.
 MAX_GAP = 6
 MIN_PASSAGE = 16  # words
+# Of every SPACING spans in a row the one with the smallest hash is an anchor, so equal runs of SPAN + SPACING - 1
+# words have an anchor in common, whatever stands around them.
+SPAN = 6  # words
+SPACING = 7
+# All spans so many words around a repeated anchor are compared: two edits with a short run between them are passed.
+REACH = 24
 
 UNITS = "doc_id BIGINT, start INT, n_words INT, mark BIGINT, banded BOOLEAN"
 MARKS = bit_columns(BANDING) + parity_columns(BANDING)
 SKETCH = "mark BIGINT, n BIGINT, bands ARRAY<BIGINT>, " + ", ".join(f"{c} BIGINT" for c in MARKS)
 SETS = "mark BIGINT, n BIGINT, items ARRAY<BIGINT>"
+ANCHORS = "mark BIGINT, copies BIGINT"
+SPANS = "doc_id BIGINT, start INT, mark BIGINT"
 
 _ENDS_SENTENCE = np.isin(np.arange(256), list(b".!?"))
 
@@ -128,6 +137,62 @@ def _full_sets(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
                 yield {"mark": mark, "n": np.diff(bounds), "items": list_array(values.view(np.int64), bounds)}
 
 
+def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the span at every word, and the words where an anchor starts. A text's spans alone decide on its anchors."""
+    marks = runs(block.hashes, SPAN)
+    n = len(marks) - SPACING + 1
+    if n <= 0:
+        return marks.view(np.int64), np.zeros(0, np.int64)
+    best, at = marks[SPACING - 1:].copy(), np.arange(n) + SPACING - 1
+    for i in range(SPACING - 2, -1, -1):  # of equal ones the last
+        less = marks[i:i + n] < best
+        best[less] = marks[i:i + n][less]
+        at[less] = np.flatnonzero(less) + i
+    whole = block.text[:n] == block.text[SPAN + SPACING - 2:]
+    return marks.view(np.int64), np.unique(at[whole])
+
+
+def _anchor_counts(batch: pa.RecordBatch) -> Iterator[dict]:
+    for block in blocks(batch.column("text")):
+        marks, at = _anchors(block)
+        if len(at):
+            mark, copies = np.unique(marks[at], return_counts=True)
+            yield {"mark": mark, "copies": copies}
+
+
+def _spans_near(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
+    """All spans within ``REACH`` words of the anchors that may stand twice."""
+    for block in blocks(batch.column("text")):
+        marks, at = _anchors(block)
+        at = at[maybe_in(wanted, _slots(marks[at]))]
+        if not len(at):
+            continue
+        bounds, text = block.bounds, block.text[at]
+        edge = np.zeros(len(block.hashes) + 1, np.int64)
+        np.add.at(edge, np.maximum(at - REACH, bounds[text]), 1)
+        np.add.at(edge, np.minimum(at + REACH + 1, bounds[text + 1] - SPAN + 1), -1)
+        first = np.flatnonzero(np.cumsum(edge) > 0)
+        text = block.text[first]
+        yield {
+            "doc_id": batch.column("doc_id").slice(block.first, block.count).take(pa.array(text)),
+            "start": first - bounds[text], "mark": marks[first],
+        }
+
+
+def _repeated_spans(texts: DataFrame) -> DataFrame:
+    """Places of spans that stand twice, in two texts or ``MIN_PASSAGE`` words apart: doc_id, start, mark, and the first place."""
+    anchors = over_batches(texts.select("text"), _anchor_counts, ANCHORS)
+    wanted = anchors.groupBy("mark").agg(F.sum("copies").alias("copies")).filter("copies > 1")
+    slots = id_filter(wanted, F.col("mark").bitwiseAND(FILTER_BITS - 1))
+    shared = texts.sparkSession.sparkContext.broadcast(slots)
+    spans = materialize(over_batches(texts, _spans_near, SPANS, lambda: shared.value), "spans")
+    place = F.struct("doc_id", "start")
+    ends = spans.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    ends = ends.filter((F.col("low.doc_id") < F.col("high.doc_id")) | (
+        F.col("high.start") - F.col("low.start") >= MIN_PASSAGE))
+    return spans.join(ends.select("mark", "low"), "mark")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of line contents that are similar on full shingle sets."""
     wanted = pairs.select(F.col("u").alias("mark")).unionByName(pairs.select(F.col("v").alias("mark")))
@@ -148,8 +213,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     components). A component's first paragraph by doc_id and place stays; all
     others are to be removed. Lines are similar at 0.75 or more on five-word
     shingles, or equal as wholes; sentences are equal as wholes, whatever the
-    blanks between words and the case of A-Z. Neighbouring repeated paragraphs
-    are one passage; passages under ``MIN_PASSAGE`` words are no repetition.
+    blanks between words and the case of A-Z. Inside longer lines, a run of
+    ``SPAN + SPACING - 1`` equal words is found wherever it stands; from there equal
+    spans of ``SPAN`` words extend it word by word, over edits up to ``MAX_GAP`` words
+    long, and each is a paragraph of its own. Neighbouring repeated paragraphs are
+    one passage; passages under ``MIN_PASSAGE`` words are no repetition.
 
     Null or empty texts and null ids give no rows. A repeated row repeats its
     passages under the same doc_id. Extra columns are not read.
@@ -172,7 +240,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     head = places.filter("doc_id = first_doc_id").groupBy("component").agg(F.min("start").alias("first_start"))
     places = places.join(head, "component")
     removed = (F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") != F.col("first_start"))
-    places = places.withColumn("removed", removed)
+    places = places.withColumn("removed", removed).drop("first_start")
+    spans = _repeated_spans(texts)
+    places = places.unionByName(spans.select(
+        "doc_id", "start", F.lit(SPAN).alias("n_words"), F.col("mark").alias("component"),
+        F.col("low.doc_id").alias("first_doc_id"),
+        ((F.col("doc_id") != F.col("low.doc_id")) | (F.col("start") != F.col("low.start"))).alias("removed")))
     # Join neighbouring paragraphs of a document into passages.
     order = Window.partitionBy("doc_id", "removed").orderBy("start", F.desc("n_words"), "component")
     stop = F.max(F.col("start") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -248,6 +248,28 @@ def test_passages_put_into_lines_are_found(spark, none, docs):
     assert {5, 6, 8} <= {r.doc_id for r in paragraphs.repeated_passages(docs).collect()}
 
 
+@pytest.mark.parametrize("edits", [0, 4])
+def test_passages_without_sentences_and_with_edits_are_found(spark, edits):
+    rng = random.Random(18 + edits)
+    plain = lambda n: " ".join(prose(rng, n).replace(".", "").split())
+    rows, at_word, size = [], {}, 60 if edits else 20
+    for _ in range(20):
+        passage = plain(size).split(" ")
+        for copy in range(2):
+            own = list(passage)
+            for i in range(edits * copy):
+                own[10 + 12 * i] = "edited"  # runs of 10 and 11 words are left, and one of 13
+            host = plain(120).split(" ")
+            at_word[len(rows)] = at = rng.randrange(1, len(host))
+            rows.append((len(rows), " ".join(host[:at] + own + host[at:])))
+    rows += [(len(rows) + i, plain(150)) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = paragraphs.repeated_passages(table).collect()
+    whole = {r.doc_id for r in got if (r.start, r.n_words) == (at_word.get(r.doc_id), size)}
+    assert {r.doc_id for r in got} <= set(at_word) and len(whole) >= 0.95 * len(at_word)
+    assert {r.doc_id for r in got if r.removed} == {i for i in whole if i % 2}
+
+
 def plain_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
