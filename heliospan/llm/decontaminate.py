@@ -1,9 +1,9 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
+"""Benchmark decontamination: word triples shared with an item, counted over item-sized windows, exact edit check.
 
-The embedding walks through a window with a random step per place and symbol, so
-that a few edits turn into a few differing places: edit distance becomes Hamming
-distance. Keys of a few sampled places then collide for windows that are close.
-Symbols are lower-cased words.
+An edit changes at most three triples of an item, so a window within the edit limit
+shares all but three per edit with it. That count rules out nearly all places and
+loses none at any item length, as sampled places of a CGK walk do: a long walk has
+drifted over most places after one edit per five words. Symbols are lower-cased words.
 """
 
 from __future__ import annotations
@@ -17,131 +17,132 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.llm.common import list_array, materialize, over_batches, prepared
-from heliospan.llm.words import blocks, mix, runs
+from heliospan.llm.words import Block, blocks, runs
 
 # A window leaks an item when at most one edit per five words of the item parts them.
 WORDS_PER_EDIT = 5
 MIN_WORDS = 5
-# A window with so few edits has this many untouched words in a row somewhere: (n - k) / (k + 1) >= 3 for k = n // 5.
 SEED_WORDS = 3
-WALKS = 4
-TABLES = 10
-SAMPLED = 3
-STRETCH = 3
+# Seeds found, and words compared, at a time.
+PIECE = 1 << 20
 # Items looked up in one pass; a larger benchmark takes several passes over the documents.
 ITEMS_PER_PASS = 20_000
-SEED = np.uint64(10)
 
-ITEMS = "item_id BIGINT, n INT, words ARRAY<BIGINT>, keys ARRAY<BIGINT>"
-WINDOWS = "doc_id BIGINT, start INT, n INT, words ARRAY<BIGINT>, keys ARRAY<BIGINT>"
+ITEMS = "item_id BIGINT, n INT, words ARRAY<BIGINT>"
 HITS = "doc_id BIGINT, item_id BIGINT, start INT, n INT, edits INT"
 
-_draws = np.random.default_rng(10).random((WALKS, TABLES, SAMPLED))
-
 
 @dataclass
 class Seeds:
-    """Word triples of the items, sorted, each with where it stands and the item's length."""
+    """Word runs of ``size`` of the items, sorted, each with its item and where it stands."""
 
+    size: int
     hashes: np.ndarray
     offset: np.ndarray
-    length: np.ndarray
-
-
-def cgk(words: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
-    """Embedding of windows, (windows, STRETCH * longest); words after a window's length are zero."""
-    count, longest = words.shape
-    at = np.arange(count) * (longest + 1)
-    stop = at + lengths
-    flat = np.concatenate([words, np.zeros((count, 1), np.uint64)], axis=1).reshape(-1)
-    step = [mix(np.array([j * 64 + walk], np.uint64) + SEED) | np.uint64(1) for j in range(STRETCH * longest)]
-    out = np.empty((STRETCH * longest, count), np.uint64)
-    for j in range(STRETCH * longest):
-        symbol = flat[at]
-        out[j] = symbol
-        # The random bit of this place and symbol: the top bit of a multiplication by the place's odd number.
-        at = np.minimum(at + ((symbol * step[j]) >> np.uint64(63)).astype(np.int64), stop)
-    return out
-
-
-def lsh_keys(words: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
-    """Keys of windows: every table hashes a few sampled places of a walk, and the length."""
-    count, longest = words.shape
-    lengths = np.full(count, longest) if lengths is None else lengths
-    keys = np.empty((count, WALKS * TABLES), np.uint64)
-    rows = np.arange(count)
-    # Later places have drifted apart more, so they are sampled up to the length of two thirds of the walk.
-    for walk in range(WALKS):
-        embedded = cgk(words, lengths, walk)
-        for t in range(TABLES):
-            total = (lengths.astype(np.uint64) << np.uint64(16)) + np.uint64(walk << 8 | t)
-            for u in _draws[walk, t]:
-                total = mix(total * np.uint64(31) ^ embedded[(u * 2 * lengths).astype(np.int64), rows])
-            keys[:, walk * TABLES + t] = mix(total)
-    return keys.view(np.int64)
+    item: np.ndarray
+
+
+@dataclass
+class Items:
+    ids: np.ndarray
+    bounds: np.ndarray  # words of item i are ``words[bounds[i]:bounds[i + 1]]``
+    words: np.ndarray
+    seeds: list[Seeds]
+
+
+def seed_words(n: np.ndarray) -> np.ndarray:
+    """Words of the seeds of items of ``n`` words."""
+    return np.full(len(n), SEED_WORDS)
 
 
 def _items(batch: pa.RecordBatch) -> Iterator[dict]:
     for block in blocks(batch.column("text")):
-        bounds = block.bounds
-        ids = batch.column("item_id").slice(block.first, block.count)
-        for i in range(block.count):
-            words = block.hashes[bounds[i]:bounds[i + 1]]
-            if len(words) >= MIN_WORDS:
-                yield {
-                    "item_id": ids.slice(i, 1), "n": [len(words)], "words": [words.view(np.int64)],
-                    "keys": [lsh_keys(words[None])[0]],
-                }
-
-
-def seeds_of(words: list[np.ndarray]) -> Seeds:
-    hashes, offset, length = [], [], []
-    for w in words:
-        own = runs(w, SEED_WORDS)
-        hashes.append(own)
-        offset.append(np.arange(len(own)))
-        length.append(np.full(len(own), len(w)))
-    if not hashes:
-        return Seeds(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    rows = np.stack([np.concatenate(hashes), np.concatenate(offset).astype(np.uint64),
-                     np.concatenate(length).astype(np.uint64)], axis=1)
-    rows = np.unique(rows, axis=0)
-    return Seeds(rows[:, 0].copy(), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64))
-
-
-def _windows(batch: pa.RecordBatch, seeds: Seeds) -> Iterator[dict]:
-    """Item-sized windows around every place where a seed of an item of that size stands, with their keys."""
+        n = np.diff(block.bounds)
+        rows = np.flatnonzero(n >= MIN_WORDS)
+        if len(rows):
+            words = list_array(block.hashes.view(np.int64), block.bounds)
+            yield {
+                "item_id": batch.column("item_id").slice(block.first, block.count).take(pa.array(rows)),
+                "n": n[rows], "words": words.take(pa.array(rows)),
+            }
+
+
+def lookup(ids: list[int], words: list[np.ndarray]) -> Items:
+    bounds = np.cumsum([0, *map(len, words)])
+    flat = np.concatenate([*words, np.zeros(0, np.uint64)])
+    n, owner, seeds = np.diff(bounds), np.repeat(np.arange(len(words)), np.diff(bounds)), []
+    wanted = seed_words(n)
+    for size in np.unique(wanted):
+        hashes = runs(flat, int(size))
+        at = np.flatnonzero((owner[:len(hashes)] == owner[size - 1:]) & (wanted[owner[:len(hashes)]] == size))
+        at = at[np.argsort(hashes[at], kind="stable")]
+        seeds.append(Seeds(int(size), hashes[at], at - bounds[owner[at]], owner[at]))
+    return Items(np.array(ids, np.int64), bounds, flat, seeds)
+
+
+def _candidates(block: Block, items: Items, seeds: Seeds) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text, item and start of every window with as many seeds as the edit limit leaves."""
+    hashes, sizes, bounds = runs(block.hashes, seeds.size), np.diff(items.bounds), block.bounds
+    if not len(hashes) or not len(seeds.hashes):
+        return
+    low = np.searchsorted(seeds.hashes, hashes)
+    found = np.flatnonzero(seeds.hashes[np.minimum(low, len(seeds.hashes) - 1)] == hashes)
+    found = found[block.text[found] == block.text[found + seeds.size - 1]]
+    low = low[found]
+    each = np.searchsorted(seeds.hashes, hashes[found], "right") - low
+    texts, first = np.unique(block.text[found], return_index=True)
+    total = np.append(np.cumsum(each) - each, each.sum())
+    first = np.append(first, len(found))
+    i = 0
+    while i < len(texts):  # whole texts, about PIECE seeds at a time
+        j = max(int(np.searchsorted(total[first], total[first[i]] + PIECE, "right")) - 1, i + 1)
+        part = slice(first[i], first[j])
+        i, own = j, each[part]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(low[part], own)
+        place, item, offset = np.repeat(found[part], own), seeds.item[at], seeds.offset[at]
+        order = np.lexsort((place, item, block.text[place]))
+        place, item, offset = place[order], item[order], offset[order]
+        text, n = block.text[place], sizes[item]
+        limit = n // WORDS_PER_EDIT
+        # The seed that makes the count full has to stand in the same text, for the same item, within a window.
+        ahead = np.arange(len(place)) + np.maximum(n - seeds.size + 1 - seeds.size * limit, 1) - 1
+        last = np.minimum(ahead, len(place) - 1)
+        full = np.flatnonzero((ahead < len(place)) & (text[last] == text) & (item[last] == item) & (
+            place[last] - place <= n - seeds.size))
+        edge = np.zeros(len(place) + 1, np.int64)
+        np.add.at(edge, full, 1)
+        np.add.at(edge, last[full] + 1, -1)
+        alive = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        text, item, n = text[alive], item[alive], n[alive]
+        start = place[alive] - bounds[text] - offset[alive]
+        start = np.clip(start, 0, np.maximum(bounds[text + 1] - bounds[text] - n, 0))
+        if len(start):
+            yield tuple(np.unique(np.stack([text, item, start], axis=1), axis=0).T)
+
+
+def _hits(batch: pa.RecordBatch, items: Items) -> Iterator[dict]:
+    """Windows of the items' lengths within the edit limit; behind the end of a text a window has no words."""
+    sizes = np.diff(items.bounds)
     for block in blocks(batch.column("text")):
-        triples = runs(block.hashes, SEED_WORDS)
-        if not len(triples) or not len(seeds.hashes):
-            continue
-        low = np.searchsorted(seeds.hashes, triples)
-        found = np.flatnonzero(seeds.hashes[np.minimum(low, len(seeds.hashes) - 1)] == triples)
-        found = found[block.text[found] == block.text[found + SEED_WORDS - 1]]
-        if not len(found):
-            continue
-        low, high = low[found], np.searchsorted(seeds.hashes, triples[found], "right")
-        each = high - low
-        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
-        place = np.repeat(found, each)
-        text, length = block.text[place], seeds.length[at]
-        bounds = block.bounds
-        start = np.clip(place - bounds[text] - seeds.offset[at], 0, np.maximum(bounds[text + 1] - bounds[text] - length, 0))
-        wanted = np.unique(np.stack([length, text, start], axis=1), axis=0)
-        padded = np.append(block.hashes, np.zeros(1, np.uint64))
         ids = batch.column("doc_id").slice(block.first, block.count)
-        n, text, start = wanted.T
-        first = bounds[text] + start
-        index = first[:, None] + np.arange(n.max())
-        inside = (index < bounds[text + 1][:, None]) & (np.arange(n.max()) < n[:, None])
-        words = padded[np.where(inside, index, len(block.hashes))]
-        keys = lsh_keys(words, n)
-        own = np.arange(n.max()) < n[:, None]
-        yield {
-            "doc_id": ids.take(pa.array(text)), "start": start, "n": n,
-            "words": list_array(words[own].view(np.int64), np.concatenate([[0], np.cumsum(n)])),
-            "keys": list_array(keys.reshape(-1), np.arange(len(n) + 1) * keys.shape[1]),
-        }
+        padded = np.append(block.hashes, np.zeros(1, np.uint64))
+        for seeds in items.seeds:
+            for texts, numbers, starts in _candidates(block, items, seeds):
+                for n in np.unique(sizes[numbers]):
+                    same = np.flatnonzero(sizes[numbers] == n)
+                    step = max(PIECE // int(n), 1)
+                    for rows in (same[i:i + step] for i in range(0, len(same), step)):
+                        text, item, start = texts[rows], numbers[rows], starts[rows]
+                        index = (block.bounds[text] + start)[:, None] + np.arange(n)
+                        inside = index < block.bounds[text + 1][:, None]
+                        edits = edit_distances(
+                            padded[np.where(inside, index, len(block.hashes))],
+                            items.words[items.bounds[item][:, None] + np.arange(n)])
+                        close = np.flatnonzero(edits <= n // WORDS_PER_EDIT)
+                        yield {
+                            "doc_id": ids.take(pa.array(text[close])), "item_id": items.ids[item[close]],
+                            "start": start[close], "n": np.full(len(close), n), "edits": edits[close],
+                        }
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,36 +159,19 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return before[:, n]
 
 
-def _check(batch: pa.RecordBatch) -> Iterator[dict]:
-    n = batch.column("n").to_numpy()
-    edits = np.empty(len(n), np.int64)
-    left, right = batch.column("words").to_pylist(), batch.column("item_words").to_pylist()
-    for size in np.unique(n):
-        at = np.flatnonzero(n == size)
-        edits[at] = edit_distances(np.array([left[i] for i in at]), np.array([right[i] for i in at]))
-    close = np.flatnonzero(edits <= n // WORDS_PER_EDIT)
-    yield {k: batch.column(k).take(pa.array(close)) for k in ("doc_id", "item_id", "start", "n")} | {"edits": edits[close]}
-
-
 def _one_pass(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    seeds = seeds_of([np.array(r[0], np.int64).view(np.uint64) for r in items.select("words").collect()])
-    shared = spark.sparkContext.broadcast(seeds)
-    windows = materialize(over_batches(docs, _windows, WINDOWS, lambda: shared.value), "windows")
-    keys = items.select("item_id", F.explode("keys").alias("key"))
-    probes = windows.select("doc_id", "start", "n", F.explode("keys").alias("key"))
-    pairs = probes.join(keys, "key").select("doc_id", "start", "n", "item_id").distinct()
-    pairs = pairs.join(windows.select("doc_id", "start", "n", "words").distinct(), ["doc_id", "start", "n"])
-    pairs = pairs.join(items.select("item_id", F.col("n").alias("m"), F.col("words").alias("item_words")), "item_id")
-    return over_batches(pairs.filter("n = m").drop("m"), _check, HITS)
+    rows = items.select("item_id", "words").collect()
+    found = lookup([r[0] for r in rows], [np.array(r[1], np.int64).view(np.uint64) for r in rows])
+    shared = spark.sparkContext.broadcast(found)
+    return over_batches(docs, _hits, HITS, lambda: shared.value)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Best hit of every document and benchmark item: doc_id, item_id, start, n, edits.
 
     ``start`` and ``n`` are in words of the document. A hit is a window of the
-    item's length within one word edit per five words. The seed words only choose
-    where windows stand, and lose none of these: at so few edits three words in a
-    row of the item are untouched. Items of fewer than ``MIN_WORDS`` words, null or
+    item's length within one word edit per five words. Windows are compared where
+    enough word triples of the item stand; the count loses none. Items of fewer than ``MIN_WORDS`` words, null or
     empty texts and null ids give no hits. Repeated rows give one hit. The items of
     a pass go to all tasks, at most ``ITEMS_PER_PASS``; a larger benchmark is taken
     in several passes over all documents.

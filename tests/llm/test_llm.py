@@ -300,6 +300,33 @@ def test_leaks_with_edits(spark, docs, none):
     assert decontaminate.edit_distances(a, b).tolist() == [plain_edits(x, y) for x, y in zip(a.tolist(), b.tolist())]
 
 
+def edited(rng, words, edits, shifts):
+    """Words with ``edits`` edits: substitutions, or balanced insertions and deletions."""
+    words = list(words)
+    for i in range(edits):
+        at = rng.randrange(len(words))
+        if not shifts:
+            words[at] = f"new{i}"
+        elif i < edits // 2:
+            words.insert(at, f"new{i}")
+        elif i < edits // 2 * 2:
+            del words[at]
+    return words
+
+
+def test_long_items_are_found_at_the_full_limit(spark):
+    rng = random.Random(14)
+    items, rows = [], []
+    for i in range(40):
+        words = prose(rng, (50, 100, 200, 400)[i % 4]).split()
+        items.append((i, " ".join(words)))
+        rows.append((i, " ".join([prose(rng, 50), *edited(rng, words, len(words) // 5, False), prose(rng, 50)])))
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(40)}
+    assert all(r.start == 50 and r.edits <= r.n // 5 for r in got)
+
+
 def test_toxicity_learns_and_takes_awkward_rows(spark, docs, none):
     rng = random.Random(6)
     rows = []
