@@ -21,7 +21,6 @@ from heliospan.llm.words import Block, blocks, runs
 
 # A window leaks an item when at most one edit per five words of the item parts them.
 WORDS_PER_EDIT = 5
-MIN_WORDS = 5
 SEED_WORDS = 3
 # Seeds found, and words compared, at a time.
 PIECE = 1 << 20
@@ -51,14 +50,14 @@ class Items:
 
 
 def seed_words(n: np.ndarray) -> np.ndarray:
-    """Words of the seeds of items of ``n`` words."""
-    return np.full(len(n), SEED_WORDS)
+    """Words of the seeds of items of ``n`` words, few enough that one at least is untouched at the edit limit."""
+    return np.where(n == WORDS_PER_EDIT, 2, np.minimum(n, SEED_WORDS))
 
 
 def _items(batch: pa.RecordBatch) -> Iterator[dict]:
     for block in blocks(batch.column("text")):
         n = np.diff(block.bounds)
-        rows = np.flatnonzero(n >= MIN_WORDS)
+        rows = np.flatnonzero(n > 0)
         if len(rows):
             words = list_array(block.hashes.view(np.int64), block.bounds)
             yield {
@@ -113,8 +112,12 @@ def _candidates(block: Block, items: Items, seeds: Seeds) -> Iterator[tuple[np.n
         np.add.at(edge, full, 1)
         np.add.at(edge, last[full] + 1, -1)
         alive = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        # In windows of the item's length every insertion has its deletion, so seeds shift by half the limit at most.
+        shifts = limit[alive] // 2 * 2 + 1
+        shift = np.arange(shifts.sum()) - np.repeat(np.cumsum(shifts) - shifts + shifts // 2, shifts)
+        alive = np.repeat(alive, shifts)
         text, item, n = text[alive], item[alive], n[alive]
-        start = place[alive] - bounds[text] - offset[alive]
+        start = place[alive] - bounds[text] - offset[alive] + shift
         start = np.clip(start, 0, np.maximum(bounds[text + 1] - bounds[text] - n, 0))
         if len(start):
             yield tuple(np.unique(np.stack([text, item, start], axis=1), axis=0).T)
@@ -170,9 +173,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Best hit of every document and benchmark item: doc_id, item_id, start, n, edits.
 
     ``start`` and ``n`` are in words of the document. A hit is a window of the
-    item's length within one word edit per five words. Windows are compared where
-    enough word triples of the item stand; the count loses none. Items of fewer than ``MIN_WORDS`` words, null or
-    empty texts and null ids give no hits. Repeated rows give one hit. The items of
+    item's length within one word edit per five words; items under five words are
+    matched as they are. Windows are compared where enough word triples of the item
+    stand (pairs for items of five words), at every start that the edits allow; that
+    loses none. Null or empty texts, items without words and null ids give no hits.
+    Repeated rows give one hit. The items of
     a pass go to all tasks, at most ``ITEMS_PER_PASS``; a larger benchmark is taken
     in several passes over all documents.
     """

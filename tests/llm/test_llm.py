@@ -327,6 +327,25 @@ def test_long_items_are_found_at_the_full_limit(spark):
     assert all(r.start == 50 and r.edits <= r.n // 5 for r in got)
 
 
+def test_leaks_match_brute_force_with_shifts_and_short_items(spark):
+    rng = random.Random(15)
+    items, rows, want = [], [], set()
+    for i in range(120):
+        n = (2, 4, 5, 5, 6, 10, 20, 40)[i % 8]
+        words = prose(rng, n).lower().split()
+        items.append((i, " ".join(words)))
+        text = [*prose(rng, 30).split(), *edited(rng, words, n // 5, n > 5), *prose(rng, 30).split()]
+        if n == 5:
+            text[30:35] = [*words[:2], "new", *words[3:]]
+        rows.append((i, " ".join(text)))
+        edits = min(plain_edits(text[s:s + n], words) for s in range(len(text) - n + 1))
+        if edits <= n // 5:
+            want.add((i, i, edits))
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == want and len(want) > 100
+
+
 def test_toxicity_learns_and_takes_awkward_rows(spark, docs, none):
     rng = random.Random(6)
     rows = []
