@@ -201,6 +201,22 @@ def test_cotraining_separates_and_takes_awkward_rows(spark, docs, none):
     assert cotraining.quality(docs, pages.limit(0), labels.limit(0)).filter("kept").count() == len(awkward())
 
 
+def test_cotraining_learns_from_all_unlabelled_documents(spark):
+    rng = random.Random(16)
+    order = F.xxhash64(F.lit("pool"), "id")
+    last = [r.id for r in spark.range(160, 2660).orderBy(order.desc()).limit(60).collect()]
+    rows, pages = [], []
+    for i in range(2660):
+        bad = i in last or i < 160 and i % 2
+        text = " ".join(rng.choice(["quaint", "zebu", "wyvern", "xylem"]) for _ in range(40)) if i in last else prose(rng, 40)
+        rows.append((i, "## $$ " * 10 + text if bad and i < 160 else text, "en", "bad" if bad else "good", 300))
+        pages.append((i, f"http://{'bad' if bad else 'good'}.org/a", "<p>"))
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(160)], "doc_id BIGINT, quality INT, toxic INT")
+    got = cotraining.quality(table, spark.createDataFrame(pages, "page_id BIGINT, url STRING, html STRING"), labels).collect()
+    assert len(got) == 2660 and all(r.text_score < 0.5 for r in got if r.doc_id in last)
+
+
 def test_sharding_is_exact_and_gapless(docs, none):
     got = sharding.shard_documents(docs.repartition(5), shards=4).collect()
     sizes = [sum(r.shard == s for r in got) for s in range(4)]
