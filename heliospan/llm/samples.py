@@ -25,12 +25,11 @@ def labelled(
     marks = clean_labels(labels, column)
     if where is not None:
         marks = marks.filter(where)
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
-    joined = small.filter(F.length("text") <= MAX_CHARS).join(marks, "doc_id")
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).filter(F.length("text") <= MAX_CHARS)
     order = F.xxhash64(F.lit(column), "doc_id")
-    parts = []
-    for label in (0, 1):
-        chosen = marks.filter(F.col("label") == label).orderBy(order, "doc_id").limit(rows).select("doc_id")
-        parts.append(joined.join(chosen, "doc_id", "left_semi"))
-    found = parts[0].unionByName(parts[1]).withColumn("_order", order).toPandas()
+    # Only rows that have a usable text count towards the bound.
+    there = marks.join(small.select("doc_id"), "doc_id", "left_semi").withColumn("_order", order)
+    chosen = [there.filter(F.col("label") == label).orderBy("_order", "doc_id").limit(rows) for label in (0, 1)]
+    # At most 2 * ``rows`` rows, so sending them to every task is bounded.
+    found = small.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").toPandas()
     return found.drop_duplicates("doc_id").sort_values(["_order", "doc_id"]).drop(columns="_order").reset_index(drop=True)

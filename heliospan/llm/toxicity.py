@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from heliospan.llm import linear, recurrent
 from heliospan.llm.common import over_batches, prepared
 from heliospan.llm.samples import labelled
-from heliospan.llm.words import LOWER, Block, blocks
+from heliospan.llm.words import LOWER, Block, blocks, buffers, span_hashes, split_words
 
 WINDOW = 32
-STRIDE = 24
+STRIDE = 16
 VOCABULARY = 20_000
 MIN_TEXTS = 5
 EPOCHS = 4
@@ -140,12 +140,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = 9) -> Model:
 
 
 def _joined(texts: list[str]) -> Block:
-    """All texts of a bounded sample as one block."""
-    from heliospan.llm import words as w
-
-    data, offsets = w.buffers(pa.array(texts, pa.string()))
-    starts, ends, text = w.split_words(data, offsets)
-    return Block(0, data, offsets, starts, ends, text, w.span_hashes(data, starts, ends, True))
+    """All texts of a bounded sample as one block, hashed in pieces."""
+    data, offsets = buffers(pa.array(texts, pa.string()))
+    starts, ends, text = split_words(data, offsets)
+    return Block(0, data, offsets, starts, ends, text, span_hashes(data, starts, ends, True))
 
 
 def text_scores(column: pa.Array, model: Model) -> np.ndarray:

@@ -39,12 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse; kept for the next call only up to a block's length."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    tables = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        tables.append(np.multiply.accumulate(steps))
+    if n <= BLOCK_BYTES + (1 << 16):
+        _powers[:] = tables
+    return tables[0][:n], tables[1][:n]
 
 
 @dataclass
@@ -100,14 +105,26 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    n = len(data)
-    power, inverse = _power_tables(n + 1)
-    values = (_BYTE[LOWER] if lower else _BYTE)[data]
-    values *= power[:n]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values, out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans in order, equal for equal bytes wherever they stand.
+
+    Spans are hashed in slices of about ``BLOCK_BYTES``, so the tables stay that small
+    whatever the length of the data; only a single longer span makes a longer slice.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")), i + 1)
+        base, stop = int(starts[i]), int(ends[j - 1])
+        n = stop - base
+        power, inverse = _power_tables(n + 1)
+        values = (_BYTE[LOWER] if lower else _BYTE)[data[base:stop]]
+        values *= power[:n]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        first, last = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+        i = j
+    return out
 
 
 def blocks(column: pa.Array, lower: bool = True) -> Iterator[Block]:
