@@ -19,6 +19,7 @@ from heliospan.session import apply_settings, materialize, scratch_dir  # noqa:
 # Words are runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 24
 _added: set[str] = set()
 
 
@@ -41,6 +42,7 @@ def prepared(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(archive)
         _added.add(archive)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -99,6 +101,36 @@ def unit_hash(seed: int, *columns: Column) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+def numbered(rows: DataFrame, order: list[Column], number: str) -> DataFrame:
+    """``rows`` with ``number``, their place (from 1) in ``order`` over the whole table.
+
+    Ranges of the order are sorted and counted by their tasks and written; one row for
+    each range then gives the offsets. No task sees more than a range.
+    """
+    part, slot = fresh_name(rows, "_part"), fresh_name(rows, "_slot")
+    target = T.StructType([*rows.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(slot, T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, own, np.int32)), pa.array(np.arange(done + 1, done + n + 1))],
+                names=[*batch.schema.names, part, slot])
+            done += n
+
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = materialize(ranges.mapInArrow(count, target), "ordered")
+    sizes = sorted((r[0], r[1]) for r in fixed.groupBy(part).agg(F.max(slot)).collect())
+    before = np.cumsum([0, *[n for _, n in sizes]]).tolist()
+    starts = rows.sparkSession.createDataFrame(
+        [(p, b) for (p, _), b in zip(sizes, before)], f"`{part}` INT, `_before` BIGINT")
+    placed = fixed.join(F.broadcast(starts), part)
+    return placed.withColumn(number, F.col("_before") + F.col(slot)).select(*rows.columns, number)
+
+
 FILTER_BITS = 1 << 25
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm import chat, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, secrets, sharding, toxicity
+from heliospan.llm import (
+    chat, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, resampling, secrets, sharding,
+    toxicity,
+)
 from heliospan.llm.common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +140,53 @@ def op8_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.quality(
         table(spark, folder, "documents"), table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+RESAMPLING_SQL = r"""
+WITH c AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+      lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))),
+w AS MATERIALIZED (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, 0, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (
+  SELECT side, id, f, count(*) AS n FROM (
+    SELECT side, id, unnest(w) AS f FROM w
+    UNION ALL SELECT side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)
+  GROUP BY ALL),
+b AS MATERIALIZED (
+  SELECT f, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, strlen(f)),
+    lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::UBIGINT)),
+    lambda a, x: xor(c.t[((xor(a, x) & 255) + 1)::BIGINT], a >> 8)), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket
+  FROM (SELECT DISTINCT f FROM f), c),
+s AS MATERIALIZED (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t
+  FROM f JOIN b USING (f) GROUP BY bucket),
+g AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM s) + 10000))))::BIGINT AS gain FROM s),
+d AS MATERIALIZED (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features,
+    coalesce(floor(total / n)::BIGINT, 0) AS weight
+  FROM (SELECT id AS doc_id, w FROM w WHERE side = 0) LEFT JOIN (
+    SELECT id AS doc_id, sum(n)::BIGINT AS n, sum(n * gain)::DOUBLE AS total
+    FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY id) USING (doc_id)),
+e AS MATERIALIZED (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5)::DOUBLE
+    / 4294967296)))::BIGINT AS score FROM d),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM e WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END::BIGINT AS rank
+FROM e LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -85,12 +85,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text index of every word."""
+def split_words(
+    data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text index of every run of bytes that are not ``breaks``."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = IS_SPACE[data]
+    space = breaks[data]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = space[:-1]
@@ -141,6 +143,53 @@ def blocks(column: pa.Array, lower: bool = True) -> Iterator[Block]:
         first = stop
 
 
+@dataclass
+class Parts:
+    """Consecutive texts of a batch, or stretches of one long text: bytes, offsets, text indices."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    text: np.ndarray  # index in the batch of the text of each part
+    before: np.ndarray  # bytes of the same text before each part
+
+
+def parts(column: pa.Array, breaks: np.ndarray = IS_SPACE, limit: int = BLOCK_BYTES) -> Iterator[Parts]:
+    """The texts of a column in groups of about ``limit`` bytes; a longer text is cut after a byte of ``breaks``.
+
+    Every group is consecutive in the column's bytes, so memory is bounded by the limit
+    whatever the length of a text; only a single longer word makes a longer group.
+    """
+    data, offsets = buffers(column)
+    held: list[tuple[int, int]] = []
+    first = 0
+
+    def group(stop: int) -> Parts:
+        texts = np.array([t for t, _ in held])
+        starts = np.array([a for _, a in held])
+        return Parts(data[first:stop], np.append(starts, stop) - first, texts, starts - offsets[texts])
+
+    for text in range(len(offsets) - 1):
+        at, end = int(offsets[text]), int(offsets[text + 1])
+        while True:
+            held.append((text, at))
+            stop = end
+            if end - first > limit:
+                stop = min(max(first + limit, at), end)
+                if stop - at <= limit // 2 and end - at <= limit:
+                    stop = end  # a text that fits into a group is never cut
+                while stop < end and not breaks[data[stop - 1]]:
+                    hit = np.flatnonzero(breaks[data[stop:min(stop + 4096, end)]])
+                    stop = stop + int(hit[0]) + 1 if len(hit) else min(stop + 4096, end)
+            if stop - first >= limit:
+                yield group(stop)
+                held, first = [], stop
+            if stop >= end:
+                break
+            at = stop
+    if held:
+        yield group(int(offsets[-1]))
+
+
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every ``size`` consecutive values; shorter by ``size - 1``."""
     n = len(hashes) - size + 1
