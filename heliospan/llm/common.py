@@ -82,6 +82,26 @@ def over_batches(
     return rows.mapInArrow(run, target)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
+    """Batches of a task put together until their texts have ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written intermediates that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Slices ``values[bounds[i]:bounds[i + 1]]`` as an Arrow list array."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.llm import (
-    chat, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, resampling, secrets, sharding,
-    toxicity,
+    chat, collocations, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, resampling, secrets,
+    sharding, toxicity,
 )
 from heliospan.llm.common import prepared, table
 
@@ -190,3 +190,40 @@ FROM e LEFT JOIN r USING (doc_id)
 @query("op12_importance_resampling", RESAMPLING_SQL)
 def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS MATERIALIZED (
+  SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'),
+    lambda x: x <> '') AS w FROM t),
+g AS MATERIALIZED (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM p, range(1, 5) r(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+q AS MATERIALIZED (
+  SELECT lang, k, g, f AS a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y
+  FROM (SELECT *, string_split(g, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1)),
+c AS MATERIALIZED (
+  SELECT q.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f + r.f))::BIGINT AS score
+  FROM q JOIN f l ON l.lang = q.lang AND l.g = x JOIN f r ON r.lang = q.lang AND r.g = y),
+b AS MATERIALIZED (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+i AS MATERIALIZED (
+  SELECT lang, array_to_string(w[s:s + z - 1], ' ') AS g, max(a) AS a
+  FROM (SELECT *, string_split(g, ' ') AS w FROM b), range(2, 4) x(z), range(1, 4) y(s)
+  WHERE z < k AND s + z - 1 <= k GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.g)::BIGINT AS rank,
+    b.g AS phrase, b.a, b.l, b.r, b.score
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE i.a IS NULL OR 100 * i.a < 80 * b.a)
+JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_setm_collocations", COLLOCATIONS_SQL)
+def op11_setm_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

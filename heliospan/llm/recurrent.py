@@ -98,27 +98,31 @@ def _pool(p: Params, states: np.ndarray, mask: np.ndarray):
     return hidden, a, pooled, pooled @ p["wo"] + p["bo"][0]
 
 
+def _subset(words: Words, windows: np.ndarray) -> tuple[Words, np.ndarray, int]:
+    """The words that occur in some windows, the windows with their numbers there, and their count."""
+    used, inner = np.unique(windows, return_inverse=True)
+    real = used[used < len(words.vocabulary)]
+    first, sizes = words.bounds[real], np.diff(words.bounds)[real]
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes) + np.repeat(first, sizes)
+    return Words(words.vocabulary[real], words.triples[at], bounds), inner.reshape(windows.shape), len(real)
+
+
 def scores(p: Params, words: Words, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Logit of every window; a window of no words has the bias."""
-    projected = projections(p, inputs(p, words))
+    """Logit of every window; a window of no words has the bias. Memory is that of a block of windows."""
     out = np.empty(len(windows), np.float32)
     for i in range(0, len(windows), BLOCK):
-        part = windows[i:i + BLOCK]
-        mask = (np.arange(part.shape[1]) < sizes[i:i + BLOCK, None]).astype(np.float32)
-        states, _ = _run(p, projected, part, mask, keep=False)
+        part, inner, _ = _subset(words, windows[i:i + BLOCK])
+        projected = projections(p, inputs(p, part))
+        mask = (np.arange(inner.shape[1]) < sizes[i:i + BLOCK, None]).astype(np.float32)
+        states, _ = _run(p, projected, inner, mask, keep=False)
         out[i:i + BLOCK] = _pool(p, states, mask)[3]
     return out
 
 
 def gradients(p: Params, words: Words, windows: np.ndarray, sizes: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> Params:
     """Gradient of the weighted log loss over some windows, by back-propagation through time."""
-    used, inner = np.unique(windows, return_inverse=True)
-    inner = inner.reshape(windows.shape)
-    last = len(words.vocabulary)
-    real = used[used < last]
-    spans = [np.arange(words.bounds[i], words.bounds[i + 1]) for i in real]
-    part = Words(words.vocabulary[real], words.triples[np.concatenate(spans)] if spans else words.triples[:0],
-                 np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int64))
+    part, inner, count = _subset(words, windows)
     x = inputs(p, part)
     projected = projections(p, x)
     mask = (np.arange(windows.shape[1]) < sizes[:, None]).astype(np.float32)
@@ -150,7 +154,7 @@ def gradients(p: Params, words: Words, windows: np.ndarray, sizes: np.ndarray, g
             g[f"u{side}"] += h.T @ dg
             np.add.at(dproj, inner[:, t], dgate)
             dh = dh * (1 - m * (1 - z)) + dg @ u.T
-        dproj = dproj[:len(real)]
+        dproj = dproj[:count]
         g[f"wx{side}"], g[f"bx{side}"] = x.T @ dproj, dproj.sum(axis=0)
         dx += dproj @ p[f"wx{side}"].T
     np.add.at(g["word"], part.vocabulary, dx[:, :WORD_SIZE])

@@ -17,11 +17,11 @@ def clean_labels(labels: DataFrame, column: str) -> DataFrame:
     return rows.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def labelled(
+def labelled_rows(
     docs: DataFrame, labels: DataFrame, column: str, where: Column | None = None, rows: int = ROWS_PER_CLASS,
     extra: tuple[str, ...] = (),
-) -> pd.DataFrame:
-    """doc_id, text, label of the rows with the smallest hashes in each class, in hash order."""
+) -> DataFrame:
+    """doc_id, text, label, _order of the rows with the smallest hashes in each class; repeated ids come as they are."""
     marks = clean_labels(labels, column)
     if where is not None:
         marks = marks.filter(where)
@@ -31,5 +31,18 @@ def labelled(
     there = marks.join(small.select("doc_id"), "doc_id", "left_semi").withColumn("_order", order)
     chosen = [there.filter(F.col("label") == label).orderBy("_order", "doc_id").limit(rows) for label in (0, 1)]
     # At most 2 * ``rows`` rows, so sending them to every task is bounded.
-    found = small.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").toPandas()
-    return found.drop_duplicates("doc_id").sort_values(["_order", "doc_id"]).drop(columns="_order").reset_index(drop=True)
+    return small.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+
+
+def in_order(found: pd.DataFrame) -> pd.DataFrame:
+    """Rows of ``labelled_rows`` in hash order, one for each doc_id: the one whose text is first."""
+    found = found.sort_values(["_order", "doc_id", "text"]).drop_duplicates("doc_id")
+    return found.drop(columns="_order").reset_index(drop=True)
+
+
+def labelled(
+    docs: DataFrame, labels: DataFrame, column: str, where: Column | None = None, rows: int = ROWS_PER_CLASS,
+    extra: tuple[str, ...] = (),
+) -> pd.DataFrame:
+    """``labelled_rows`` at the driver, in order."""
+    return in_order(labelled_rows(docs, labels, column, where, rows, extra).toPandas())

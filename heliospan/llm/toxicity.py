@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliospan.llm import linear, recurrent
+from heliospan.llm import linear, recurrent, samples
 from heliospan.llm.common import over_batches, prepared
-from heliospan.llm.samples import labelled
 from heliospan.llm.words import LOWER, Block, blocks, buffers, span_hashes, split_words
 
 WINDOW = 32
@@ -43,8 +44,7 @@ def word_table(block: Block, hashes: np.ndarray) -> tuple[recurrent.Words, np.nd
     starts, sizes = block.starts[first], (block.ends - block.starts)[first]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     at_byte = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes) + np.repeat(starts, sizes)
-    data = LOWER[block.data].astype(np.uint32)
-    here = data[at_byte] if len(at_byte) else np.zeros(0, np.uint32)
+    here = LOWER[block.data[at_byte]].astype(np.uint32) if len(at_byte) else np.zeros(0, np.uint32)
     left, right = np.zeros_like(here), np.zeros_like(here)
     left[1:], right[:-1] = here[:-1], here[1:]
     left[bounds[:-1][sizes > 0]] = 0
@@ -64,7 +64,7 @@ def windows(block: Block, number: np.ndarray, distinct: int) -> tuple[np.ndarray
     sizes = np.minimum(n[text] - turn * STRIDE, WINDOW)
     at = (bounds[text] + turn * STRIDE)[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < sizes[:, None]
-    padded = np.append(number, distinct)
+    padded = np.append(number, distinct).astype(np.int32)
     return padded[np.where(inside, at, len(number))], sizes, text
 
 
@@ -75,9 +75,9 @@ def _log_odds(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds = block.bounds
         for i in range(block.count):
             own = np.unique(block.hashes[bounds[i]:bounds[i + 1]])
-            seen.append((own, np.full(len(own), y[block.first + i])))
+            seen.append((own, np.full(len(own), y[block.first + i], np.int8)))
     words = np.concatenate([w for w, _ in seen]) if seen else np.zeros(0, np.uint64)
-    marks = np.concatenate([m for _, m in seen]) if seen else np.zeros(0)
+    marks = np.concatenate([m for _, m in seen]) if seen else np.zeros(0, np.int8)
     distinct, number = np.unique(words, return_inverse=True)
     ones = np.bincount(number, marks, len(distinct))
     zeros = np.bincount(number, 1 - marks, len(distinct))
@@ -164,8 +164,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled(docs, labels, "toxic", where=~held_out(F.col("doc_id")))
-    return train(sample["text"].tolist(), sample["label"].to_numpy())
+    """The model of a bounded sample, fitted in one task; the driver gets the model alone."""
+    rows = samples.labelled_rows(docs, labels, "toxic", where=~held_out(F.col("doc_id"))).select("_order", "doc_id", "text", "label")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(batches)
+        if found:
+            sample = samples.in_order(pd.concat(found))
+            model = train(sample["text"].tolist(), sample["label"].to_numpy())
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    found = rows.repartition(1).mapInPandas(fit, "model BINARY").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, np.int64))
 
 
 def _score(batch: pa.RecordBatch, model: Model) -> Iterator[dict]:

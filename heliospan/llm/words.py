@@ -151,6 +151,7 @@ class Parts:
     offsets: np.ndarray
     text: np.ndarray  # index in the batch of the text of each part
     before: np.ndarray  # bytes of the same text before each part
+    rest: np.ndarray  # bytes of the last text after the group
 
 
 def parts(column: pa.Array, breaks: np.ndarray = IS_SPACE, limit: int = BLOCK_BYTES) -> Iterator[Parts]:
@@ -166,7 +167,8 @@ def parts(column: pa.Array, breaks: np.ndarray = IS_SPACE, limit: int = BLOCK_BY
     def group(stop: int) -> Parts:
         texts = np.array([t for t, _ in held])
         starts = np.array([a for _, a in held])
-        return Parts(data[first:stop], np.append(starts, stop) - first, texts, starts - offsets[texts])
+        rest = data[stop:offsets[texts[-1] + 1]]
+        return Parts(data[first:stop], np.append(starts, stop) - first, texts, starts - offsets[texts], rest)
 
     for text in range(len(offsets) - 1):
         at, end = int(offsets[text]), int(offsets[text + 1])
