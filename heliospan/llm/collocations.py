@@ -81,7 +81,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
                 marks = span_hashes(data, starts, ends, False)
                 marks = mix(marks ^ mix(salts[lang])) if len(marks) else marks
                 keys, where, ids = np.unique(marks, return_index=True, return_inverse=True)
-                breaks = np.cumsum(PIECE_BREAKS[data], dtype=np.int64)
+                breaks = np.cumsum(PIECE_BREAKS[data], dtype=np.int32)
                 joined = np.zeros(len(starts), bool)
                 joined[:-1] = (owner[1:] == owner[:-1]) & (breaks[starts[1:] - 1] == breaks[ends[:-1] - 1])
                 own = int(np.searchsorted(starts, len(part.data)))

@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 
 from heliospan.llm.common import discard, scratch_dir
 
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 # A bucket merges about this many keys at a time.
 BUCKET_KEYS = 1 << 22
-BLOCK_KEYS = 1 << 20
+BLOCK_KEYS = 1 << 19
 ASKED = "bucket INT, block BIGINT, keys BINARY, counts BINARY"
 
 
@@ -54,7 +54,7 @@ def written(rows: DataFrame, label: str) -> Blocks:
     spark = rows.sparkSession
     path, name = scratch_dir(spark, label), f"{label}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(parts, "block").option("path", path).format("parquet").saveAsTable(name)
+    rows.write.bucketBy(parts, "block").option("path", path).option("parquet.block.size", 1 << 24).format("parquet").saveAsTable(name)
     found = spark.table(name)
     count = found.count()
     spark.sql(f"DROP TABLE {name}")  # the files stay; only the name goes
@@ -78,6 +78,25 @@ def values(raw: object, kind: type) -> np.ndarray:
     return np.frombuffer(raw.as_py() if isinstance(raw, pa.Scalar) else raw, kind)
 
 
+def packed(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit integers (differences of ``rising`` ones) by byte plane, compressed."""
+    numbers = numbers.astype(np.uint64)
+    if rising and len(numbers):
+        numbers = np.append(numbers[:1], np.diff(numbers))
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: object, rising: bool = False) -> np.ndarray:
+    raw = raw.as_py() if isinstance(raw, pa.Scalar) else raw
+    n = int.from_bytes(raw[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    numbers = np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(numbers, dtype=np.uint64) if rising else numbers
+
+
 def edges(buckets: int, bits: int = 64) -> np.ndarray:
     """First key of every bucket; keys that agree in their first ``bits`` share a bucket."""
     return np.array([-(-i * (1 << bits) // buckets) << (64 - bits) for i in range(buckets)], np.uint64)
@@ -97,13 +116,26 @@ def asked(blocks: DataFrame, ask: Callable[[dict], tuple[np.ndarray, np.ndarray]
                 if len(some):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block["block"].as_py())),
-                        pa.array([keys[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
-                        pa.array([counts[cut[b]:cut[b + 1]].astype(np.int64).tobytes() for b in some], pa.binary()),
+                        pa.array([packed(keys[cut[b]:cut[b + 1]], True) for b in some], pa.binary()),
+                        pa.array([packed(counts[cut[b]:cut[b + 1]]) for b in some], pa.binary()),
                     ], names=["bucket", "block", "keys", "counts"])
 
     return blocks.mapInArrow(run, ASKED)
 
 
+def kept(questions: DataFrame, label: str) -> Blocks:
+    """Questions that are answered more than once, written by bucket: one shuffle for all passes over them."""
+    spark = questions.sparkSession
+    path, name = scratch_dir(spark, label), f"{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = questions.repartition(parts, "bucket")
+    dealt.write.bucketBy(parts, "bucket").option("path", path).option("parquet.block.size", 1 << 24).format(
+        "parquet").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return Blocks(found, path, 0)
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their total counts, the order that sorts all keys, and each sorted key's number."""
     every, each = np.concatenate(keys), np.concatenate(counts)
@@ -126,8 +158,8 @@ def answered(
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        keys = [values(x, np.uint64) for x in table["keys"]]
-        counts = [values(x, np.int64) for x in table["counts"]]
+        keys = [unpacked(x, True) for x in table["keys"]]
+        counts = [unpacked(x).view(np.int64) for x in table["counts"]]
         found = answer(table["bucket"][0].as_py(), table["block"].to_numpy(), keys, counts)
         return pa.Table.from_batches(
             [pa.RecordBatch.from_arrays([pa.array(x[f.name], f.type) for f in target], schema=target) for x in found], target)

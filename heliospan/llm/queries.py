@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.llm import (
-    chat, collocations, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, resampling, secrets,
+    chat, collocations, context_tree, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, resampling, secrets,
     sharding, toxicity,
 )
 from heliospan.llm.common import prepared, table
@@ -227,3 +227,8 @@ JOIN n USING (lang) WHERE rank <= 2000
 @query("op11_setm_collocations", COLLOCATIONS_SQL)
 def op11_setm_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_context_tree_scores")
+def op13_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree.text_scores(table(spark, folder, "documents"))

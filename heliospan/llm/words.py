@@ -152,6 +152,7 @@ class Parts:
     text: np.ndarray  # index in the batch of the text of each part
     before: np.ndarray  # bytes of the same text before each part
     rest: np.ndarray  # bytes of the last text after the group
+    prior: np.ndarray  # up to 16 bytes of the first part's text before the group
 
 
 def parts(column: pa.Array, breaks: np.ndarray = IS_SPACE, limit: int = BLOCK_BYTES) -> Iterator[Parts]:
@@ -168,7 +169,8 @@ def parts(column: pa.Array, breaks: np.ndarray = IS_SPACE, limit: int = BLOCK_BY
         texts = np.array([t for t, _ in held])
         starts = np.array([a for _, a in held])
         rest = data[stop:offsets[texts[-1] + 1]]
-        return Parts(data[first:stop], np.append(starts, stop) - first, texts, starts - offsets[texts], rest)
+        prior = data[max(first - 16, offsets[texts[0]]):first]
+        return Parts(data[first:stop], np.append(starts, stop) - first, texts, starts - offsets[texts], rest, prior)
 
     for text in range(len(offsets) - 1):
         at, end = int(offsets[text]), int(offsets[text + 1])
