@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliospan import schemas
-from heliospan.catalog.oracle import HOUR, LEVEL, STATE, STATUS, crm, kwh, rnd, xsum
+from heliospan.catalog.oracle import HOUR, LEVEL, STATE, STATUS, crm, kwh, norm, rnd, xsum
 from heliospan.catalog.registry import query
 from heliospan.catalog.sources import DAY_START, IV_OUT, incoming_intervals, with_epoch
 from heliospan.functions import clock
+from heliospan.functions.text import normalize_name
 from heliospan.operators import keep, live, matching, merge, people, readings, views
 from heliospan.session import materialize
 from heliospan.standins import AS_OF, DAYS_AS_OF, Tables
@@ -416,6 +417,31 @@ def _(t):
     return matching.name_candidates(matching.lead_names(t.leads), matching.station_names(t.stations)).drop("is_equal")
 
 
+LONG_NAME = """p_name || ' ' || p_type || ' brand ' || split_part(p_brand, '#', 2) || ' size ' || p_size || ' lot ' || p_partkey % 97 || ' row ' || p_partkey % {n}
+ || ' house ' || split_part(p_name, ' ', 1) || p_size % 3 || ' roof'"""
+
+
+@query("match_long_names", f"""WITH a AS (SELECT DISTINCT {norm(LONG_NAME.format(n=13))} AS n FROM part),
+ b AS (SELECT min(p_partkey) AS ord, {norm(LONG_NAME.format(n=11))} || ' plant' AS n FROM part WHERE p_partkey % 7 = 0 GROUP BY 2),
+ s AS (SELECT a.n AS lname, ord, CASE WHEN a.n = b.n THEN CAST(1 AS DOUBLE) WHEN contains(b.n, a.n) OR contains(a.n, b.n) THEN CAST(0.85 AS DOUBLE)
+ ELSE len(list_intersect(list_distinct(string_split(a.n, ' ')), list_distinct(string_split(b.n, ' '))))
+ / least(len(list_distinct(string_split(a.n, ' '))), len(list_distinct(string_split(b.n, ' ')))) END AS score FROM a, b)
+ SELECT lname, score, ord FROM s QUALIFY row_number() OVER (PARTITION BY lname ORDER BY score DESC, ord) = 1""")
+def _(t):
+    # Names of eleven words and more; every other name shares most of them.
+    part = t.table("part")
+
+    def name(rows: DataFrame, n: int):
+        return normalize_name(F.concat_ws(
+            " ", "p_name", "p_type", F.lit("brand"), F.split("p_brand", "#")[1], F.lit("size"), "p_size", F.lit("lot"), C("p_partkey") % 97,
+            F.lit("row"), C("p_partkey") % n, F.lit("house"), F.concat(F.split("p_name", " ")[0], C("p_size") % 3), F.lit("roof")))
+
+    leads = part.select(name(part, 13).alias("lname"), F.lit("").alias("city_key"))
+    stations = part.filter("p_partkey % 7 = 0").select(F.concat(name(part, 11), F.lit(" plant")).alias("sname"), C("p_partkey").alias("ord"))
+    found = matching.name_candidates(leads, stations.groupBy("sname").agg(F.min("ord").alias("ord")))
+    return found.select("lname", "score", "ord")
+
+
 @query("best_match", "SELECT id AS lead_id, score, st AS station_ord, raw AS matched_on FROM best")
 def _(t):
     return matching.best_match(t.leads, t.stations)

@@ -11,10 +11,14 @@ common word, where one frequent word would make the join quadratic. Instead:
 * equal names are an equi-join of distinct names;
 * containment looks up the pieces of the longer name among the shorter names,
   so its cost is bounded by the length of each name;
-* word overlap uses an index from word subsets to the earliest station that has
-  the subset, built by a partial aggregate. A lead looks up its own subsets.
-  The subset equal to the true intersection gives the true score and every
-  other subset a lower one, so the maximum is exact.
+* up to ``INDEXED`` shared words are answered by an index from word subsets of that
+  size to the earliest station that has the subset, built by a partial aggregate. A
+  lead looks up its own subsets. The subset equal to the true intersection gives the
+  true score and every other subset a lower one, so the maximum is exact;
+* more shared words are sought by prefixes. With the words of every name sorted from
+  rare to frequent, two names that share ``s`` words share ``PROBE`` of them among
+  their first ``n - s + PROBE``. What the index has found bounds ``s`` from below, so
+  a lead probes with the rarest words only that a better station must share.
 
 Containment outranks overlap even where overlap would score higher. A contained
 station is therefore taken out of the overlap groups: if the earliest station
@@ -34,9 +38,11 @@ from heliospan.functions.numbers import first_truthy, round_n
 from heliospan.functions.text import normalize_name, token_set
 from heliospan.session import materialize
 
-# Names with more shared words than this take the pair path of ``_wide_pairs``;
-# the subset index would need 2^n rows for them.
-MAX_SUBSET_WORDS = 8
+# Shared words up to this number are answered by the subset index alone; a name of n
+# words has n * (n * n + 5) / 6 subsets of that size.
+INDEXED = 3
+# Words that prefixes of two names must share to be compared.
+PROBE = 2
 # Successors are found within ranges of this many station ordinals, then across
 # ranges, so a large overlap group is never sorted in one task.
 ORDINAL_RANGE = 65536
@@ -145,21 +151,57 @@ def _with_shared_words(rows: DataFrame, name: str, shared: DataFrame) -> DataFra
 
 
 def _subsets(rows: DataFrame) -> DataFrame:
-    """Every subset of the shared words of a name; single words of a wide name."""
-    # Bit i of the mask says whether word i belongs to the subset. Both sides sort
-    # words the same way, so equal subsets give equal text.
-    subsets = F.expr(
-        "transform(sequence(1, shiftleft(1, size(words)) - 1), "
-        "m -> struct(concat_ws(' ', filter(words, (w, i) -> getbit(m, i) = 1)) AS subset, "
-        "CAST(bit_count(m) AS INT) AS shared))"
-    )
-    single = F.transform("words", lambda w: F.struct(w.alias("subset"), F.lit(1).alias("shared")))
-    narrow = F.size("words") <= MAX_SUBSET_WORDS
-    return rows.withColumn("s", F.explode(F.when(narrow, subsets).otherwise(single))).select(
+    """Subsets of the words of a name with at most ``INDEXED`` words."""
+    # Both sides sort words the same way, so equal subsets give equal text.
+    one = "transform(words, (a, i) -> struct(a AS subset, 1 AS shared))"
+    two = ("flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), "
+           "b -> struct(concat_ws(' ', a, b) AS subset, 2 AS shared))))")
+    three = ("flatten(flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), (b, j) -> "
+             "transform(slice(words, i + j + 3, size(words)), c -> struct(concat_ws(' ', a, b, c) AS subset, 3 AS shared))))))")
+    subsets = F.expr(f"concat({one}, {two}, {three})")
+    return rows.withColumn("s", F.explode(subsets)).select(
         *[c for c in rows.columns if c != "words"], "s.subset", "s.shared"
     )
 
 
+def _probes(rows: DataFrame, name: str, *keep: str) -> DataFrame:
+    """Word pairs of a name with the rank of the more frequent one, where more than ``INDEXED`` words may be shared."""
+    # The least prefix rule: with INDEXED + 1 shared words, the last words of a name need not be looked at.
+    pairs = F.expr(
+        "flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), "
+        "(b, j) -> struct(concat_ws(' ', a, b) AS probe, i + j + 2 AS last))))"
+    )
+    wide = rows.filter(F.size("words") > INDEXED).withColumn("n", F.size("words")).withColumn("p", F.explode(pairs))
+    return wide.filter(F.col("p.last") <= F.col("n") - (INDEXED + 1) + PROBE).select(name, "size", "n", "p.probe", "p.last", *keep)
+
+
+def _prefix_pairs(
+    lead_words: DataFrame, station_words: DataFrame, bounds: DataFrame, contained: DataFrame
+) -> DataFrame:
+    """Overlap of the pairs that share more than ``INDEXED`` words and may reach the ``bound`` of the lead.
+
+    ``bounds`` has the least overlap score that can still win, by lead name. A
+    score of ``bound`` takes ``need`` shared words, and those take ``PROBE`` of the
+    first ``n - need + PROBE`` words on either side.
+    """
+    left = _probes(lead_words.join(bounds, "lname"), "lname", "bound")
+    right = _probes(station_words, "sname").select(
+        "sname", "probe", F.col("size").alias("m_size"), F.col("n").alias("m"), F.col("last").alias("m_last")
+    )
+    smaller = F.least("size", "m_size")
+    need = F.greatest(F.lit(INDEXED + 1), F.ceil(F.col("bound") * smaller - F.lit(1e-9)).cast("int"))
+    pairs = (
+        left.join(right, "probe").withColumn("need", need)
+        .filter((F.col("last") <= F.col("n") - F.col("need") + PROBE) & (F.col("m_last") <= F.col("m") - F.col("need") + PROBE))
+        .select("lname", "sname").distinct()
+    )
+    pairs = pairs.join(contained.select("lname", "sname"), ["lname", "sname"], "left_anti")
+    sets = token_set(F.col("lname")), token_set(F.col("sname"))
+    shared = F.size(F.array_intersect(*sets))
+    scored = pairs.withColumn("score", shared / F.least(F.size(sets[0]), F.size(sets[1])))
+    return scored.join(station_words.select("sname", "ord"), "sname")
+
+
 def _candidate(score: Column, ordinal: str = "ord") -> Column:
     return F.struct(score.alias("score"), (-F.col(ordinal)).alias("neg_ord"))
 
@@ -210,34 +252,6 @@ def _overlap_base(lookups: DataFrame, members: DataFrame, contained: DataFrame)
     return rows.groupBy("lname").agg(F.max(_candidate(F.col("score"))).alias("best"))
 
 
-def _wide_pairs(lead_words: DataFrame, station_words: DataFrame, contained: DataFrame) -> DataFrame | None:
-    """Overlap of pairs with a name too wide for the subset index.
-
-    The index covers one shared word. A pair with more shares a word that is not
-    the most frequent one of either name, so that word is left out on both sides.
-    None when no name is that wide.
-    """
-
-    def probes(rows: DataFrame, name: str, flag: str) -> DataFrame:
-        rare = F.slice("words", F.lit(1), F.size("words") - 1)
-        wide = F.size("words") > MAX_SUBSET_WORDS
-        return rows.select(name, wide.alias(flag), F.explode(rare).alias("word"))
-
-    left, right = probes(lead_words, "lname", "_lwide"), probes(station_words, "sname", "_swide")
-    if left.filter("_lwide").isEmpty() and right.filter("_swide").isEmpty():
-        return None
-    pairs = (
-        left.filter("_lwide").join(right, "word").select("lname", "sname")
-        .union(left.filter("not _lwide").join(right.filter("_swide"), "word").select("lname", "sname"))
-        .distinct()
-    )
-    pairs = pairs.join(contained.select("lname", "sname"), ["lname", "sname"], "left_anti")
-    sets = token_set(F.col("lname")), token_set(F.col("sname"))
-    shared = F.size(F.array_intersect(*sets))
-    scored = pairs.withColumn("score", shared / F.least(F.size(sets[0]), F.size(sets[1])))
-    return scored.join(station_words.select("sname", "ord"), "sname")
-
-
 def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     """Best candidate station per distinct lead name and city.
 
@@ -257,7 +271,6 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     station_words = materialize(_with_shared_words(stations, "sname", shared).join(stations, "sname"), "station-words")
     lookups = _subsets(lead_words)
     members = _subsets(station_words).withColumnRenamed("size", "station_size")
-    wide = _wide_pairs(lead_words, station_words, contained)
 
     # Without the city: one best candidate per lead name.
     equal = lnames.join(stations, F.col("lname") == F.col("sname")).select(
@@ -267,8 +280,14 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
         "lname", _candidate(F.lit(schemas.CONTAINED_SCORE)).alias("best")
     )
     plain = equal.unionByName(holding).unionByName(_overlap_base(lookups, members, contained.select("lname", "ord")))
-    if wide is not None:
-        plain = plain.unionByName(wide.select("lname", _candidate(F.col("score")).alias("best")))
+    plain = materialize(plain.groupBy("lname").agg(F.max("best").alias("best")), "indexed")
+    # A city in the station name may lift a lower overlap above what is found so far.
+    in_a_city = keys.groupBy("lname").agg(F.max(F.col("city_key") != "").alias("lifted"))
+    bounds = plain.join(in_a_city, "lname").select(
+        "lname", (F.col("best.score") - F.when(F.col("lifted"), schemas.CITY_BONUS).otherwise(0.0)).alias("bound")
+    )
+    wide = materialize(_prefix_pairs(lead_words, station_words, bounds, contained), "prefix-pairs")
+    plain = plain.unionByName(wide.select("lname", _candidate(F.col("score")).alias("best")))
     plain = plain.groupBy("lname").agg(F.max("best").alias("plain"))
 
     # With the city in the station name: one best candidate per name and city.
@@ -284,8 +303,7 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     boosted = with_city(city_overlap, _overlap_score()).unionByName(
         with_city(city_holding, F.lit(schemas.CONTAINED_SCORE))
     )
-    if wide is not None:
-        boosted = boosted.unionByName(with_city(wide.join(in_city, "sname"), F.col("score")))
+    boosted = boosted.unionByName(with_city(wide.join(in_city, "sname"), F.col("score")))
     boosted = boosted.groupBy("lname", "city_key").agg(F.max("best").alias("boosted"))
     city_only = in_city.join(stations, "sname").groupBy("city_key").agg(F.min("ord").alias("ord")).select(
         "city_key", _candidate(F.lit(schemas.CITY_BONUS)).alias("city_only")

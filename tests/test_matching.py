@@ -73,12 +73,10 @@ def make(rng, n_leads, n_stations, words, low, high):
 SHORT = ["juan", "cruz", "ana", "joana", "dela", "house", "a", "an", "manila", "cebu", "residence", "Peña", "bo", "boston"]
 
 
-@pytest.mark.parametrize("seed,low,high", [(1, 1, 2), (2, 1, 4), (3, 2, 5), (4, 6, 9), (5, 8, 12)])
-def test_same_as_nested_loop(spark, monkeypatch, seed, low, high):
-    monkeypatch.setattr(m, "ORDINAL_RANGE", 7)
-    monkeypatch.setattr(m, "MAX_SUBSET_WORDS", 5)
+@pytest.mark.parametrize("seed,low,high", [(1, 1, 2), (2, 1, 4), (3, 2, 5), (4, 6, 9), (5, 8, 12), (6, 1, 15), (7, 12, 18)])
+def test_same_as_nested_loop(spark, seed, low, high):
     rng = random.Random(seed)
-    words = SHORT if seed < 4 else SHORT + [f"w{i}" for i in range(4)]
+    words = SHORT if seed < 4 else SHORT + [f"w{i}" for i in range(4 if seed < 6 else 20)]
     leads, stations = make(rng, 120, 90, words, low, high)
     got = m.best_match(spark.createDataFrame(leads, LEADS), spark.createDataFrame(stations, STATIONS))
     rows = {r.lead_id: (round(r.score, 9), r.station_ord, r.matched_on) for r in got.collect()}
@@ -129,3 +127,44 @@ def test_no_pair_explosion_in_plan(spark):
     plan = m.best_match(spark.createDataFrame(leads, LEADS), spark.createDataFrame(stations, STATIONS))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_steps_past_contained_stations_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(m, "ORDINAL_RANGE", 7)
+    rng = random.Random(11)
+    leads, stations = make(rng, 120, 90, SHORT, 1, 4)
+    got = m.best_match(spark.createDataFrame(leads, LEADS), spark.createDataFrame(stations, STATIONS))
+    rows = {r.lead_id: (round(r.score, 9), r.station_ord, r.matched_on) for r in got.collect()}
+    assert rows == nested_loop(leads, stations)
+
+
+def long_names(rng, n):
+    """Twelve words each: ten from a family of names, of which each name changes some, and two of its own."""
+    families = [[f"f{i}x{j}" for j in range(10)] for i in range(max(n // 8, 1))]
+    out = []
+    for i in range(n):
+        words = list(rng.choice(families))
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(10)] = f"r{rng.randrange(10 * n)}"
+        out.append(" ".join(words + [f"own{rng.randrange(10 * n)}", "house"]))
+    return out
+
+
+def test_candidates_of_long_names_grow_with_the_names(spark, monkeypatch):
+    counts = []
+    compare = m._prefix_pairs
+
+    def counted(*args):
+        rows = compare(*args)
+        counts.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(m, "_prefix_pairs", counted)
+    for n in (200, 400):
+        rng = random.Random(n)
+        leads = [(i, x, None, None, None, None, i) for i, x in enumerate(long_names(rng, n))]
+        stations = [(f"s{i}", x, "", 1, "5", i) for i, x in enumerate(long_names(random.Random(n + 1), n))]
+        got = m.best_match(spark.createDataFrame(leads, LEADS), spark.createDataFrame(stations, STATIONS))
+        rows = {r.lead_id: (round(r.score, 9), r.station_ord, r.matched_on) for r in got.collect()}
+        assert rows == nested_loop(leads, stations)
+    assert 0 < counts[1] < 3 * counts[0] and counts[1] < 0.1 * 400 * 400
