@@ -20,7 +20,7 @@ C = F.col
 def land(rows: DataFrame, data: Column, success=None, code=None, **request) -> DataFrame:
     """Landed rows: request fields and the envelope around ``data``."""
     fields = {n: request.get(n, F.lit(None).cast(kind)) for n, kind in
-              (("station_id", "string"), ("entity_id", "string"), ("day", "string"), ("month", "string"), ("seq", "bigint"), ("page_no", "bigint"))}
+              (("station_id", "string"), ("entity_id", "string"), ("day", "string"), ("month", "string"), ("seq", "bigint"), ("page_no", "bigint"), ("pages", "bigint"))}
     return rows.select(
         *[c.alias(n) for n, c in fields.items()],
         (F.lit(True) if success is None else success).alias("success"),

@@ -18,14 +18,14 @@ from heliospan.operators.readings import point_times
 KEYS = ["station_id", "day"]
 
 
-def live_points(points: DataFrame) -> DataFrame:
+def live_points(points: DataFrame, *keep: str) -> DataFrame:
     """Parse the fields every live operator reads, once, to fixed-width columns.
 
     The load has no fallback here, unlike interval readings.
     """
     soc = F.col("batteryCapacitySoc")
     parsed = point_times(points).select(
-        *KEYS, "pos", "timestamp",
+        *KEYS, *keep, "pos", "timestamp",
         strict_float(F.col("power")).alias("watts"),
         strict_float(F.col("familyLoadPower")).alias("_family"),
         strict_float(F.col("bypassLoadPower")).alias("_bypass"),
@@ -35,7 +35,7 @@ def live_points(points: DataFrame) -> DataFrame:
         soc.isNotNull().alias("has_soc"),
     )
     return parsed.select(
-        *KEYS, "pos", "timestamp", "watts", (F.col("_family") + F.col("_bypass")).alias("load_w"), "net_w", "battery_w",
+        *KEYS, *keep, "pos", "timestamp", "watts", (F.col("_family") + F.col("_bypass")).alias("load_w"), "net_w", "battery_w",
         round_n(F.col("_soc"), 1).alias("battery_level"), "has_soc",
     )
 
@@ -75,6 +75,56 @@ def two_hour_buckets(live: DataFrame, as_of: datetime) -> DataFrame:
     ).withColumn("hour", F.col("slot") + 2)
 
 
+PAGE = [*KEYS, "seq", "page_no"]
+PAGE_SUMS = "station_id STRING, day STRING, seq BIGINT, page_no BIGINT, pages BIGINT, slot INT, watts DECIMAL(38,9), load_w DECIMAL(38,9)"
+
+
+def page_sums(lines: DataFrame, points: DataFrame, as_of: datetime) -> DataFrame:
+    """Sums by bucket of every page of landed day curves.
+
+    ``points`` are the parsed points of ``lines``. A page without points in any bucket
+    has one row with a null slot, so that it counts as landed.
+    """
+    open_points = daytime_points(live_points(points, "seq", "page_no"), as_of).withColumn("slot", slot(F.col("hour")))
+    sums = open_points.groupBy(*PAGE, "slot").agg(*[
+        F.sum(F.col(c).cast("decimal(28,9)")).alias(c) for c in ("watts", "load_w")
+    ])
+    landed = lines.groupBy(*PAGE).agg(F.max("pages").alias("pages"))
+    rows = landed.join(sums, PAGE, "left")
+    return rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in PAGE_SUMS.split(", ")])
+
+
+def whole_fetches(pages: DataFrame) -> DataFrame:
+    """Fetches of which all pages have landed; one that does not tell its number of pages counts as whole."""
+    landed = pages.groupBy(*PAGE).agg(F.max("pages").alias("pages")).groupBy(*KEYS, "seq").agg(
+        F.max("pages").alias("pages"), F.count("*").alias("n"))
+    return landed.filter("pages is null or n >= pages").select(*KEYS, "seq")
+
+
+def merge_pages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Page sums after a batch: a page that lands again replaces itself, and fetches before the newest whole one go.
+
+    So a late older fetch changes nothing, and pages of a newer fetch wait beside the
+    whole one until they are complete.
+    """
+    kept = stored.join(incoming.select(*PAGE).distinct(), PAGE, "left_anti").unionByName(incoming)
+    newest = whole_fetches(kept).groupBy(*KEYS).agg(F.max("seq").alias("_whole"))
+    return kept.join(newest, KEYS, "left").filter("_whole is null or seq >= _whole").drop("_whole")
+
+
+def buckets_of_pages(pages: DataFrame) -> DataFrame:
+    """Two-hour buckets of the newest whole fetch of every station and day."""
+    newest = whole_fetches(pages).groupBy(*KEYS).agg(F.max("seq").alias("seq"))
+    shown = pages.join(newest, [*KEYS, "seq"], "left_semi").filter("slot is not null")
+
+    def kwh(watts: str) -> Column:
+        return round_n(energy.kwh_of_point(F.sum(watts).cast("double")), 4)
+
+    return shown.groupBy(*KEYS, "slot").agg(
+        kwh("watts").alias("production_kwh"), kwh("load_w").alias("consumption_kwh")
+    ).withColumn("hour", F.col("slot") + 2)
+
+
 def buckets_in_order(buckets: DataFrame) -> DataFrame:
     return buckets.orderBy(*KEYS, "slot")
 

@@ -6,10 +6,11 @@ of them lands as STRING and is parsed by an expression.
 
 # One landed line: the request fields, then the response envelope. ``seq`` grows
 # from fetch to fetch; a long payload may be split over several lines of one
-# fetch, numbered by ``page_no``. ``data`` is STRING so that Spark keeps the
-# nested JSON as raw text until it is typed.
+# fetch, numbered by ``page_no``; ``pages`` tells their number where the writer
+# knows it. ``data`` is STRING so that Spark keeps the nested JSON as raw text until
+# it is typed.
 LANDED = (
-    "station_id STRING, entity_id STRING, day STRING, month STRING, seq BIGINT, page_no BIGINT, "
+    "station_id STRING, entity_id STRING, day STRING, month STRING, seq BIGINT, page_no BIGINT, pages BIGINT, "
     "success BOOLEAN, code STRING, msg STRING, data STRING"
 )
 
@@ -58,7 +59,7 @@ CRM_LEAD = (
     "id BIGINT, name STRING, partner_name STRING, contact_name STRING, email_from STRING, "
     "phone STRING, city STRING, x_studio_city_municipality STRING, x_studio_province STRING, "
     "x_studio_complete_address STRING, x_studio_customer_referral_code STRING, "
-    "stage_id STRUCT<id: BIGINT, name: STRING>, ord BIGINT"
+    "stage_id STRUCT<id: BIGINT, name: STRING>"
 )
 CRM_STAGE = "id BIGINT, name STRING, is_won BOOLEAN"
 
@@ -74,6 +75,11 @@ SYSTEM_COLUMNS = (
 LONG_STATION_FIELD = "solis_station_id"
 
 READING_KEY = ("user_id", "timestamp")
+DAILY_READING = (
+    "user_id STRING, system_id STRING, timestamp TIMESTAMP, production_kwh DOUBLE, consumption_kwh DOUBLE, "
+    "battery_level DOUBLE, battery_status STRING, grid_import_kwh DOUBLE, grid_export_kwh DOUBLE, "
+    "daily_earning DOUBLE, battery_charge_kwh DOUBLE, battery_discharge_kwh DOUBLE"
+)
 DAILY_VALUES = (
     "system_id", "production_kwh", "consumption_kwh", "battery_level", "battery_status",
     "grid_import_kwh", "grid_export_kwh", "daily_earning", "battery_charge_kwh",

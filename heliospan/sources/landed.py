@@ -14,6 +14,10 @@ from heliospan import schemas
 from heliospan.functions.numbers import first_truthy
 
 
+# List positions of a page take the low bits of a station's ordinal.
+PAGE_BITS = 20
+
+
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LANDED).json(path)
 
@@ -40,8 +44,13 @@ def _exploded(landed: DataFrame, keys: list[str], schema: str) -> DataFrame:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Make ``pos`` comparable across lines: later fetch, then page, then list position."""
-    return rows.withColumn("pos", F.struct("seq", "page_no", "pos")).drop("page_no")
+    """Make ``pos`` comparable across lines: later fetch, then page, then list position.
+
+    The three are digits of one DECIMAL: a fixed-width value, which hash aggregates
+    take as ``max_by`` key, unlike a struct. A missing ``seq`` or page is before all others.
+    """
+    digits = "coalesce(seq + 1, 0) * 1000000000000000BD + coalesce(page_no + 1, 0)"
+    return rows.withColumn("pos", F.expr(f"CAST(({digits}) * 1000000000BD + pos AS DECIMAL(38, 0))")).drop("page_no")
 
 
 def newest_fetch(landed: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,26 +66,40 @@ def newest_fetch(landed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parse_station_pages(landed: DataFrame) -> DataFrame:
-    """Station pages to one row per station, in page order."""
+    """Station pages to one row per station, in page order, which ``ord`` numbers."""
     body = F.from_json("data", schemas.STATION_PAGE)
+    ordinal = F.shiftleft(F.coalesce("page_no", F.lit(0)).cast("bigint"), PAGE_BITS) + F.col("pos")
     return (
         landed.select("page_no", body.alias("body"))
         .select("page_no", F.posexplode("body.page.records").alias("pos", "item"))
-        .select("page_no", "pos", "item.*")
+        .select("page_no", "pos", ordinal.alias("ord"), "item.*")
     )
 
 
 def read_completeness(landed: DataFrame) -> DataFrame:
-    """Fetched station count next to the reported total."""
+    """Fetched station count of the newest fetch next to its reported total, and its gaps and repeats.
+
+    Pages of different fetches are not added up. ``missing_pages`` counts the numbers
+    left out between the first and the last page of the fetch; a page that landed more
+    than once counts once. A fetch is complete when no page is missing and the stations
+    reach the total. Without any line the totals are 0 and complete.
+    """
     body = F.from_json("data", schemas.STATION_PAGE)
     total = F.coalesce(F.nullif(body["page"]["total"], F.lit(0)), body["stationStatusVo"]["all"], F.lit(0))
-    sizes = landed.select(
-        F.coalesce(F.size(body["page"]["records"]), F.lit(0)).alias("n"), total.alias("total")
-    ).select(F.greatest("n", F.lit(0)).alias("n"), "total")
-    fetched, reported = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))
-    return sizes.agg(
-        fetched.alias("fetched"), reported.alias("reported"), (fetched >= reported).alias("complete")
+    lines = landed.select(
+        F.coalesce("seq", F.lit(-1)).alias("seq"), F.coalesce("page_no", F.lit(0)).alias("page_no"),
+        F.greatest(F.coalesce(F.size(body["page"]["records"]), F.lit(0)), F.lit(0)).alias("n"), total.alias("total"),
     )
+    pages = lines.groupBy("seq", "page_no").agg(
+        F.max("n").alias("n"), F.max("total").alias("total"), F.count("*").alias("lines"))
+    fetches = pages.groupBy("seq").agg(
+        F.sum("n").alias("fetched"), F.max("total").alias("reported"),
+        (F.max("page_no") - F.min("page_no") + 1 - F.count("*")).alias("missing_pages"),
+        F.sum(F.col("lines") - 1).alias("repeated_pages"))
+    newest = fetches.agg(*[F.coalesce(F.max_by(c, "seq"), F.lit(0)).alias(c) for c in
+                           ("fetched", "reported", "missing_pages", "repeated_pages")])
+    complete = (F.col("fetched") >= F.col("reported")) & (F.col("missing_pages") == 0)
+    return newest.withColumn("complete", complete)
 
 
 def parse_station_detail(landed: DataFrame) -> DataFrame:

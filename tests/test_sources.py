@@ -1,5 +1,6 @@
 """Landed files, CSV, reports and stored tables."""
 
+import os
 import json
 
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def test_station_pages(spark, tmp_path):
                 {"page_no": 3, "data": {"page": {"total": 3, "records": []}}})
     rows = landed.read_station_pages(spark, path).orderBy("page_no", "pos").collect()
     assert [(r.id, r.capacity, r.power) for r in rows] == [("1", None, "x"), ("2", None, None), ("3", "4.5", None)]
-    assert landed.read_completeness(landed.read_landed(spark, path)).first().asDict() == {"fetched": 3, "reported": 3, "complete": True}
+    assert landed.read_completeness(landed.read_landed(spark, path)).select("fetched", "reported", "complete").first().asDict() == {"fetched": 3, "reported": 3, "complete": True}
 
 
 def test_incomplete_pages_use_the_other_total(spark, tmp_path):
@@ -118,11 +119,50 @@ def test_single_report_document(spark, tmp_path):
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "t")
     assert tables.latest_version(spark, path) is None
-    for version in (0, 1, 1, 2):
-        tables.write_version(spark.range(version + 1), path, version)
-    assert tables.latest_version(spark, path).count() == 3
-    assert tables.latest_version(spark, path, before=2).count() == 2
-    assert tables.latest_version(spark, path, before=0) is None
+    for n in range(1, 6):
+        assert tables.write_version(spark.range(n), path, "query", n) == n
+    assert tables.latest_version(spark, path).count() == 5
+    assert tables.is_committed(spark, path, "query", 4) and not tables.is_committed(spark, path, "other", 4)
+    # Another writer goes on with the numbers, whatever its own batches are.
+    assert tables.write_version(spark.range(9), path, "other", 0) == 6
+    assert [c.number for c in tables.commits(spark, path)] == [4, 5, 6]
+    assert len([f for f in os.listdir(path) if f.startswith("data-")]) == 3
+    # A read lists and scans the files of one version.
+    files = tables.latest_version(spark, path).inputFiles()
+    assert files and all("/data-other-0/" in f for f in files)
+    # Staged data are not seen before the commit, and staging again keeps them.
+    folder = tables.stage_version(spark.range(1), path, "other", 1)
+    assert tables.latest_version(spark, path).count() == 9
+    assert tables.stage_version(spark.range(2), path, "other", 1) == folder
+    tables.commit_version(spark, path, folder, "other", 1)
+    assert tables.latest_version(spark, path).count() == 1
+
+
+def test_ordinals_follow_the_rows_of_the_files(spark, tmp_path):
+    path = tmp_path / "leads"
+    path.mkdir()
+    for f in range(3):
+        (path / f"{f}.json").write_text("\n".join(json.dumps({"id": 100 * f + i, "name": "x" * (i % 7)}) for i in range(100)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = tables.read_crm_leads(spark, str(path)).select("id", "ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.id for r in sorted(rows, key=lambda r: r.ord)] == list(range(300))
+    assert len({r.ord for r in rows}) == 300
+    spark.range(0, 1000, 1, 4).selectExpr("cast(id AS STRING) AS id", "id AS n").write.parquet(str(tmp_path / "profiles"))
+    rows = tables.read_dimensions(spark, str(tmp_path / "profiles"), ("id", "n", "ord")).collect()
+    assert [r.n for r in sorted(rows, key=lambda r: r.ord)] == list(range(1000))
+
+
+def test_a_second_partial_fetch_is_incomplete(spark):
+    page = lambda total, n: json.dumps({"page": {"total": total, "records": [{"id": str(i)} for i in range(n)]}})
+    rows = [(1, 1, page(3, 2)), (1, 2, page(3, 1)), (2, 1, page(3, 2)), (2, 1, page(3, 2)), (2, 3, page(3, 1))]
+    lines = lambda k: spark.createDataFrame(rows[:k], "seq BIGINT, page_no BIGINT, data STRING")
+    assert landed.read_completeness(lines(2)).first().complete is True
+    assert tuple(landed.read_completeness(lines(4)).first()) == (2, 3, 0, 1, False)
+    # All stations are there, but page 2 is not.
+    assert tuple(landed.read_completeness(lines(5)).first()) == (3, 3, 1, 1, False)
 
 
 def test_overwrite_partitions_touches_only_its_own(spark, tmp_path):

@@ -111,6 +111,75 @@ def test_daily_stream_rewrites_only_touched_months(spark, tmp_path):
     assert sorted(os.listdir(f"{path}/local_month=2026-03")) == before
 
 
+def test_first_daily_batch_writes_all_outputs_once(spark, tmp_path):
+    landing, path = Landing(tmp_path / "in"), str(tmp_path / "daily")
+    landing.fetch([{"dateStr": "2026-04-01", "energy": "1"}, {"dateStr": "2026-04-03", "energy": "bad"}])
+    landing.fetch([{"dateStr": "2026-04-02", "energy": "2"}])
+    profiles, _ = people(spark)
+    systems = spark.createDataFrame([], "id STRING, user_id STRING, system_name STRING, capacity_kwp DOUBLE, battery_capacity_kwh DOUBLE, "
+                                        "installation_date DATE, address STRING, status STRING, ord BIGINT")
+    detail = spark.createDataFrame([("s", "S", "", "5")], "id STRING, stationName STRING, sno STRING, capacity STRING")
+    battery = spark.createDataFrame([], "station_id STRING, battery_capacity_kwh DOUBLE")
+    out = {k: str(tmp_path / k) for k in ("systems_table", "rejected_days", "rejects")}
+
+    def run():
+        files.stream_daily(spark, str(landing.folder), path, str(tmp_path / "state"), profiles, systems, detail, battery, lambda: NOW,
+                           files_per_batch=1, **out).awaitTermination()
+        rows = spark.read.parquet(path)
+        day = F.date_format("timestamp", "MM-dd")
+        return ({r[0]: (r[1], r[2]) for r in rows.select(day, "production_kwh", "system_id").collect()},
+                [tuple(r) for r in tables.latest_version(spark, out["systems_table"]).select("system_name", "status", "capacity_kwp").collect()],
+                [r.energy for r in spark.read.parquet(out["rejected_days"]).collect()])
+
+    first = run()
+    system = first[0]["04-01"][1]
+    assert first == ({"04-01": (1.0, system), "04-02": (2.0, system)}, [("S", "active", 5.0)], ["bad"])
+    assert system is not None
+    # The last batch again: its commit is taken back as if the job had stopped before it, then all is replayed.
+    last = tables.commits(spark, out["systems_table"])[-1]
+    os.remove(f"{out['systems_table']}/{tables.COMMITS}/v{last.number:012d}.{last.source}.{last.batch}.{last.folder}")
+    for name in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "state" / name).unlink(missing_ok=True)
+    assert run() == first
+    assert [c.batch for c in tables.commits(spark, out["systems_table"])] == [0, 1]
+
+
+def test_new_checkpoint_goes_on_from_the_newest_version(spark, tmp_path):
+    landing = Landing(tmp_path / "in")
+    landing.fetch([point("10:00", 1)])
+    landing.fetch([point("10:05", 2)])
+    run_intervals(spark, tmp_path, landing)
+    more = Landing(tmp_path / "more")
+    more.fetch([point("10:10", 3)])
+    profiles, systems = people(spark)
+    totals = spark.createDataFrame([("s", "5")], "station_id STRING, money STRING")
+    files.stream_intervals(spark, str(more.folder), str(tmp_path / "t"), str(tmp_path / "new-state"), profiles, systems, totals,
+                           lambda: NOW, spark.createDataFrame([], INTERVALS)).awaitTermination()
+    assert by_time(tables.latest_version(spark, str(tmp_path / "t"))) == {"10:00": 1, "10:05": 2, "10:10": 3}
+
+
+def test_late_and_split_fetches(spark, tmp_path):
+    landing, path = Landing(tmp_path / "in"), str(tmp_path / "buckets")
+
+    def shown():
+        files.stream_live_buckets(spark, str(landing.folder), path, str(tmp_path / "state"), lambda: NOW, files_per_batch=1).awaitTermination()
+        return {r.slot: r.production_kwh for r in files.current_buckets(spark, path).collect()}
+
+    landing.fetch([point("10:00", 1)], [point("10:05", 1)], seq=5)  # two pages of one number: the repeated one counts once
+    assert set(shown().values()) == {1.0}
+    landing.fetch([point("10:00", 50)], seq=4)  # late and older
+    assert shown() == {9: 1.0}
+    landing.fetch([point("10:00", 2)], seq=6, page_no=1, pages=2)  # half a fetch waits
+    assert shown() == {9: 1.0}
+    landing.fetch([point("13:00", 3)], seq=6, page_no=0, pages=2)  # now it is whole
+    assert shown() == {9: 2.0, 13: 3.0}
+    landing.fetch([point("13:00", 3)], seq=6, page_no=0, pages=2)  # the same page again
+    landing.fetch([point("10:00", 9)], seq=7, page_no=0, pages=2)
+    assert shown() == {9: 2.0, 13: 3.0}
+    # Only the newest whole fetch and what is newer are kept.
+    assert {r.seq for r in spark.read.parquet(path).select("seq").collect()} == {6, 7}
+
+
 def test_live_buckets_replace_per_fetch(spark, tmp_path):
     landing, path = Landing(tmp_path / "in"), str(tmp_path / "buckets")
     landing.fetch([point("10:00", 1)])
