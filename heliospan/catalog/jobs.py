@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliospan.catalog.operators import BUCKETS, DAY_OUT, LIVE, TOTALS, WINDOW_SQL, summary_sql
+from heliospan.catalog.operators import BUCKETS, DAY_OUT, LIVE, NONZERO, TOTALS, WINDOW_SQL, summary_sql
 from heliospan.catalog.oracle import LEVEL, STATE, STATUS, rnd
 from heliospan.catalog.registry import query
-from heliospan.catalog.sources import DAY_START, DAY_VALUES, SYSTEM_COLUMNS, SYSTEM_SQL, land, with_epoch
-from heliospan.operators import readings
+from heliospan.catalog.sources import (
+    DAY_START, DAY_VALUES, SYSTEM_COLUMNS, SYSTEM_SQL, crm_extract, land, station_pages, stored_profiles, with_epoch,
+)
+from heliospan.operators import readings, views
 from heliospan.plans import pipelines
 from heliospan.session import scratch_dir
-from heliospan.sources import tables
+from heliospan.sources import landed, tables
 from heliospan.standins import AS_OF, DAYS_AS_OF, Tables
 from heliospan.streaming import files
 
 C = F.col
 
-SNAPSHOT = f"""SELECT t.station_id, t.day, t.production_kwh AS today_production_kwh, t.consumption_kwh AS today_consumption_kwh, t.grid_import_kwh AS today_grid_import_kwh,
- t.grid_export_kwh AS today_grid_export_kwh, l.battery_level, l.battery_status, b.hour, b.production_kwh AS bucket_production_kwh, b.consumption_kwh AS bucket_consumption_kwh,
+SNAPSHOT = f"""SELECT d.id AS station_id, t.day, coalesce(t.production_kwh, 0) AS today_production_kwh, coalesce(t.consumption_kwh, 0) AS today_consumption_kwh,
+ coalesce(t.grid_import_kwh, 0) AS today_grid_import_kwh, coalesce(t.grid_export_kwh, 0) AS today_grid_export_kwh, l.battery_level, l.battery_status, b.hour, b.production_kwh AS bucket_production_kwh, b.consumption_kwh AS bucket_consumption_kwh,
  d.power AS current_power_w, d.capacity AS capacity_kwp, d.station_name, CASE d.all_unit WHEN 'GWh' THEN d.all_energy * 1000000 ELSE d.all_energy END AS alltime_production_kwh,
  CASE trim(d.month_unit) WHEN 'MWh' THEN d.month_energy * 1000 WHEN 'GWh' THEN d.month_energy * 1000000 ELSE d.month_energy END AS month_production_kwh
- FROM (SELECT station_id, day, {TOTALS} FROM ({LIVE}) GROUP BY 1, 2) t
- JOIN (SELECT station_id, day, CASE WHEN soc IS NOT NULL THEN {LEVEL} END AS battery_level, CASE WHEN soc IS NOT NULL THEN {STATUS} END AS battery_status
+ FROM details d LEFT JOIN (SELECT station_id, day, {TOTALS} FROM ({LIVE}) GROUP BY 1, 2) t ON t.station_id = d.id
+ LEFT JOIN (SELECT station_id, day, CASE WHEN soc IS NOT NULL THEN {LEVEL} END AS battery_level, CASE WHEN soc IS NOT NULL THEN {STATUS} END AS battery_status
  FROM ({LIVE} QUALIFY row_number() OVER (PARTITION BY station_id, day ORDER BY pos DESC) = 1)) l ON l.station_id = t.station_id AND l.day = t.day
- LEFT JOIN ({BUCKETS}) b ON b.station_id = t.station_id AND b.day = t.day JOIN details d ON d.id = t.station_id"""
+ LEFT JOIN ({BUCKETS}) b ON b.station_id = t.station_id AND b.day = t.day"""
 
 
 @query("live_snapshot", SNAPSHOT)
@@ -36,6 +38,21 @@ def _(t):
                        C("b.production_kwh").alias("bucket_production_kwh"), C("b.consumption_kwh").alias("bucket_consumption_kwh"))
 
 
+@query("live_view", f"""SELECT a.id AS user_id, s.station_id, s.station_id IS NOT NULL AS found, v.today_production_kwh, v.battery_level, coalesce(v.buckets, 0) AS buckets,
+ coalesce(r.n, 0) AS readings, coalesce(r.production_kw, 0) AS reading_kw FROM auth a LEFT JOIN (SELECT a.id, coalesce(a.meta, p.station_id) AS station_id FROM auth a LEFT JOIN profiles p ON p.id = a.id) s ON s.id = a.id
+ LEFT JOIN (SELECT d.id, coalesce(max(x.today_production_kwh), 0) AS today_production_kwh, max(x.battery_level) AS battery_level, count(x.hour) AS buckets
+ FROM details d LEFT JOIN ({SNAPSHOT}) x ON x.station_id = d.id AND x.day = '2024-01-30' GROUP BY 1) v ON v.id = s.station_id
+ LEFT JOIN (SELECT station_id, count(*) AS n, CAST(sum(CAST(production_kw AS DECIMAL(28,9))) AS DOUBLE) AS production_kw FROM ({NONZERO}) WHERE day = '2024-01-30' GROUP BY 1) r
+ ON r.station_id = s.station_id""")
+def _(t):
+    seen = pipelines.live_view(t.auth_users, t.profiles, t.points, t.details.drop("station_id"), AS_OF)
+    size = lambda c: F.coalesce(F.when(C(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
+    total = F.aggregate(F.transform("readings", lambda r: r["production_kw"].cast("decimal(28,9)")), F.lit(0).cast("decimal(38,9)"),
+                        lambda a, x: (a + x).cast("decimal(38,9)"))
+    return seen.select("user_id", "station_id", "found", "today_production_kwh", "battery_level", size("today_hourly").alias("buckets"),
+                       size("readings").alias("readings"), F.coalesce(total.cast("double"), F.lit(0.0)).alias("reading_kw"))
+
+
 def daily(t: Tables) -> pipelines.Job:
     battery = readings.station_battery(t.inverter_list, t.inverters)
     return pipelines.daily_sync(t.profiles, t.systems, t.details.drop("station_id"), battery, t.days, t.stored_days, DAYS_AS_OF)
@@ -53,7 +70,7 @@ def _(t):
     return with_epoch(daily(t).table, "user_id", "system_id", *DAY_VALUES)
 
 
-@query("daily_sync_systems", SYSTEM_SQL)
+@query("daily_sync_systems", SYSTEM_SQL.replace("JOIN profiles p ON p.station_id = d.id", "JOIN profiles p ON p.station_id = d.id AND p.station_id IN (SELECT station_id FROM dy)"))
 def _(t):
     return daily(t).systems.withColumn("installation_date", C("installation_date").cast("string")).select(*SYSTEM_COLUMNS)
 
@@ -82,6 +99,23 @@ def _(t):
     return with_epoch(intervals(t).table, *INTERVAL_OUT)
 
 
+def created(address: str, users: str) -> str:
+    """SQL of the systems after a job that only adds those that are missing."""
+    return f"""SELECT id, user_id, system_name, capacity_kwp, battery_capacity_kwh, CAST(installation_date AS VARCHAR) AS installation_date, status, address FROM systems
+ UNION ALL SELECT 'S-' || md5(u.id), u.id, coalesce(nullif(d.station_name, ''), d.id), d.capacity, NULL, {{today}}, 'active', '{address}'
+ FROM ({users}) u JOIN details d ON d.id = u.station_id WHERE u.id NOT IN (SELECT user_id FROM last_system)"""
+
+
+def system_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("installation_date", C("installation_date").cast("string")).select(*SYSTEM_COLUMNS, "address")
+
+
+@query("interval_sync_systems", created("-", "SELECT id, station_id FROM profiles WHERE station_id IS NOT NULL").format(today="'2024-01-30'"))
+def _(t):
+    job = pipelines.interval_sync(t.profiles, t.systems, t.points, t.totals, t.stored_intervals, AS_OF, t.details.drop("station_id"))
+    return system_rows(job.systems)
+
+
 @query("interval_sync_report", f"""SELECT user_id, count(*) AS parsed, count(*) FILTER (fresh) AS inserts, count(*) FILTER (NOT fresh AND newest) AS updates,
  count(*) FILTER (NOT fresh AND NOT newest) AS skipped FROM {NEWEST} GROUP BY 1""")
 def _(t):
@@ -101,6 +135,12 @@ def _(t):
     return with_epoch(job.table, "user_id", "system_id", *DAY_OUT)
 
 
+@query("history_backfill_systems", created("—", f"SELECT p.id, p.station_id FROM profiles p JOIN ({WINDOW_SQL}) w ON w.id = p.id WHERE w.days > 0").format(today="'2001-08-15'"))
+def _(t):
+    job = pipelines.history_backfill(t.profiles, t.systems, t.days, t.stored_days, DAYS_AS_OF, detail=t.details.drop("station_id"))
+    return system_rows(job.systems)
+
+
 @query("history_backfill_report", f"SELECT user_id, count(*) AS planned FROM {BACKFILL} GROUP BY 1")
 def _(t):
     return pipelines.history_backfill(t.profiles, t.systems, t.days, t.stored_days, DAYS_AS_OF).report
@@ -114,6 +154,23 @@ def _(t):
     return pipelines.lead_matching(t.leads, t.stages, t.stations).routed.select("lead_id", "match_type", "match_score", "station_id", "matched_on")
 
 
+def landed_stations(t: Tables) -> DataFrame:
+    path = scratch_dir(t.spark, "stations")
+    station_pages(t).write.json(path)
+    return landed.read_station_pages(t.spark, path)
+
+
+@query("lead_matching_landed", f"SELECT lead_id, match_type, match_score, station_id, matched_on FROM {STAGED}")
+def _(t):
+    found = pipelines.lead_matching(crm_extract(t, t.leads), t.stages, landed_stations(t))
+    return found.routed.select("lead_id", "match_type", "match_score", "station_id", "matched_on")
+
+
+@query("station_page_landed", "SELECT id, sno FROM stations ORDER BY ord LIMIT 20 OFFSET 20")
+def _(t):
+    return views.station_page(landed_stations(t), 2).select("id", "sno")
+
+
 @query("lead_matching_summary", summary_sql(STAGED))
 def _(t):
     return pipelines.lead_matching(t.leads, t.stages, t.stations).summary
@@ -131,6 +188,13 @@ def _(t):
     return pipelines.referral_sync(t.coded_leads, t.profiles, t.auth_users).profiles.select("id", "full_name", "referral_code")
 
 
+@query("referral_sync_landed", """SELECT p.id, p.full_name, coalesce(c.code, p.referral_code) AS referral_code FROM profiles p LEFT JOIN
+ (SELECT profile_id, arg_max(code, ord) AS code FROM ref_outcomes WHERE outcome = 'updated' GROUP BY 1) c ON c.profile_id = p.id""")
+def _(t):
+    merged = pipelines.referral_sync(crm_extract(t, t.coded_leads), stored_profiles(t), t.auth_users).profiles
+    return merged.select("id", "full_name", "referral_code")
+
+
 @query("dashboard_views", f"""SELECT 'card' AS view, id, {STATE} AS label, {rnd('power', 2)} AS value FROM stations
  UNION ALL SELECT 'info', id, coalesce(weather, '-'), CAST(0 AS DOUBLE) FROM details""")
 def _(t):
@@ -205,3 +269,27 @@ def _(t):
     files.stream_live_buckets(t.spark, land_points(t), table, scratch_dir(t.spark, "state"), lambda: AS_OF).awaitTermination()
     rows = files.current_buckets(t.spark, table)
     return rows.select("station_id", "day", C("slot").cast("bigint").alias("slot"), C("hour").cast("bigint").alias("hour"), "production_kwh", "consumption_kwh")
+
+
+@query("stream_late_buckets", BUCKETS)
+def _(t):
+    """The same curves as halves of one fetch, with an older fetch between them and an unfinished newer one after them."""
+    path, table, state = (scratch_dir(t.spark, n) for n in ("curves", "buckets", "state"))
+    point = F.struct(*[c for c in t.points.columns if c not in ("station_id", "day", "pos")])
+    doubled = F.struct(*[(C(c).try_cast("double") * 2).cast("string").alias(c) if c == "power" else C(c) for c in t.points.columns
+                         if c not in ("station_id", "day", "pos")])
+    half = F.pmod(C("pos"), F.lit(2))
+
+    def arrive(points: DataFrame, item, seq: int, page: int, pages: int) -> None:
+        curves = points.groupBy("station_id", "day").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(F.to_json(item))), F.lit("]")).alias("data"))
+        numbers = {k: F.lit(v).cast("bigint") for k, v in (("seq", seq), ("page_no", page), ("pages", pages))}
+        land(curves, C("data"), station_id=C("station_id"), day=C("day"), **numbers).write.mode("append").json(path)
+        files.stream_live_buckets(t.spark, path, table, state, lambda: AS_OF).awaitTermination()
+
+    # Items of the other half are nulls, which the array of a page leaves out; a page may be empty.
+    arrive(t.points, F.when(half == 0, point), 2, 0, 2)
+    arrive(t.points, doubled, 1, 0, 1)
+    arrive(t.points, F.when(half == 1, point), 2, 1, 2)
+    arrive(t.points, F.when(half == 2, point), 3, 0, 2)
+    rows = files.current_buckets(t.spark, table)
+    return rows.select("station_id", "day", C("slot").cast("bigint").alias("slot"), C("hour").cast("bigint").alias("hour"), "production_kwh", "consumption_kwh")

@@ -126,8 +126,11 @@ def live_points(t: Tables) -> DataFrame:
     return live.live_points(t.points)
 
 
-@query("nonzero_points", f"""SELECT * FROM (SELECT station_id, day, pos, ms // 1000 AS epoch, {rnd('power / 1000', 3)} AS production_kw,
- {rnd('load_w / 1000', 3)} AS consumption_kw, {LEVEL} AS battery_level FROM ({LIVE}) WHERE ms IS NOT NULL) WHERE production_kw > 0 OR consumption_kw > 0""")
+NONZERO = f"""SELECT * FROM (SELECT station_id, day, pos, ms // 1000 AS epoch, {rnd('power / 1000', 3)} AS production_kw,
+ {rnd('load_w / 1000', 3)} AS consumption_kw, {LEVEL} AS battery_level FROM ({LIVE}) WHERE ms IS NOT NULL) WHERE production_kw > 0 OR consumption_kw > 0"""
+
+
+@query("nonzero_points", NONZERO)
 def _(t):
     return with_epoch(live.nonzero_points(live_points(t)), "station_id", "day", "pos", "production_kw", "consumption_kw", "battery_level")
 
@@ -270,9 +273,11 @@ def _(t):
     return readings.latest_interval_key(incoming_intervals(t))
 
 
-@query("distinct_keys", "SELECT DISTINCT stage_id FROM leads")
+@query("distinct_keys", """SELECT DISTINCT 'stage' AS kind, CAST(stage_id AS VARCHAR) AS key FROM leads UNION ALL SELECT DISTINCT 'listed', CAST(l_suppkey AS VARCHAR) FROM lineitem
+ UNION ALL SELECT DISTINCT 'matched', station_id FROM report""")
 def _(t):
-    return t.leads.select(C("stage_id.id").alias("stage_id")).distinct()
+    listed = t.table("lineitem").select(F.concat(F.lit(" "), C("l_suppkey").cast("string")).alias("station_id"))
+    return views.distinct_keys(t.leads, listed, t.report)
 
 
 @query("provision_summary", "SELECT outcome, count(*) AS n FROM prov GROUP BY 1")

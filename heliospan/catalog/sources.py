@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliospan import schemas
@@ -43,7 +43,8 @@ def _(t):
                        status.alias("status"), C("power").cast("double").alias("power"))
 
 
-@query("read_completeness", "SELECT count(*) AS fetched, max(ord) + 1 AS reported, count(*) >= max(ord) + 1 AS complete FROM stations")
+@query("read_completeness", """SELECT count(*) AS fetched, max(ord) + 1 AS reported, CAST(0 AS BIGINT) AS missing_pages, CAST(0 AS BIGINT) AS repeated_pages,
+ count(*) >= max(ord) + 1 AS complete FROM stations""")
 def _(t):
     return landed.read_completeness(station_pages(t))
 
@@ -78,7 +79,10 @@ def _(t):
     key = F.concat_ws("|", *[C(f"pos.{n}") for n in ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")])
     rows = land(t.days, F.to_json(F.array(F.struct(*fields))), station_id=C("station_id"), entity_id=key, month=C("month"))
     parts = F.split("entity_id", r"\|")
-    days = landed._exploded(rows, ["station_id", "entity_id", "month"], schemas.MONTH_SUMMARY)
+    path = scratch_dir(t.spark, "months")
+    rows.write.json(path)
+    # One fetch of each entity, which stands for a station and record here.
+    days = landed.read_month_days(t.spark, path, key="entity_id").join(rows.select("entity_id", "station_id"), "entity_id")
     return days.select("station_id", "month", C("dateStr").alias("date_str"), C("energy").cast("double").alias("energy"),
                        *[parts[i].cast(kind).alias(n) for i, (n, kind) in enumerate((("o1", "bigint"), ("o2", "bigint"), ("o3", "bigint"), ("o5", "double")))])
 
@@ -109,20 +113,39 @@ def _(t):
     return listed.join(capacity.withColumnRenamed("inverter_id", "_i"), own == C("_i"), "left").select("station_id", "inverter_id", "capacity")
 
 
-@query("read_dimensions", "SELECT id, full_name, station_id FROM profiles")
+def stored_profiles(t: Tables) -> DataFrame:
+    """Profiles as a stored table without ordinals, in row order, and read back with them."""
+    path = scratch_dir(t.spark, "profiles")
+    rows = t.profiles.orderBy("ord").drop("ord").withColumnRenamed("station_id", schemas.LONG_STATION_FIELD)
+    rows.write.parquet(path)
+    return tables.read_dimensions(t.spark, path, (*schemas.PROFILE_COLUMNS, "ord"))
+
+
+@query("read_dimensions", "SELECT id, full_name, station_id, row_number() OVER (ORDER BY ord) AS place FROM profiles")
 def _(t):
-    return tables.pick(t.profiles.withColumnRenamed("station_id", schemas.LONG_STATION_FIELD), ("id", "full_name", "station_id"))
+    rows = stored_profiles(t)
+    place = F.row_number().over(Window.orderBy("ord"))
+    return rows.select("id", "full_name", "station_id", place.cast("bigint").alias("place"))
+
+
+def crm_extract(t: Tables, leads: DataFrame) -> DataFrame:
+    """Leads as a CRM extract without ordinals, read back with them."""
+    path = scratch_dir(t.spark, "crm")
+    leads.orderBy("ord").drop("ord").write.json(path)
+    return tables.read_crm_leads(t.spark, path)
 
 
 @query("read_crm_leads", "SELECT id, name, partner_name, contact_name, email_from, stage_id, stage FROM leads")
 def _(t):
-    return t.leads.select("id", "name", "partner_name", "contact_name", "email_from", C("stage_id.id").alias("stage_id"), C("stage_id.name").alias("stage"))
+    return crm_extract(t, t.leads).select("id", "name", "partner_name", "contact_name", "email_from", C("stage_id.id").alias("stage_id"), C("stage_id.name").alias("stage"))
 
 
 @query("read_station_filter_csv", "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS station_id FROM lineitem WHERE l_linenumber > 1")
 def _(t):
     ids = F.when(C("l_linenumber") > 1, F.concat(F.lit(" "), C("l_suppkey").cast("string"), F.lit(" "))).otherwise("")
-    return tables.station_filter(t.table("lineitem").select(ids.alias(tables.BYTE_ORDER_MARK + schemas.LONG_STATION_FIELD)))
+    path = scratch_dir(t.spark, "filter")
+    t.table("lineitem").select(ids.alias(tables.BYTE_ORDER_MARK + schemas.LONG_STATION_FIELD)).write.option("header", True).csv(path)
+    return tables.read_station_filter_csv(t.spark, path)
 
 
 REPORT_FIELDS = "lead_id: BIGINT, station_id: STRING, station_name: STRING, partner_name: STRING"

@@ -6,12 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# No payload quantity comes near this; larger ones could not be summed exactly.
+LARGEST = 1e15
+
+
 def parse_double(value: Column) -> Column:
-    """Number text as DOUBLE, null when it is not a number.
+    """Number text as DOUBLE, null when it is not a number that a payload can hold.
 
-    Java accepts a type suffix (``1d``, ``2.f``) that is not a number here.
+    Java accepts a type suffix (``1d``, ``2.f``) that is not a number here. ``nan``,
+    ``inf`` and numbers beyond ``LARGEST`` are no quantities either: they would spoil
+    every sum they take part in.
     """
-    return F.when(~value.rlike(r"[0-9.][dDfF]\s*$"), value.try_cast("double"))
+    number = value.try_cast("double")
+    return F.when(~value.rlike(r"[0-9.][dDfF]\s*$") & number.between(-LARGEST, LARGEST), number)
 
 
 def to_float(value: Column, default: float = 0.0) -> Column:

@@ -87,47 +87,59 @@ def new_system_id(user_id: Column) -> Column:
 
 
 def upsert_solar_system(
-    systems: DataFrame, stations: DataFrame, as_of: datetime, insert_on: str = "oldest_date", update: bool = True
+    systems: DataFrame, stations: DataFrame, as_of: datetime
 ) -> DataFrame:
     """Update the active system of every user, or insert one.
 
     ``stations`` holds user_id, station_name, capacity_kwp, battery_capacity_kwh
     and oldest_date. A recent placeholder installation date is replaced by the
-    oldest reading date. ``insert_on`` names the date of a new system:
-    ``oldest_date`` or ``today``.
+    oldest reading date, which is also the date of a new system.
     """
-    today = F.lit(clock.local_calendar(as_of)["today"]).cast("date")
     recent = F.lit((as_of.astimezone(clock.LOCAL) - timedelta(days=schemas.RECENT_INSTALL_DAYS)).strftime("%Y-%m-%d")).cast("date")
     targets = last_system(systems)
     given = stations.select(
         "user_id", F.col("station_name").alias("_name"), F.col("capacity_kwp").alias("_capacity"),
         F.col("battery_capacity_kwh").alias("_battery"), F.col("oldest_date").alias("_oldest"),
     )
-    merged = systems
-    if update:
-        changes = targets.join(given, "user_id").drop("user_id").withColumn("_given", F.lit(True))
-        joined = systems.join(changes, systems["id"] == changes["system_id"], "left")
-        hit = F.col("_given").isNotNull()
-        merged = joined.select(*[
-            {
-                "system_name": F.when(hit, F.col("_name")).otherwise(F.col("system_name")),
-                "capacity_kwp": F.when(hit, F.col("_capacity")).otherwise(F.col("capacity_kwp")),
-                "battery_capacity_kwh": F.coalesce(F.col("_battery"), F.col("battery_capacity_kwh")),
-                "installation_date": F.when(hit & (F.col("installation_date") >= recent), F.col("_oldest")).otherwise(F.col("installation_date")),
-            }.get(c, F.col(c)).alias(c)
-            for c in systems.columns
-        ])
+    changes = targets.join(given, "user_id").drop("user_id").withColumn("_given", F.lit(True))
+    joined = systems.join(changes, systems["id"] == changes["system_id"], "left")
+    hit = F.col("_given").isNotNull()
+    merged = joined.select(*[
+        {
+            "system_name": F.when(hit, F.col("_name")).otherwise(F.col("system_name")),
+            "capacity_kwp": F.when(hit, F.col("_capacity")).otherwise(F.col("capacity_kwp")),
+            "battery_capacity_kwh": F.coalesce(F.col("_battery"), F.col("battery_capacity_kwh")),
+            "installation_date": F.when(hit & (F.col("installation_date") >= recent), F.col("_oldest")).otherwise(F.col("installation_date")),
+        }.get(c, F.col(c)).alias(c)
+        for c in systems.columns
+    ])
     missing = given.join(targets, "user_id", "left_anti")
     created = missing.select(
         new_system_id(F.col("user_id")).alias("id"), "user_id", F.col("_name").alias("system_name"),
         F.col("_capacity").alias("capacity_kwp"), F.col("_battery").alias("battery_capacity_kwh"),
-        (F.col("_oldest") if insert_on == "oldest_date" else today).alias("installation_date"),
+        F.col("_oldest").alias("installation_date"),
         F.lit(schemas.MISSING_ADDRESS).alias("address"), F.lit("active").alias("status"),
         F.lit(None).cast("bigint").alias("ord"),
     )
     return merged.unionByName(created.select(*systems.columns))
 
 
+def created_systems(systems: DataFrame, stations: DataFrame, as_of: datetime, address: str) -> DataFrame:
+    """New systems for the users without an active one, installed today.
+
+    ``stations`` holds user_id, station_name and capacity_kwp. Unlike the daily job,
+    the interval job and the backfill change no system that is there.
+    """
+    today = F.lit(clock.local_calendar(as_of)["today"]).cast("date")
+    missing = stations.join(last_system(systems), "user_id", "left_anti")
+    created = missing.select(
+        new_system_id(F.col("user_id")).alias("id"), "user_id", F.col("station_name").alias("system_name"), "capacity_kwp",
+        F.lit(None).cast("double").alias("battery_capacity_kwh"), today.alias("installation_date"),
+        F.lit(address).alias("address"), F.lit("active").alias("status"), F.lit(None).cast("bigint").alias("ord"),
+    )
+    return systems.unionByName(created.select(*systems.columns))
+
+
 def purge_before_day(readings: DataFrame, as_of: datetime) -> DataFrame:
     """Rows kept by retention: those from the start of the local day on."""
     start, _ = clock.day_bounds(as_of)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from heliospan import schemas
 from heliospan.functions import clock, energy
-from heliospan.functions.numbers import exact_sum, is_blank, round_n, strict_float, to_float
+from heliospan.functions.numbers import bad_number, exact_sum, is_blank, round_n, strict_float, to_float
 from heliospan.operators.keep import keep_first, keep_last, sample_per_key
+from heliospan.session import materialize
 
 # Output column, payload field, decimals.
 STRICT_DAY_FIELDS = (
@@ -89,6 +90,18 @@ def point_times(points: DataFrame) -> DataFrame:
     return points.withColumn("_millis", millis).withColumn("timestamp", clock.millis_timestamp(F.col("_millis"))).drop("_millis")
 
 
+POINT_NUMBERS = ("power", "familyLoadPower", "bypassLoadPower", "psum", "batteryPower", "batteryCapacitySoc")
+
+
+def bad_points(points: DataFrame) -> DataFrame:
+    """Points with a number that does not parse or is out of range, and the fields it stands in.
+
+    Readings take such a number as 0, live sums leave it out; this is the record of it.
+    """
+    fields = F.array_compact(F.array(*[F.when(bad_number(F.col(c)), c) for c in POINT_NUMBERS]))
+    return points.withColumn("bad_fields", fields).filter(F.size("bad_fields") > 0)
+
+
 def interval_reading(points: DataFrame, *keep: str, lifetime: bool = True) -> DataFrame:
     """Points to interval readings; points without a timestamp are dropped."""
     soc = F.col("batteryCapacitySoc")
@@ -215,8 +228,10 @@ def classify_intervals(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     A missing interval is inserted however late it is. A stored one changes only
     when it is the newest interval of this batch for its user. The newest key is
     an aggregate joined back, not a window, so a user with very many rows is
-    split by the skew join.
+    split by the skew join. The incoming side is written once, so that its payloads
+    are parsed once for both uses.
     """
+    incoming = materialize(incoming, "incoming")
     known = stored.select("user_id", clock.epoch_key(F.col("timestamp")).alias("epoch")).distinct()
     known = known.withColumn("_stored", F.lit(True))
     joined = incoming.join(known, ["user_id", "epoch"], "left").join(latest_interval_key(incoming), "user_id")
@@ -255,9 +270,15 @@ def oldest_row(readings: DataFrame) -> DataFrame:
 
 
 def first_inverter(inverters: DataFrame) -> DataFrame:
-    """First inverter of every station in list order."""
-    first = inverters.groupBy("station_id").agg(F.min_by("inverter_id", "pos").alias("inverter_id"))
-    return first.filter("inverter_id is not null")
+    """First inverter of every station in list order.
+
+    The first position is a fixed-width aggregate, which hashes; the inverter's text
+    is joined back to it.
+    """
+    known = inverters.filter("inverter_id is not null")
+    first = known.groupBy(F.col("station_id").alias("_station")).agg(F.min("pos").alias("_pos"))
+    return known.join(first, (F.col("station_id") == F.col("_station")) & (F.col("pos") == F.col("_pos"))).select(
+        "station_id", "inverter_id")
 
 
 def station_battery(inverters: DataFrame, detail: DataFrame) -> DataFrame:

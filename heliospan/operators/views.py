@@ -64,6 +64,14 @@ def alarms_in_range(alarms: DataFrame, begin: datetime | None = None, end: datet
     return alarms
 
 
+def distinct_keys(leads: DataFrame, wanted: DataFrame, matches: DataFrame) -> DataFrame:
+    """Distinct stage ids, listed station ids and matched station ids, as (kind, key), in one aggregate."""
+    keys = leads.select(F.lit("stage").alias("kind"), F.col("stage_id.id").cast("string").alias("key")).unionByName(
+        wanted.select(F.lit("listed").alias("kind"), F.trim("station_id").alias("key"))).unionByName(
+        matches.select(F.lit("matched").alias("kind"), F.col("station_id").alias("key")))
+    return keys.filter("key <> ''").distinct()
+
+
 def search_stations(stations: DataFrame, query: str) -> DataFrame:
     """Case-insensitive substring of the name or the serial; an empty query keeps all."""
     text = query.lower().strip()

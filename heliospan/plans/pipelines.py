@@ -7,7 +7,7 @@ here, so running a job without writing is a dry run.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ def plan_only(job: Job) -> DataFrame:
 def live_snapshot(points: DataFrame, detail: DataFrame, as_of: datetime) -> DataFrame:
     """One row per station and day: totals, battery, two-hour buckets and metadata.
 
-    Points are aggregated once, by bucket; totals roll the at most ten bucket
+    A station without points has one row with a null day, zeros and no buckets. Points are aggregated once, by bucket; totals roll the at most ten bucket
     rows of a station and day up, so the only large shuffle carries partial sums.
     """
     live = live_ops.live_points(points)
@@ -84,7 +84,9 @@ def live_snapshot(points: DataFrame, detail: DataFrame, as_of: datetime) -> Data
         energy.energy_to_kwh(strict_float(F.col("allEnergy")), F.col("allEnergyStr")).alias("alltime_production_kwh"),
         energy.energy_to_kwh(strict_float(F.col("monthEnergy")), F.col("monthEnergyStr")).alias("month_production_kwh"),
     )
-    return state.join(meta, "station_id")
+    joined = meta.join(state, "station_id", "left")
+    totals = [c for c in state.columns if c.startswith("today_") and c != "today_hourly"]
+    return joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in totals}).select(*state.columns, *[c for c in meta.columns if c != "station_id"])
 
 
 def live_readings(points: DataFrame) -> DataFrame:
@@ -92,6 +94,26 @@ def live_readings(points: DataFrame) -> DataFrame:
     return live_ops.nonzero_points(live_ops.live_points(points))
 
 
+def live_view(
+    auth_users: DataFrame, profiles: DataFrame, points: DataFrame, detail: DataFrame, as_of: datetime,
+    metadata_key: str = schemas.LONG_STATION_FIELD,
+) -> DataFrame:
+    """What every signed-in user sees now: the snapshot of today of their station and its readings.
+
+    A user without a station has ``found = false`` and nothing else; one whose station
+    has no points today has zeros. Today is a literal bound, which prunes points that
+    landed by day. The readings of a station and day are bounded by its 288 intervals.
+    """
+    mine = points.filter(F.col("day") == clock.local_calendar(as_of)["today"])
+    snapshot = live_snapshot(mine, detail, as_of).drop("day")
+    fields = ("pos", "timestamp", "production_kw", "consumption_kw", "battery_level")
+    listed = live_readings(mine).groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("readings"))
+    listed = listed.withColumn("readings", F.transform("readings", lambda r: r.dropFields("pos")))
+    users = live_ops.resolve_station(auth_users, profiles, metadata_key).select(F.col("id").alias("user_id"), "station_id")
+    shown = users.join(snapshot, "station_id", "left").join(listed, "station_id", "left")
+    return shown.withColumn("found", F.col("station_id").isNotNull())
+
+
 def station_facts(users: DataFrame, detail: DataFrame, battery: DataFrame | None, oldest: DataFrame) -> DataFrame:
     """Per user: what the dimension merge needs to know about the station."""
     station = detail.select(
@@ -107,6 +129,15 @@ def station_facts(users: DataFrame, detail: DataFrame, battery: DataFrame | None
     return joined.join(oldest.select(F.col("id").alias("user_id"), "oldest_date"), "user_id")
 
 
+def station_names(users: DataFrame, detail: DataFrame) -> DataFrame:
+    """Per user: name and capacity for a new system of the interval job and the backfill."""
+    station = detail.select(
+        F.col("id").alias("station_id"), F.coalesce(first_truthy(F.col("stationName")), F.col("id")).alias("station_name"),
+        to_float(F.col("capacity")).alias("capacity_kwp"),
+    )
+    return users.select(F.col("id").alias("user_id"), "station_id").join(station, "station_id")
+
+
 def months_to_sync(as_of: datetime) -> list[str]:
     """The current local month and, on its first day, the one before."""
     now = as_of.astimezone(clock.LOCAL)
@@ -134,12 +165,16 @@ def daily_sync(
 
     ``stored`` may be only the partitions of those months, as older ones do not
     change; ``history`` is then the whole table, read for the oldest dates only.
+    ``months_to_sync`` gives the months of a scheduled run.
     ``order`` says which copy of a day is the last.
     """
     users = readings.mapped_users(profiles)
-    oldest = readings.oldest_reading_date(users, stored if history is None else history, as_of)
-    merged_systems = merge.upsert_solar_system(systems, station_facts(users, detail, battery, oldest), as_of)
+    # Months are literals, so they prune payloads that landed by month.
     wanted = days if months is None else days.filter(F.col("month").isin(months))
+    # A station whose months hold no record is left alone.
+    active = users.join(wanted.select("station_id").distinct(), "station_id", "left_semi")
+    oldest = readings.oldest_reading_date(active, stored if history is None else history, as_of)
+    merged_systems = merge.upsert_solar_system(systems, station_facts(active, detail, battery, oldest), as_of)
     mine = wanted.join(owners(users, systems), "station_id")
     incoming = merge.last_per_day(readings.daily_reading(mine, "user_id", "system_id", *order), order)
     changes = merge.classify_days(stored, incoming)
@@ -151,20 +186,25 @@ def interval_sync(
     profiles: DataFrame, systems: DataFrame, points: DataFrame, totals: DataFrame, stored: DataFrame, as_of: datetime,
     detail: DataFrame | None = None,
 ) -> Job:
-    """Interval readings merged under the late-interval rule, older days dropped."""
+    """Interval readings merged under the late-interval rule, older days dropped.
+
+    With ``detail``, every mapped user without an active system gets one. Points of
+    request days before yesterday cannot reach today: a literal bound, which prunes
+    curves that landed by day. The day of the reading itself is tested before the
+    copies of an interval are compared.
+    """
     users, systems_before = readings.mapped_users(profiles), systems
     if detail is not None:
-        oldest = users.withColumn("oldest_date", F.lit(None).cast("date"))
-        systems = merge.upsert_solar_system(
-            systems, station_facts(users, detail, None, oldest), as_of, insert_on="today", update=False
-        )
-    mine = points.join(owners(users, systems_before), "station_id").join(
+        systems = merge.created_systems(systems, station_names(users, detail), as_of, schemas.MISSING_ADDRESS_INTERVAL)
+    yesterday = (as_of.astimezone(clock.LOCAL) - timedelta(days=1)).strftime("%Y-%m-%d")
+    recent = points.filter(F.col("day").isNull() | (F.col("day") >= yesterday))
+    mine = recent.join(owners(users, systems_before), "station_id").join(
         readings.lifetime_earning(totals), "station_id", "left"
     ).withColumn("lifetime_earning", F.coalesce("lifetime_earning", F.lit(0.0)))
     kept = merge.purge_before_day(stored, as_of)
     rows = readings.interval_reading(mine, "user_id", "system_id", "pos")
     rows = merge.without_missing_column(rows, stored, "lifetime_earning")
-    incoming = merge.purge_before_day(readings.dedup_points_last(rows), as_of)
+    incoming = readings.dedup_points_last(merge.purge_before_day(rows, as_of))
     classified = readings.classify_intervals(incoming, kept)
     changes = classified.filter("action <> 'skip'")
     table = merge.upsert_readings(kept, changes.drop("pos", "epoch", "action"))
@@ -173,9 +213,14 @@ def interval_sync(
 
 def history_backfill(
     profiles: DataFrame, systems: DataFrame, days: DataFrame, stored: DataFrame, as_of: datetime,
-    wanted: DataFrame | None = None, fixed_days: int = 0,
+    wanted: DataFrame | None = None, fixed_days: int = 0, detail: DataFrame | None = None,
 ) -> Job:
-    """Readings of every user since installation, or of a fixed number of days."""
+    """Readings of every user since installation, or of a fixed number of days.
+
+    With ``detail``, every user in the window without an active system gets one. The
+    first and last month of all windows are literal bounds on the payloads, which prune
+    those that landed by month; each user's own months follow.
+    """
     users = readings.mapped_users(profiles)
     if wanted is not None:
         users = readings.users_in_csv(users, wanted)
@@ -183,12 +228,16 @@ def history_backfill(
     months = readings.months_needed(windowed, as_of).withColumnRenamed("id", "user_id")
     start = windowed.select(F.col("id").alias("user_id"), "start_date")
     owner = owners(windowed, systems).join(start, "user_id")
-    mine = days.join(owner, "station_id").join(months, ["user_id", "month"], "left_semi")
+    first, last = months.agg(F.min("month"), F.max("month")).first()
+    near = days.filter(F.col("month").between(first, last)) if first else days.filter(F.lit(False))
+    mine = near.join(owner, "station_id").join(months, ["user_id", "month"], "left_semi")
     rows = readings.daily_reading(mine, "user_id", "system_id", "month", "pos", "start_date")
     changes = readings.dedup_days_last(readings.backfill_window(rows, as_of)).drop("start_date")
     table = merge.upsert_readings(stored, changes.drop("month", "pos", "reading_date"))
     report = changes.groupBy("user_id").agg(F.count("*").alias("planned"))
-    return Job(changes, table, report, rejected=readings.bad_days(mine))
+    if detail is not None:
+        systems = merge.created_systems(systems, station_names(windowed, detail), as_of, schemas.MISSING_ADDRESS)
+    return Job(changes, table, report, systems, readings.bad_days(mine))
 
 
 @dataclass
@@ -260,7 +309,3 @@ def dashboard_views(stations: DataFrame, detail: DataFrame, points: DataFrame, d
         "day_chart": views.trim_series(views.day_series(points), ["station_id", "day"]),
         "month_chart": views.month_series(days),
     }
-
-
-# Names of the jobs' merge keys, for callers that write the tables themselves.
-MERGE_KEYS = {"readings": schemas.READING_KEY, "profiles": ("id",), "systems": ("id",)}

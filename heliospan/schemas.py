@@ -96,6 +96,8 @@ INSTALLED_KEYWORDS = ("Installed", "Project Closed", "Permitting")
 DEPRECATED_MARKER = "DEPRECATED"
 
 MISSING_ADDRESS = "—"
+# The interval job writes this one.
+MISSING_ADDRESS_INTERVAL = "-"
 DEFAULT_DISPLAY_NAME = "Solar User"
 STATION_PAGE_SIZE = 20
 DEFAULT_BACKFILL_DAYS = 90

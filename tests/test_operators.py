@@ -122,9 +122,37 @@ def test_upsert_solar_system(spark):
     assert (rows["u", "active"].installation_date, rows["u", "active"].battery_capacity_kwh, rows["u", "active"].system_name) == (oldest, 5.0, "new")
     assert rows["v", "active"].installation_date == dt.date(2026, 2, 9)
     assert rows["w", "active"].installation_date == oldest and rows["w", "retired"].system_name == "old"
-    only = merge.upsert_solar_system(systems, facts, now, insert_on="today", update=False)
+    only = merge.created_systems(systems, facts.select("user_id", "station_name", "capacity_kwp"), now, "-")
     rows = {(r.user_id, r.status): r for r in only.collect()}
-    assert rows["w", "active"].installation_date == dt.date(2026, 4, 10) and rows["u", "active"].system_name == "old"
+    new = rows["w", "active"]
+    assert (new.installation_date, new.address, new.battery_capacity_kwh) == (dt.date(2026, 4, 10), "-", None)
+    assert rows["u", "active"].system_name == "old" and len(rows) == 4
+
+
+def test_numbers_out_of_range_are_set_aside(spark):
+    bad = ["nan", "inf", "-Infinity", "1e30", "1e300"]
+    rows = [{"time": local_ms("2026-04-08 10:00"), "power": x, "pos": i} for i, x in enumerate([*bad, "12000"])]
+    some = points(spark, *rows)
+    found = readings.bad_points(some).select("power", "bad_fields").collect()
+    assert [(r.power, r.bad_fields) for r in found] == [(x, ["power"]) for x in bad]
+    totals = live.today_totals(live.live_points(some)).first()
+    assert totals.production_kwh == 1.0
+    day = days(spark, *[{"dateStr": "2026-04-01", "energy": x, "user_id": "u"} for x in [*bad, "5"]])
+    assert [r.production_kwh for r in readings.daily_reading(day, "user_id").collect()] == [5.0]
+    assert readings.bad_days(day).count() == len(bad)
+
+
+def test_live_view(spark):
+    auth = spark.createDataFrame([("u", {"solis_station_id": " s "}), ("v", {}), ("w", {})], "id STRING, user_metadata MAP<STRING, STRING>")
+    profiles = spark.createDataFrame([("v", "empty"), ("w", None)], "id STRING, station_id STRING")
+    detail = spark.createDataFrame([("s", "S"), ("empty", "E")], "id STRING, stationName STRING")
+    detail = detail.select("*", *[F.lit("1").alias(c) for c in ("power", "capacity", "allEnergy", "allEnergyStr", "monthEnergy", "monthEnergyStr")])
+    rows = [{"time": local_ms("2026-04-08 10:00"), "power": "12000", "pos": 1}, {"time": local_ms("2026-04-08 10:05"), "power": "0", "pos": 2},
+            {"time": local_ms("2026-04-07 10:05"), "day": "2026-04-07", "power": "12000", "pos": 3}]
+    seen = {r.user_id: r for r in pipelines.live_view(auth, profiles, points(spark, *rows), detail, as_of("2026-04-08 12:00")).collect()}
+    assert (seen["u"].found, seen["u"].today_production_kwh, [r.production_kw for r in seen["u"].readings]) == (True, 1.0, [12.0])
+    assert (seen["v"].found, seen["v"].station_name, seen["v"].today_production_kwh, seen["v"].readings) == (True, "E", 0.0, None)
+    assert (seen["w"].found, seen["w"].station_id) == (False, None)
 
 
 def test_purge_and_evolve(spark):
