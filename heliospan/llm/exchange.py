@@ -24,7 +24,7 @@ from heliospan.llm.common import discard, scratch_dir
 
 BLOCK_BYTES = 1 << 22
 # A bucket merges about this many keys at a time.
-BUCKET_KEYS = 1 << 22
+BUCKET_KEYS = 1 << 20
 BLOCK_KEYS = 1 << 19
 ASKED = "bucket INT, block BIGINT, keys BINARY, counts BINARY"
 
