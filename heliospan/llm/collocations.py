@@ -32,6 +32,9 @@ SCALE = 2_000_000
 COVERED = (80, 100)
 TOP = 2000
 NO_LANG = "und"
+# A block carries all relations of its words, so it is smaller than those of other operators.
+BLOCK_BYTES = 1 << 21
+BLOCK_KEYS = 1 << 18
 
 PIECE_BREAKS = np.zeros(256, bool)
 PIECE_BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -65,13 +68,13 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = exchange.new_block()
-        for table in gathered(batches, "text", exchange.BLOCK_BYTES):
+        for table in gathered(batches, "text", BLOCK_BYTES):
             named = table["lang"].combine_chunks().cast(pa.string()).fill_null(NO_LANG).dictionary_encode()
             if isinstance(named, pa.ChunkedArray):
                 named = named.combine_chunks()
             lang_of, langs = named.indices.to_numpy().astype(np.int64), named.dictionary.to_pylist()
             salts = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in langs], np.uint64)
-            for part in parts(table["text"].combine_chunks(), BREAKS, exchange.BLOCK_BYTES):
+            for part in parts(table["text"].combine_chunks(), BREAKS, BLOCK_BYTES):
                 after = _ahead(part.rest, MAX_WORDS - 1)
                 data = LOWER[np.concatenate([part.data, after])]
                 offsets = part.offsets.copy()
@@ -232,7 +235,7 @@ def mined(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame
     cut), score; the second lang and n.
     """
     prepared(docs.sparkSession)
-    state = exchange.written(word_blocks(docs), "words")
+    state = exchange.written(word_blocks(docs), "words", BLOCK_KEYS)
     both = state.rows.select(F.explode(F.arrays_zip("langs", "totals")).alias("t"))
     words = both.groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
     words = materialize(words.filter("n > 0"), "words-of-lang")
@@ -247,7 +250,7 @@ def mined(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame
             schema = "block BIGINT" if last else f"{schema}, g{k} BINARY, n{k} BINARY"
         target = schema if k == 1 else f"{schema}, {FOUND}"
         rows = exchange.met(source, answers, _keep_words if k == 1 else _keep_phrases(k, last), target)
-        following = exchange.written(rows, f"phrases{k}")
+        following = exchange.written(rows, f"phrases{k}", BLOCK_KEYS)
         if k > 1:
             found.append(materialize(following.rows.select(F.explode("found").alias("f")).select("f.*"), f"found{k}"))
         state.drop()

@@ -53,8 +53,12 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _lowest(links: DataFrame) -> DataFrame:
-    """Every (u, v) with the smallest v of its u as ``m``; a hot u is split by the skew join."""
-    return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")
+    """Every (u, v) with the smallest v of its u as ``m``.
+
+    The minima are written first: both sides of the join are then plain exchanges,
+    which the skew join can split at a hot u. Over an aggregate it could not.
+    """
+    return links.join(materialize(links.groupBy("u").agg(F.min("v").alias("m")), "lowest"), "u")
 
 
 def _print_of(links: DataFrame) -> tuple:
@@ -74,9 +78,9 @@ def components(links: DataFrame) -> DataFrame:
     before = _print_of(stars)
     while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = materialize(large.filter("u <> v").distinct(), "large")
         low = _lowest(large)
         small = low.select("u", F.col("m").alias("v")).unionByName(
             low.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))

@@ -157,7 +157,7 @@ class Level:
 def _level(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None) -> Level:
     """Nodes added up by id; ``longer`` has the log weighted probabilities of their longer contexts."""
     ids, number = np.unique(node, return_inverse=True)
-    add = lambda x: np.bincount(number, x, len(ids))
+    add = lambda x: np.bincount(number, x, len(ids)).astype(float)
     zeros, ones = add(zeros), add(ones)
     own = estimate(zeros, ones)
     if longer is None:

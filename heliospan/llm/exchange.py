@@ -34,6 +34,7 @@ class Blocks:
     rows: DataFrame
     path: str
     count: int
+    keys: int = BLOCK_KEYS
 
     def drop(self) -> None:
         discard(self.rows.sparkSession, self.path)
@@ -42,14 +43,15 @@ class Blocks:
     def buckets(self) -> int:
         """More with the blocks, so that what one bucket merges stays bounded."""
         least = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return max(least, -(-self.count * BLOCK_KEYS // BUCKET_KEYS))
+        return max(least, -(-self.count * self.keys // BUCKET_KEYS))
 
 
-def written(rows: DataFrame, label: str) -> Blocks:
+def written(rows: DataFrame, label: str, keys: int = BLOCK_KEYS) -> Blocks:
     """``rows`` (a row for each ``block``) as a table bucketed by block in the shared folder.
 
     Every block goes to one bucket, so the tasks write them without a shuffle, and
-    later meetings of blocks and answers shuffle the answers alone.
+    later meetings of blocks and answers shuffle the answers alone. ``keys`` is about
+    how many a block will ask for.
     """
     spark = rows.sparkSession
     path, name = scratch_dir(spark, label), f"{label}_{uuid.uuid4().hex}"
@@ -58,7 +60,7 @@ def written(rows: DataFrame, label: str) -> Blocks:
     found = spark.table(name)
     count = found.count()
     spark.sql(f"DROP TABLE {name}")  # the files stay; only the name goes
-    return Blocks(found, path, count)
+    return Blocks(found, path, count, keys)
 
 
 def new_block() -> Callable[[], int]:

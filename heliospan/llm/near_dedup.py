@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliospan.llm import superminhash
 from heliospan.llm.common import (
-    filter_slot, id_filter, list_array, materialize, maybe_in, over_batches, prepared,
+    filter_slot, fresh_name, id_filter, list_array, materialize, maybe_in, over_batches, prepared,
 )
 from heliospan.llm.components import components
 from heliospan.llm.linking import bit_columns, link_classes, parity_columns, similar
@@ -103,6 +103,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Documents, one of each group of near duplicates; all columns stay, rows without an id too."""
+    """Documents, one row of each group of near duplicates; all columns stay, rows without an id too.
+
+    Of rows that repeat the id that stays, the one whose columns hash lowest is kept.
+    Only those rows are compared; the others pass without a shuffle of their texts by id.
+    """
     dropped = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped_id"], "left_anti")
+    rest = docs.join(dropped, docs["doc_id"] == dropped["_dropped_id"], "left_anti")
+    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_repeated_id")).agg(F.count("*").alias("_n"))
+    repeated = materialize(ids.filter("_n > 1").select("_repeated_id"), "repeated")
+    same = rest["doc_id"] == F.col("_repeated_id")
+    place = fresh_name(docs, "_place")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), *[F.col(c) for c in docs.columns])
+    once = rest.join(repeated, same, "left_semi").withColumn(place, F.row_number().over(order))
+    return rest.join(repeated, same, "left_anti").unionByName(once.filter(F.col(place) == 1).drop(place))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospan.llm.common import fresh_name, materialize, numbered, over_batches, prepared
-from heliospan.llm.words import LOWER, parts, span_hashes, split_words
+from heliospan.llm.words import BLOCK_BYTES, LOWER, parts, span_hashes, split_words
 
 BUCKETS = 10_000
 SHARE = (25, 100)
@@ -71,10 +71,12 @@ def crc_joined(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.
     return out ^ second
 
 
-def feature_buckets(column: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def feature_buckets(
+    column: pa.Array, buckets: int = BUCKETS, limit: int = BLOCK_BYTES,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Text index and bucket of every run of one or two words, and the text index of every word."""
     last: tuple[int, bytes] = (-1, b"")
-    for part in parts(column, BREAKS):
+    for part in parts(column, BREAKS, limit):
         data = LOWER[part.data]
         starts, ends, owner = split_words(data, part.offsets, BREAKS)
         if not len(starts):

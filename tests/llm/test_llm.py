@@ -443,3 +443,35 @@ def test_pipeline_stages(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert last.count() == docs.count() and {"shard", "slot"} <= set(last.columns)
+
+
+def test_one_row_of_each_group_stays(spark, docs):
+    text = prose(random.Random(31), 80)
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "c"), (3, "other words", "d"), (None, text, "e")]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    kept = near_dedup.one_per_group(table).select("doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, text), (3, "other words"), (None, text)], key=repr)
+    ids = [r.doc_id for r in near_dedup.one_per_group(docs).collect() if r.doc_id is not None]
+    assert len(ids) == len(set(ids))
+
+
+def test_a_star_is_joined_without_an_aggregate_between(spark):
+    links = spark.range(1, 20_001).selectExpr("0L AS u", "id AS v")
+    rows = components.components(links)
+    assert rows.count() == 20_001 and rows.select("component").distinct().count() == 1
+    plan = components._lowest(links)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan
+
+
+def test_sample_is_taken_from_documents_that_are_there(spark):
+    from heliospan.llm import samples
+
+    documents = spark.createDataFrame([(i, f"text {i}" if i % 10 else "x" * 70_000) for i in range(200)] + [(5, "again")], "doc_id BIGINT, text STRING")
+    labels = spark.range(200_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    got = samples.labelled(documents, labels, "toxic", rows=60)
+    assert got["label"].value_counts().to_dict() == {0: 60, 1: 60} and got["doc_id"].is_unique
+    usable = [i for i in range(200) if i % 10]
+    hashes = {r.doc_id: r.h for r in spark.range(200).select(F.col("id").alias("doc_id"), F.xxhash64(F.lit("toxic"), "id").alias("h")).collect()}
+    want = {i for k in (0, 1) for i in sorted((i for i in usable if i % 2 == k), key=lambda i: (hashes[i], i))[:60]}
+    assert set(got["doc_id"]) == want
+    assert len(samples.labelled(documents, labels.limit(0), "toxic")) == 0
