@@ -38,12 +38,12 @@ SPACING = 7
 # All spans so many words around a repeated anchor are compared: two edits with a short run between them are passed.
 REACH = 24
 
-UNITS = "doc_id BIGINT, start INT, n_words INT, mark BIGINT, banded BOOLEAN"
+UNITS = "doc_id BIGINT, start INT, n_words INT, mark BIGINT, banded BOOLEAN, line BOOLEAN"
 MARKS = bit_columns(BANDING) + parity_columns(BANDING)
 SKETCH = "mark BIGINT, n BIGINT, bands ARRAY<BIGINT>, " + ", ".join(f"{c} BIGINT" for c in MARKS)
 SETS = "mark BIGINT, n BIGINT, items ARRAY<BIGINT>"
 ANCHORS = "mark BIGINT, copies BIGINT"
-SPANS = "doc_id BIGINT, start INT, mark BIGINT"
+SPANS = "doc_id BIGINT, start INT, mark BIGINT, line INT, last_line INT"
 
 _ENDS_SENTENCE = np.isin(np.arange(256), list(b".!?"))
 
@@ -86,12 +86,12 @@ def _units(batch: pa.RecordBatch) -> Iterator[dict]:
             # A sentence that is a whole line stands there once, as a line.
             keep = (size >= MIN_SENTENCE) if lines else (size >= MIN_SENTENCE) & ~(
                 line[first] & np.append(line, True)[first + size])
-            parts.append([x[keep] for x in (first, size, _marks(block, first, size), banded)])
-        first, size, mark, banded = (np.concatenate(x) for x in zip(*parts))
+            parts.append([x[keep] for x in (first, size, _marks(block, first, size), banded, np.full(len(first), lines))])
+        first, size, mark, banded, line = (np.concatenate(x) for x in zip(*parts))
         text = block.text[first]
         yield {
             "doc_id": batch.column("doc_id").slice(block.first, block.count).take(pa.array(text)),
-            "start": first - block.bounds[text], "n_words": size, "mark": mark, "banded": banded,
+            "start": first - block.bounds[text], "n_words": size, "mark": mark, "banded": banded, "line": line,
         }
 
 
@@ -173,19 +173,29 @@ def _spans_near(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
         np.add.at(edge, np.minimum(at + REACH + 1, bounds[text + 1] - SPAN + 1), -1)
         first = np.flatnonzero(np.cumsum(edge) > 0)
         text = block.text[first]
+        # Where the lines of the first and of the last word begin.
+        begins = np.flatnonzero(_cuts(block)[0])
+        line = lambda at: begins[np.searchsorted(begins, at, "right") - 1] - bounds[text]  # noqa: B023, E731
         yield {
             "doc_id": batch.column("doc_id").slice(block.first, block.count).take(pa.array(text)),
-            "start": first - bounds[text], "mark": marks[first],
+            "start": first - bounds[text], "mark": marks[first], "line": line(first), "last_line": line(first + SPAN - 1),
         }
 
 
-def _repeated_spans(texts: DataFrame) -> DataFrame:
-    """Places of spans that stand twice, in two texts or ``MIN_PASSAGE`` words apart: doc_id, start, mark, and the first place."""
+def _repeated_spans(texts: DataFrame, removed: DataFrame) -> DataFrame:
+    """Places of spans that stand twice, in two texts or ``MIN_PASSAGE`` words apart: doc_id, start, mark, and the first place.
+
+    Spans that reach into a removed line (doc_id, start) go with it: they neither count
+    as copies nor are the one that stays.
+    """
     anchors = over_batches(texts.select("text"), _anchor_counts, ANCHORS)
     wanted = anchors.groupBy("mark").agg(F.sum("copies").alias("copies")).filter("copies > 1")
     slots = id_filter(wanted, F.col("mark").bitwiseAND(FILTER_BITS - 1))
     shared = texts.sparkSession.sparkContext.broadcast(slots)
-    spans = materialize(over_batches(texts, _spans_near, SPANS, lambda: shared.value), "spans")
+    spans = over_batches(texts, _spans_near, SPANS, lambda: shared.value)
+    for column in ("line", "last_line"):
+        spans = spans.join(removed.withColumnRenamed("start", column), ["doc_id", column], "left_anti")
+    spans = materialize(spans.select("doc_id", "start", "mark"), "spans")
     place = F.struct("doc_id", "start")
     ends = spans.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     ends = ends.filter((F.col("low.doc_id") < F.col("high.doc_id")) | (
@@ -217,7 +227,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ``SPAN + SPACING - 1`` equal words is found wherever it stands; from there equal
     spans of ``SPAN`` words extend it word by word, over edits up to ``MAX_GAP`` words
     long, and each is a paragraph of its own. Neighbouring repeated paragraphs are
-    one passage; passages under ``MIN_PASSAGE`` words are no repetition.
+    one passage; passages under ``MIN_PASSAGE`` words are no repetition. Spans in a
+    removed line go with it, so the copy of a passage that stays is never one of those.
 
     Null or empty texts and null ids give no rows. A repeated row repeats its
     passages under the same doc_id. Extra columns are not read.
@@ -240,8 +251,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     head = places.filter("doc_id = first_doc_id").groupBy("component").agg(F.min("start").alias("first_start"))
     places = places.join(head, "component")
     removed = (F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") != F.col("first_start"))
-    places = places.withColumn("removed", removed).drop("first_start")
-    spans = _repeated_spans(texts)
+    places = materialize(places.withColumn("removed", removed).drop("first_start"), "decided")
+    # Sentences are decided with the lines; only whole lines take the spans in them along.
+    lines_gone = places.filter("removed").join(
+        units.filter("line").select("doc_id", "start", "n_words"), ["doc_id", "start", "n_words"], "left_semi")
+    spans = _repeated_spans(texts, materialize(lines_gone.select("doc_id", "start").distinct(), "lines-gone"))
     places = places.unionByName(spans.select(
         "doc_id", "start", F.lit(SPAN).alias("n_words"), F.col("mark").alias("component"),
         F.col("low.doc_id").alias("first_doc_id"),

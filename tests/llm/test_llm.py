@@ -264,6 +264,17 @@ def test_passages_put_into_lines_are_found(spark, none, docs):
     assert {5, 6, 8} <= {r.doc_id for r in paragraphs.repeated_passages(docs).collect()}
 
 
+def test_the_copy_that_stays_is_not_in_a_removed_line(spark):
+    rng = random.Random(41)
+    plain = lambda n: " ".join(prose(rng, n).replace(".", "").split())
+    line, passage = plain(240).split(" "), plain(22)
+    near = line[:100] + passage.split(" ") + line[122:]
+    rows = [(1, " ".join(line)), (2, " ".join(near)), (3, plain(60) + " " + passage + " " + plain(60))]
+    got = [tuple(r) for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).select(
+        "doc_id", "start", "n_words", "removed").collect()]
+    assert sorted(got) == [(1, 0, 240, False), (2, 0, 240, True)]
+
+
 @pytest.mark.parametrize("edits", [0, 4])
 def test_passages_without_sentences_and_with_edits_are_found(spark, edits):
     rng = random.Random(18 + edits)
