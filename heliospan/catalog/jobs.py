@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliospan.catalog.operators import BUCKETS, DAY_OUT, LIVE, NONZERO, TOTALS, WINDOW_SQL, summary_sql
-from heliospan.catalog.oracle import LEVEL, STATE, STATUS, rnd
+from heliospan.catalog.operators import BUCKETS, DAY_OUT, LIVE, NONZERO, SERIES, TOTALS, WINDOW_SQL, summary_sql, trim_sql
+from heliospan.catalog.oracle import LEVEL, STATE, STATUS, rnd, xsum
 from heliospan.catalog.registry import query
 from heliospan.catalog.sources import (
     DAY_START, DAY_VALUES, SYSTEM_COLUMNS, SYSTEM_SQL, crm_extract, land, station_pages, stored_profiles, with_epoch,
@@ -196,12 +196,21 @@ def _(t):
 
 
 @query("dashboard_views", f"""SELECT 'card' AS view, id, {STATE} AS label, {rnd('power', 2)} AS value FROM stations
- UNION ALL SELECT 'info', id, coalesce(weather, '-'), CAST(0 AS DOUBLE) FROM details""")
+ UNION ALL SELECT 'info', id, coalesce(weather, '-'), CAST(0 AS DOUBLE) FROM details
+ UNION ALL SELECT 'summary', 'fleet', CAST(count(*) FILTER (state = 1) AS VARCHAR), {rnd(xsum('power'), 1)} FROM stations
+ UNION ALL SELECT 'day', station_id || ' ' || day, CAST(count(*) AS VARCHAR), max(value) FROM ({trim_sql(SERIES)}) GROUP BY station_id, day
+ UNION ALL SELECT 'month', station_id || ' ' || month, CAST(count(*) AS VARCHAR), max(q) FROM dy GROUP BY station_id, month""")
 def _(t):
     shown = pipelines.dashboard_views(t.stations, t.details, t.points, t.days)
     cards = shown["cards"].select(F.lit("card").alias("view"), "id", C("status").alias("label"), C("power_kw").alias("value"))
     info = shown["info"].select(F.lit("info").alias("view"), "id", C("weather").alias("label"), F.lit(0.0).alias("value"))
-    return cards.unionByName(info)
+    one = shown["summary"].select(F.lit("summary").alias("view"), F.lit("fleet").alias("id"), C("online").cast("string").alias("label"), C("power_kw").alias("value"))
+
+    def chart(view: str, period: str) -> DataFrame:
+        rows = shown[f"{view}_chart"].groupBy("station_id", period).agg(F.count("*").cast("string").alias("label"), F.max("value").alias("value"))
+        return rows.select(F.lit(view).alias("view"), F.concat_ws(" ", "station_id", period).alias("id"), "label", "value")
+
+    return cards.unionByName(info).unionByName(one).unionByName(chart("day", "day")).unionByName(chart("month", "month"))
 
 
 # Streams: payload files derived from the tables, run to the end, final state returned.

@@ -326,14 +326,18 @@ def _(t):
     return views.day_series(t.points).select("station_id", "day", "pos", "value")
 
 
-# Values below the mean are taken as zero, so that series have flat ends.
-TRIM = """SELECT station_id, day, pos, value FROM (SELECT *, lag(f, 1) OVER w AS f0, min(pos) OVER s AS start, min(CASE WHEN value > 0 THEN pos END) OVER s AS first,
+def trim_sql(series: str) -> str:
+    return f"""SELECT station_id, day, pos, value FROM (SELECT *, lag(f, 1) OVER w AS f0, min(pos) OVER s AS start, min(CASE WHEN value > 0 THEN pos END) OVER s AS first,
  max(CASE WHEN value > 0 THEN pos END) OVER s AS last, lead(pos) OVER w AS next_pos, lag(pos) OVER w AS prev_pos
- FROM (SELECT station_id, day, pos, CASE WHEN v > 20 THEN v ELSE CAST(0 AS DOUBLE) END AS value, 0 AS f FROM pt)
+ FROM (SELECT station_id, day, pos, value, 0 AS f FROM ({series}))
  WINDOW s AS (PARTITION BY station_id, day), w AS (PARTITION BY station_id, day ORDER BY pos))
  WHERE first IS NULL OR first = start OR (coalesce(next_pos, pos) >= first AND coalesce(prev_pos, pos) <= last)"""
 
 
+# Values below the mean are taken as zero, so that series have flat ends.
+TRIM = trim_sql("SELECT station_id, day, pos, CASE WHEN v > 20 THEN v ELSE CAST(0 AS DOUBLE) END AS value FROM pt")
+
+
 @query("trim_series", TRIM)
 def _(t):
     value = F.when(C("pac").cast("double") / 39 > 20, C("value")).otherwise(F.lit(0.0))

@@ -76,14 +76,3 @@ def materialize(rows: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Spread a scan over all cores when its files give fewer tasks than that.
-
-    A file with one row group is read by one task, and so would be every step
-    up to the next shuffle. Large inputs have more tasks than cores and are
-    returned as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

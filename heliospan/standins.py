@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from heliospan import schemas
 from heliospan.functions import clock
 from heliospan.functions.numbers import exact_sum
-from heliospan.session import apply_settings, spread
+from heliospan.session import apply_settings
 
 AS_OF = clock.local_time("2024-01-30 14:30")
 DAYS_AS_OF = clock.local_time("2001-08-15 10:00")
@@ -28,6 +28,12 @@ def ordered_struct(*names: str) -> Column:
     return F.struct(*names)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a test table over all cores; its one row group would be read, and parsed, by one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class Tables:
     """Lazy stand-ins over one folder of parquet tables."""
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from heliospan import schemas
 from heliospan.functions import clock
 from heliospan.operators import live as live_ops
+from heliospan.operators import readings
 from heliospan.operators.keep import keep_last
 from heliospan.plans import pipelines
 from heliospan.sources import landed
@@ -63,12 +64,13 @@ def keep_good(batch: DataFrame, batch_id: int, rejects: str | None) -> DataFrame
 def stream_intervals(
     spark: SparkSession, path: str, table: str, checkpoint: str, profiles: DataFrame, systems: DataFrame,
     totals: DataFrame, now: Clock, initial: DataFrame, every: str | None = None, files_per_batch: int | None = None,
-    rejects: str | None = None,
+    rejects: str | None = None, rejected_points: str | None = None,
 ) -> StreamingQuery:
     """Merge landed day curves into the versioned table of today's intervals.
 
     ``initial`` gives the schema and rows before the first version. Error
-    envelopes go to ``rejects`` when it is given.
+    envelopes go to ``rejects`` when it is given, points with numbers that do not
+    parse or are out of range to ``rejected_points``.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -79,6 +81,8 @@ def stream_intervals(
         stored = initial if stored is None else stored
         good = keep_good(batch, batch_id, rejects)
         points = landed.in_order(landed.parse_day_points(good))
+        if rejected_points:
+            _write_aside(readings.bad_points(points), rejected_points, source, batch_id)
         job = pipelines.interval_sync(profiles, systems, points, totals, stored, now())
         write_version(job.table, table, source, batch_id)
 

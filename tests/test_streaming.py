@@ -46,12 +46,12 @@ def people(spark):
     return profiles, systems
 
 
-def run_intervals(spark, tmp_path, landing, name="t", initial=None, rejects=None):
+def run_intervals(spark, tmp_path, landing, name="t", initial=None, rejects=None, **aside):
     profiles, systems = people(spark)
     totals = spark.createDataFrame([("s", "5")], "station_id STRING, money STRING")
     initial = spark.createDataFrame([], INTERVALS) if initial is None else initial
     stream = files.stream_intervals(spark, str(landing.folder), str(tmp_path / name), str(tmp_path / f"{name}-state"), profiles, systems, totals,
-                                    lambda: NOW, initial, files_per_batch=1, rejects=rejects)
+                                    lambda: NOW, initial, files_per_batch=1, rejects=rejects, **aside)
     stream.awaitTermination()
     return tables.latest_version(spark, str(tmp_path / name))
 
@@ -90,6 +90,14 @@ def test_retention_and_rejects(spark, tmp_path):
     assert [(r.code, r.data) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("B0001", "oops")]
 
 
+def test_points_with_impossible_numbers_are_set_aside(spark, tmp_path):
+    landing = Landing(tmp_path / "in")
+    landing.fetch([point("10:00", 1), {**point("10:05", 1), "power": "1e30"}, {**point("10:10", 1), "power": "nan"}, {**point("10:15", 1), "psum": "inf"}])
+    table = run_intervals(spark, tmp_path, landing, rejected_points=str(tmp_path / "bad"))
+    assert by_time(table) == {"10:00": 1, "10:05": 0, "10:10": 0, "10:15": 1}
+    assert sorted(r.bad_fields[0] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["power", "power", "psum"]
+
+
 def test_daily_stream_rewrites_only_touched_months(spark, tmp_path):
     landing, path = Landing(tmp_path / "in"), str(tmp_path / "daily")
     landing.fetch([{"dateStr": "2026-04-01", "energy": "1"}, {"dateStr": "2026-04-02", "energy": "2"}])
