@@ -456,6 +456,48 @@ def test_pipeline_stages(spark):
     assert last.count() == docs.count() and {"shard", "slot"} <= set(last.columns)
 
 
+def test_texts_that_share_an_id_link_on_their_own(spark):
+    rng = random.Random(33)
+    a, b, c = prose(rng, 90), prose(rng, 90), prose(rng, 90)
+    near = lambda t: t + " more"
+    rows = [(11, a), (11, b), (12, near(a)), (13, near(b)), (13, near(b)), (20, c), (21, "alone in the world of words"), (11, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {
+        (11, 11, True), (12, 11, False), (13, 11, False), (20, 20, True), (21, 21, True)} and len(got) == len(rows)
+
+
+def test_very_long_texts_are_hashed_in_pieces():
+    import subprocess
+    import sys
+
+    code = """
+import re, threading, time, pyarrow as pa
+from heliospan.llm import words
+used = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+column, most, done = pa.array(["lorem ipsum dolor sitam " * 2_100_000]), [0], []
+base = used()
+def watch():
+    while not done:
+        most[0] = max(most[0], used())
+        time.sleep(0.01)
+threading.Thread(target=watch).start()
+count = sum(len(b.hashes) for b in words.blocks(column))
+done.append(1)
+print(count, most[0] - base, len(words._powers[0]))
+"""
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2])
+    count, most, table = map(int, out.stdout.split())
+    assert count == 8_400_000 and most < 500 and table <= words_limit()
+
+
+def words_limit():
+    from heliospan.llm import words
+
+    return words.BLOCK_BYTES + (1 << 16)
+
+
 def test_one_row_of_each_group_stays(spark, docs):
     text = prose(random.Random(31), 80)
     rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "c"), (3, "other words", "d"), (None, text, "e")]
