@@ -52,6 +52,17 @@ FIRST = WORDS + ", totals ARRAY<BIGINT>"
 ANSWERS = "block BIGINT, bucket INT, asked INT, at BINARY, n BINARY"
 
 
+def _put(x: np.ndarray) -> bytes:
+    """An array as a compressed cell, so that the rows of blocks stay small."""
+    return x.nbytes.to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _get(cell: object, kind: type) -> np.ndarray:
+    raw = cell.as_py() if isinstance(cell, pa.Scalar) else cell
+    size = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
 def _ahead(rest: np.ndarray, words: int) -> np.ndarray:
     """The bytes of ``rest`` that hold its first ``words`` words."""
     size = 4096
@@ -91,7 +102,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
                 spelled, bounds = _spelled(data, starts[where], ends[where])
                 totals = np.bincount(lang[:own], minlength=len(langs))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([take()]), pa.array([own], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (
+                    pa.array([take()]), pa.array([own], pa.int32()), *[pa.array([_put(x)], pa.binary()) for x in (
                         ids.astype(np.int32), joined, keys, spelled, bounds, lang[where].astype(np.int32))],
                     pa.array([langs], pa.list_(pa.string())), pa.array([totals.tolist()], pa.list_(pa.int64())),
                 ], names=["block", "own", "ids", "joined", "keys", "spelled", "ends", "lang", "langs", "totals"])
@@ -109,13 +120,13 @@ def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 def _extended(block: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where both phrases of ``k - 1`` words are frequent and adjacent in their piece, and the keys from there."""
-    ids = values(block["ids"], np.int32)
-    short = ids if k == 2 else values(block[f"g{k - 1}"], np.int32)
+    ids = _get(block["ids"], np.int32)
+    short = ids if k == 2 else _get(block[f"g{k - 1}"], np.int32)
     follows = (short[:-1] >= 0) & (short[1:] >= 0)
     if k == 2:
-        follows &= values(block["joined"], bool)[:-1]
+        follows &= _get(block["joined"], bool)[:-1]
     at = np.flatnonzero(follows)
-    words = values(block["keys"], np.uint64)
+    words = _get(block["keys"], np.uint64)
     key = words[ids[at]]
     for i in range(1, k):
         key = mix(key * _STEP + words[ids[at + i]])
@@ -123,8 +134,8 @@ def _extended(block: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask_words(block: dict) -> tuple[np.ndarray, np.ndarray]:
-    keys = values(block["keys"], np.uint64)
-    ids = values(block["ids"], np.int32)[:block["own"].as_py()]
+    keys = _get(block["keys"], np.uint64)
+    ids = _get(block["ids"], np.int32)[:block["own"].as_py()]
     return keys, np.bincount(ids, minlength=len(keys))
 
 
@@ -167,32 +178,32 @@ def _gathered_answers(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _keep_words(block: dict, answers: pa.Table) -> dict:
     """The block with its frequent words alone, and their counts."""
     at, n = _gathered_answers(answers)
-    keys, lang = values(block["keys"], np.uint64), values(block["lang"], np.int32)
+    keys, lang = _get(block["keys"], np.uint64), _get(block["lang"], np.int32)
     new = np.full(len(keys) + 1, -1, np.int32)
     new[at] = np.arange(len(at), dtype=np.int32)
-    ends = values(block["ends"], np.int64)
+    ends = _get(block["ends"], np.int64)
     starts = np.append(0, ends[:-1])[:len(ends)]
-    spelled, bounds = _spelled(values(block["spelled"], np.uint8), starts[at], ends[at])
-    ids = new[values(block["ids"], np.int32)]
+    spelled, bounds = _spelled(_get(block["spelled"], np.uint8), starts[at], ends[at])
+    ids = new[_get(block["ids"], np.int32)]
     return {
-        "block": block["block"].as_py(), "own": block["own"].as_py(), "ids": ids.tobytes(), "joined": block["joined"].as_py(),
-        "keys": keys[at].tobytes(), "spelled": spelled.tobytes(), "ends": bounds.tobytes(), "lang": lang[at].tobytes(),
-        "langs": block["langs"].as_py(), "n1": np.abs(n).tobytes()}
+        "block": block["block"].as_py(), "own": block["own"].as_py(), "ids": _put(ids), "joined": block["joined"].as_py(),
+        "keys": _put(keys[at]), "spelled": _put(spelled), "ends": _put(bounds), "lang": _put(lang[at]),
+        "langs": block["langs"].as_py(), "n1": _put(np.abs(n))}
 
 
 def _described(block: dict, k: int, first: np.ndarray, a: np.ndarray) -> pa.Array:
     """Phrases of ``k`` words that begin at ``first``, with their counts and lowest cut."""
-    ids = values(block["ids"], np.int32)
-    n = {1: values(block["n1"], np.int64)} | {j: values(block[f"n{j}"], np.int64) for j in range(2, k)}
-    g = {1: ids} | {j: values(block[f"g{j}"], np.int32) for j in range(2, k)}
+    ids = _get(block["ids"], np.int32)
+    n = {1: _get(block["n1"], np.int64)} | {j: _get(block[f"n{j}"], np.int64) for j in range(2, k)}
+    g = {1: ids} | {j: _get(block[f"g{j}"], np.int32) for j in range(2, k)}
     cuts = []
     for j in range(1, k):
         left, right = n[j][g[j][first]], n[k - j][g[k - j][first + j]]
         # Python integers: the products may pass 64 bits.
         score = [SCALE * x // (y + z) for x, y, z in zip(a.tolist(), left.tolist(), right.tolist())]
         cuts.append(list(zip(score, [j] * len(score), left.tolist(), right.tolist())))
-    spelled, ends = block["spelled"].as_py(), values(block["ends"], np.int64).tolist()
-    lang, langs = values(block["lang"], np.int32), block["langs"].as_py()
+    spelled, ends = _get(block["spelled"], np.uint8).tobytes(), _get(block["ends"], np.int64).tolist()
+    lang, langs = _get(block["lang"], np.int32), block["langs"].as_py()
     word = lambda i: spelled[ends[i - 1] if i else 0:ends[i]].decode()
     rows = []
     for i, p in enumerate(first.tolist()):
@@ -214,7 +225,7 @@ def _keep_phrases(k: int, last: bool):
             return {"block": block["block"].as_py(), "found": found}
         new = np.full(len(keys) + 1, -1, np.int32)
         new[hit] = np.arange(len(hit), dtype=np.int32)
-        ids = values(block["ids"], np.int32)
+        ids = _get(block["ids"], np.int32)
         phrase = np.full(len(ids), -1, np.int32)
         phrase[at] = new[number]
         # Words outside every frequent phrase take no further part.
@@ -222,8 +233,8 @@ def _keep_phrases(k: int, last: bool):
         for i in range(k):
             used[i:] |= phrase[:len(ids) - i] >= 0
         out = {c: (x.as_py() if isinstance(x, pa.Scalar) else x) for c, x in block.items()}
-        return out | {"ids": np.where(used, ids, -1).astype(np.int32).tobytes(), f"g{k}": phrase.tobytes(),
-                      f"n{k}": np.abs(n).tobytes(), "found": found}
+        return out | {"ids": _put(np.where(used, ids, -1).astype(np.int32)), f"g{k}": _put(phrase),
+                      f"n{k}": _put(np.abs(n)), "found": found}
 
     return keep
 
@@ -244,7 +255,8 @@ def mined(docs: DataFrame, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame
         last = k == MAX_WORDS
         columns = [c.split()[0] for c in schema.split(", ")]
         source = state.rows if k == 1 else state.rows.select(*columns)
-        questions = exchange.asked(source, _ask_words if k == 1 else _ask(k), state.buckets)
+        needed = ["block", "own", "ids", "keys", *(["joined"] if k == 2 else [f"g{k - 1}"] if k > 2 else [])]
+        questions = exchange.asked(source.select(*needed), _ask_words if k == 1 else _ask(k), state.buckets)
         answers = exchange.answered(questions, _frequent(least), ANSWERS)
         if k > 1:
             schema = "block BIGINT" if last else f"{schema}, g{k} BINARY, n{k} BINARY"

@@ -114,9 +114,9 @@ def test_phrases_over_cuts_of_long_texts_count_once(monkeypatch):
     for block in blocks_of(monkeypatch, collocations.word_blocks, table, 300):
         seen += 1
         block = dict(block)
-        ids = np.frombuffer(block["ids"].as_py(), np.int32)
-        text, ends = block["spelled"].as_py(), np.frombuffer(block["ends"].as_py(), np.int64).tolist()
-        lang = np.frombuffer(block["lang"].as_py(), np.int32)
+        read = lambda name, kind: collocations._get(block[name], kind)  # noqa: B023, E731
+        ids, lang = read("ids", np.int32), read("lang", np.int32)
+        text, ends = read("spelled", np.uint8).tobytes(), read("ends", np.int64).tolist()
         word = lambda i: (block["langs"].as_py()[lang[i]], text[ends[i - 1] if i else 0:ends[i]].decode())  # noqa: B023, E731
         for k in (2, 3, 4):
             at, key = collocations._extended(block, k)
@@ -127,7 +127,7 @@ def test_phrases_over_cuts_of_long_texts_count_once(monkeypatch):
             # All phrases are taken as frequent here, so the next length sees every position.
             every = np.full(len(ids), -1, np.int32)
             every[at] = 0
-            block[f"g{k}"] = pa.scalar(every.tobytes(), pa.binary())
+            block[f"g{k}"] = collocations._put(every)
     assert seen > 20
     want = {(k, tuple((lang, w) for w in g)): n for lang, c in f.items() for g, n in c.items() if (k := len(g)) > 1}
     assert {(k, spelled[k, g]): n for k in total for g, n in total[k].items() if n} == want
@@ -135,8 +135,9 @@ def test_phrases_over_cuts_of_long_texts_count_once(monkeypatch):
 
 def test_scores_of_huge_counts_are_exact():
     a, left, right = 10**13 + 1, 10**14 + 7, 10**13 + 1
-    block = {"ids": np.array([0, 1], np.int32).tobytes(), "n1": np.array([left, right]).tobytes(), "spelled": pa.scalar(b"ab", pa.binary()),
-             "ends": np.array([1, 2]).tobytes(), "lang": np.zeros(2, np.int32).tobytes(), "langs": pa.scalar(["en"])}
+    cells = {"ids": np.array([0, 1], np.int32), "n1": np.array([left, right]), "spelled": np.frombuffer(b"ab", np.uint8),
+             "ends": np.array([1, 2]), "lang": np.zeros(2, np.int32)}
+    block = {name: collocations._put(x) for name, x in cells.items()} | {"langs": pa.scalar(["en"])}
     found = collocations._described(block, 2, np.array([0]), np.array([a]))[0].as_py()
     assert found == [{"lang": "en", "phrase": "a b", "a": a, "l": left, "r": right, "score": 2_000_000 * a // (left + right)}]
 
