@@ -19,7 +19,7 @@ from heliospan.session import apply_settings, materialize, scratch_dir  # noqa:
 # Words are runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
 _added: set[str] = set()
 
 

@@ -162,7 +162,10 @@ def answered(
         table = table.sort_by("block")
         keys = [unpacked(x, True) for x in table["keys"]]
         counts = [unpacked(x).view(np.int64) for x in table["counts"]]
-        found = answer(table["bucket"][0].as_py(), table["block"].to_numpy(), keys, counts)
+        bucket, numbers = table["bucket"][0].as_py(), table["block"].to_numpy()
+        del table
+        pa.default_memory_pool().release_unused()
+        found = answer(bucket, numbers, keys, counts)
         return pa.Table.from_batches(
             [pa.RecordBatch.from_arrays([pa.array(x[f.name], f.type) for f in target], schema=target) for x in found], target)
 
@@ -180,6 +183,7 @@ def met(blocks: DataFrame, answers: DataFrame, work: Callable[[dict, pa.Table],
         for i in range(left.num_rows):
             block = {n: left[n][i] for n in left.column_names}
             row = work(block, right.sort_by("bucket"))
+            pa.default_memory_pool().release_unused()
             if row is not None:
                 rows.append(pa.RecordBatch.from_arrays(
                     [x if isinstance(x := row[f.name], pa.Array) else pa.array([x], f.type) for f in target], schema=target))
