@@ -114,7 +114,9 @@ def _(t):
  WHERE u.d >= DATE '2001-08-15' - CAST(w.days AS INT) AND u.d < DATE '2001-08-15'""")
 def _(t):
     start = windows(t).select(C("id").alias("user_id"), "start_date")
-    rows = readings.daily_reading(t.user_days.join(start, "user_id"), "user_id", "month", "pos", "start_date")
+    # Users meet their windows first and payloads are parsed before the one join that moves them.
+    users = readings.mapped_users(t.profiles).select(C("id").alias("user_id"), "station_id").join(start, "user_id")
+    rows = readings.daily_reading(t.days, "station_id", "month", "pos").join(users, "station_id")
     return with_epoch(readings.backfill_window(rows, DAYS_AS_OF), "user_id", "month", "production_kwh", C("pos.l_orderkey").alias("o1"))
 
 
