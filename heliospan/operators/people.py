@@ -35,9 +35,14 @@ def dedup_email_first(matches: DataFrame) -> DataFrame:
 
     The first match of an e-mail is kept. The first ordinal is an aggregate
     joined back, so one e-mail on very many matches is split by the skew join.
+    Matches without an e-mail meet nothing; they are dealt by their ordinal, as one
+    task would hold all of them under a null key.
     """
     first = matches.filter("email is not null").groupBy("email").agg(F.min("ord").alias("_first"))
-    joined = matches.join(first, "email", "left")
+    # A clean e-mail is trimmed, so none begins with a blank.
+    key = F.coalesce("email", F.concat(F.lit(" "), F.col("ord").cast("string")))
+    joined = matches.withColumn("_key", key).join(first.withColumnRenamed("email", "_key"), "_key", "left").drop("_key")
+    joined = joined.select("email", *[c for c in matches.columns if c != "email"], "_first")
     outcome = (
         F.when(F.col("email").isNull(), "no_email")
         .when(F.col("ord") == F.col("_first"), "provision")
@@ -48,7 +53,8 @@ def dedup_email_first(matches: DataFrame) -> DataFrame:
 
 def provision_list(outcomes: DataFrame) -> DataFrame:
     """Clean user rows of the kept matches."""
-    return outcomes.filter("outcome = 'provision'").select(
+    # A kept match has an e-mail; saying so drops the others before they are joined.
+    return outcomes.filter("outcome = 'provision' and email is not null").select(
         "ord", "email",
         display_name(F.col("crm_contact"), F.col("crm_partner"), F.col("station_name"), schemas.DEFAULT_DISPLAY_NAME).alias("full_name"),
         clean_crm_text(F.col("phone")).alias("phone"),
