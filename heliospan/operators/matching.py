@@ -103,9 +103,12 @@ def contained_names(needles: DataFrame, texts: DataFrame) -> DataFrame:
     of the needles that start so; the pieces of those lengths are then looked
     up among the needles. No pair is formed that does not hold.
     """
+    # Explodes below make far more rows than their estimated size tells: the few anchors are
+    # written, so that their own size is known, and pieces are never taken for a small side.
     anchors = needles.groupBy(F.substring("needle", 1, ANCHOR).alias("anchor")).agg(
         F.collect_set(F.length("needle")).alias("lengths")
     )
+    anchors = materialize(anchors, "anchors")
     positions = texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("p"))
     starts = F.array_distinct(F.array(*[F.substr("text", "p", F.lit(n)) for n in range(1, ANCHOR + 1)]))
     at = positions.select("text", "p", F.explode(starts).alias("anchor")).join(anchors, "anchor")
@@ -115,7 +118,7 @@ def contained_names(needles: DataFrame, texts: DataFrame) -> DataFrame:
         .select("text", F.substr("text", "p", "n").alias("needle"))
         .distinct()
     )
-    return pieces.join(needles, "needle")
+    return pieces.hint("merge").join(needles, "needle")
 
 
 def _named(names: DataFrame, source: str, target: str) -> DataFrame:
@@ -191,7 +194,7 @@ def _prefix_pairs(
     smaller = F.least("size", "m_size")
     need = F.greatest(F.lit(INDEXED + 1), F.ceil(F.col("bound") * smaller - F.lit(1e-9)).cast("int"))
     pairs = (
-        left.join(right, "probe").withColumn("need", need)
+        left.hint("merge").join(right, "probe").withColumn("need", need)
         .filter((F.col("last") <= F.col("n") - F.col("need") + PROBE) & (F.col("m_last") <= F.col("m") - F.col("need") + PROBE))
         .select("lname", "sname").distinct()
     )
@@ -233,7 +236,7 @@ def _overlap_base(lookups: DataFrame, members: DataFrame, contained: DataFrame)
     """
     group = ["subset", "station_size"]
     firsts = members.groupBy(*group).agg(F.min("ord").alias("ord"))
-    found = lookups.join(firsts, "subset").withColumn("score", _overlap_score())
+    found = lookups.hint("merge").join(firsts, "subset").withColumn("score", _overlap_score())
     above = F.col("score") > schemas.CONTAINED_SCORE
     taken = contained.select("lname", "ord", F.lit(True).alias("_taken"))
     low = found.filter(~above)
@@ -241,12 +244,12 @@ def _overlap_base(lookups: DataFrame, members: DataFrame, contained: DataFrame)
     free = high.filter("_taken is null")
     # Groups whose earliest station is contained in, or contains, the lead name.
     blocked = high.filter("_taken is not null").select("lname", *group, "score")
-    touched = members.join(blocked.select(*group).distinct(), group, "left_semi")
-    steps = blocked.join(contained.select("lname", "ord"), "lname").join(
+    touched = members.hint("merge").join(blocked.select(*group).distinct(), group, "left_semi")
+    steps = blocked.hint("merge").join(contained.select("lname", "ord"), "lname").hint("merge").join(
         _successors(touched.select(*group, "ord"), group), [*group, "ord"]
     )
     onward = steps.filter("next_ord is not null").select("lname", "score", F.col("next_ord").alias("ord"))
-    onward = onward.join(taken, ["lname", "ord"], "left_anti")
+    onward = onward.hint("merge").join(taken, ["lname", "ord"], "left_anti")
     columns = ["lname", "score", "ord"]
     rows = low.select(*columns).unionByName(free.select(*columns)).unionByName(onward.select(*columns))
     return rows.groupBy("lname").agg(F.max(_candidate(F.col("score"))).alias("best"))
@@ -291,10 +294,11 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     plain = plain.groupBy("lname").agg(F.max("best").alias("plain"))
 
     # With the city in the station name: one best candidate per name and city.
-    city_members = members.join(in_city, "sname").groupBy("subset", "station_size", "city_key").agg(
+    city_members = members.hint("merge").join(in_city, "sname").groupBy("subset", "station_size", "city_key").agg(
         F.min("ord").alias("ord")
     )
-    city_overlap = keys.filter("city_key <> ''").join(lookups, "lname").join(city_members, ["subset", "city_key"])
+    city_overlap = keys.filter("city_key <> ''").join(lookups.hint("merge"), "lname").hint("merge").join(
+        city_members, ["subset", "city_key"])
     city_holding = contained.join(in_city, "sname").groupBy("lname", "city_key").agg(F.min("ord").alias("ord"))
 
     def with_city(rows: DataFrame, score: Column) -> DataFrame:
