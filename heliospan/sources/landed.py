@@ -53,16 +53,19 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.expr(f"CAST(({digits}) * 1000000000BD + pos AS DECIMAL(38, 0))")).drop("page_no")
 
 
-def newest_fetch(landed: DataFrame, keys: list[str]) -> DataFrame:
+def newest_fetch(landed: DataFrame, keys: list[str], rows: DataFrame | None = None) -> DataFrame:
     """Lines of the newest fetch of every key; without keys, of the newest fetch of all.
 
     A payload fetched again replaces the older one. All pages of a fetch share its
     ``seq``. A missing key or ``seq`` is a value of its own, older than any other.
+    With ``rows``, parsed from the lines, those of the newest fetches are returned: the
+    join then moves the columns that are read, not payload text.
     """
+    rows = landed if rows is None else rows
     newest = landed.groupBy(*keys).agg(F.max("seq").alias("seq"))
     newest = newest.select(*[F.col(c).alias(f"_newest_{c}") for c in [*keys, "seq"]])
-    same = [landed[c].eqNullSafe(newest[f"_newest_{c}"]) for c in [*keys, "seq"]]
-    return landed.join(newest, same, "left_semi")
+    same = [rows[c].eqNullSafe(newest[f"_newest_{c}"]) for c in [*keys, "seq"]]
+    return rows.join(newest, same, "left_semi")
 
 
 def parse_station_pages(landed: DataFrame) -> DataFrame:
@@ -159,7 +162,8 @@ def read_day_points(spark: SparkSession, path: str, key: str = "station_id") ->
 
 
 def read_month_days(spark: SparkSession, path: str, key: str = "station_id") -> DataFrame:
-    return parse_month_days(_good(spark, path, [key, "month"]), key)
+    lines = split_envelopes(read_landed(spark, path))[0]
+    return newest_fetch(lines, [key, "month"], parse_month_days(lines, key))
 
 
 def read_station_all(spark: SparkSession, path: str) -> DataFrame:
