@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from heliospan.llm import superminhash
 from heliospan.llm.common import (
-    FILTER_BITS, id_filter, list_array, materialize, maybe_in, over_batches, prepared,
+    FILTER_BITS, discard_written, id_filter, list_array, materialize, maybe_in, over_batches, prepared, shuffles_cleared,
 )
 from heliospan.llm.components import components
 from heliospan.llm.linking import bit_columns, link_classes, parity_columns, similar
@@ -42,8 +42,14 @@ UNITS = "doc_id BIGINT, start INT, n_words INT, mark BIGINT, banded BOOLEAN, lin
 MARKS = bit_columns(BANDING) + parity_columns(BANDING)
 SKETCH = "mark BIGINT, n BIGINT, bands ARRAY<BIGINT>, " + ", ".join(f"{c} BIGINT" for c in MARKS)
 SETS = "mark BIGINT, n BIGINT, items ARRAY<BIGINT>"
-ANCHORS = "mark BIGINT, copies BIGINT"
-SPANS = "doc_id BIGINT, start INT, mark BIGINT, line INT, last_line INT"
+ANCHORS = "doc_id BIGINT, mark BIGINT"
+SPANS = "doc_id BIGINT, start INT, mark BIGINT"
+PLACES_AT_ONCE = 1 << 18
+PLACES = ["doc_id", "removed", "start", "n_words", "component", "first_doc_id"]
+PASSAGES = "doc_id BIGINT, start INT, n_words INT, removed BOOLEAN, cluster BIGINT, first_doc_id BIGINT"
+ARROW_PASSAGES = pa.schema([
+    ("doc_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("removed", pa.bool_()), ("cluster", pa.int64()),
+    ("first_doc_id", pa.int64())])
 
 _ENDS_SENTENCE = np.isin(np.arange(256), list(b".!?"))
 
@@ -152,19 +158,21 @@ def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return marks.view(np.int64), np.unique(at[whole])
 
 
-def _anchor_counts(batch: pa.RecordBatch) -> Iterator[dict]:
+def _anchor_marks(batch: pa.RecordBatch) -> Iterator[dict]:
     for block in blocks(batch.column("text")):
         marks, at = _anchors(block)
         if len(at):
-            mark, copies = np.unique(marks[at], return_counts=True)
-            yield {"mark": mark, "copies": copies}
+            ids = batch.column("doc_id").slice(block.first, block.count)
+            yield {"doc_id": ids.take(pa.array(block.text[at])), "mark": marks[at]}
 
 
-def _spans_near(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
-    """All spans within ``REACH`` words of the anchors that may stand twice."""
+def _spans_near(batch: pa.RecordBatch) -> Iterator[dict]:
+    """All spans within ``REACH`` words of the ``wanted`` anchors that do not reach into lines that are ``gone``."""
     for block in blocks(batch.column("text")):
+        wanted, gone_at = (batch.column(c).slice(block.first, block.count) for c in ("wanted", "gone"))
         marks, at = _anchors(block)
-        at = at[maybe_in(wanted, _slots(marks[at]))]
+        # An anchor that stands twice does so for every text of the batch.
+        at = at[np.isin(marks[at], wanted.flatten().to_numpy(zero_copy_only=False))]
         if not len(at):
             continue
         bounds, text = block.bounds, block.text[at]
@@ -172,35 +180,82 @@ def _spans_near(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
         np.add.at(edge, np.maximum(at - REACH, bounds[text]), 1)
         np.add.at(edge, np.minimum(at + REACH + 1, bounds[text + 1] - SPAN + 1), -1)
         first = np.flatnonzero(np.cumsum(edge) > 0)
+        # Texts of one id may differ: a line of another one may start beyond the end, or inside a line.
+        owner = np.repeat(np.arange(block.count), gone_at.value_lengths().to_numpy(zero_copy_only=False))
+        place = bounds[owner] + gone_at.flatten().to_numpy(zero_copy_only=False)
+        gone = np.zeros(len(block.hashes), bool)
+        gone[place[place < bounds[owner + 1]]] = True
+        line, _ = _cuts(block)
+        in_gone = gone[np.maximum.accumulate(np.where(line, np.arange(len(line)), 0))]
+        first = first[~in_gone[first] & ~in_gone[first + SPAN - 1]]
         text = block.text[first]
-        # Where the lines of the first and of the last word begin.
-        begins = np.flatnonzero(_cuts(block)[0])
-        line = lambda at: begins[np.searchsorted(begins, at, "right") - 1] - bounds[text]  # noqa: B023, E731
         yield {
             "doc_id": batch.column("doc_id").slice(block.first, block.count).take(pa.array(text)),
-            "start": first - bounds[text], "mark": marks[first], "line": line(first), "last_line": line(first + SPAN - 1),
+            "start": first - bounds[text], "mark": marks[first],
         }
 
 
 def _repeated_spans(texts: DataFrame, removed: DataFrame) -> DataFrame:
-    """Places of spans that stand twice, in two texts or ``MIN_PASSAGE`` words apart: doc_id, start, mark, and the first place.
+    """Places of spans that stand twice, in two texts or ``MIN_PASSAGE`` words apart.
 
-    Spans that reach into a removed line (doc_id, start) go with it: they neither count
-    as copies nor are the one that stays.
+    Columns: doc_id, start, mark, and the first place as low. Only
+    anchors that do stand twice are brought back to their texts, whatever the size of
+    the corpus. Spans that reach into a removed line (doc_id, start) go with it: they
+    neither count as copies nor are the one that stays.
     """
-    anchors = over_batches(texts.select("text"), _anchor_counts, ANCHORS)
-    wanted = anchors.groupBy("mark").agg(F.sum("copies").alias("copies")).filter("copies > 1")
-    slots = id_filter(wanted, F.col("mark").bitwiseAND(FILTER_BITS - 1))
-    shared = texts.sparkSession.sparkContext.broadcast(slots)
-    spans = over_batches(texts, _spans_near, SPANS, lambda: shared.value)
-    for column in ("line", "last_line"):
-        spans = spans.join(removed.withColumnRenamed("start", column), ["doc_id", column], "left_anti")
-    spans = materialize(spans.select("doc_id", "start", "mark"), "spans")
-    place = F.struct("doc_id", "start")
-    ends = spans.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    ends = ends.filter((F.col("low.doc_id") < F.col("high.doc_id")) | (
-        F.col("high.start") - F.col("low.start") >= MIN_PASSAGE))
-    return spans.join(ends.select("mark", "low"), "mark")
+    anchors = over_batches(texts, _anchor_marks, ANCHORS)
+    copies = F.count("*").over(Window.partitionBy("mark"))
+    wanted = anchors.withColumn("copies", copies).filter("copies > 1").groupBy("doc_id").agg(F.collect_set("mark").alias("wanted"))
+    wanted = materialize(wanted, "wanted")
+    gone = removed.groupBy("doc_id").agg(F.collect_set("start").alias("gone"))
+    near = texts.join(wanted, "doc_id").join(gone, "doc_id", "left").select(
+        "doc_id", "text", "wanted", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    spans = materialize(over_batches(near, _spans_near, SPANS), "spans")
+    discard_written(wanted)
+    place, copies = F.struct("doc_id", "start"), Window.partitionBy("mark")
+    spans = spans.repartition("mark").select(
+        "doc_id", "start", "mark", F.min(place).over(copies).alias("low"), F.max(place).over(copies).alias("high"))
+    return spans.filter((F.col("low.doc_id") < F.col("high.doc_id")) | (
+        F.col("high.start") - F.col("low.start") >= MIN_PASSAGE)).drop("high")
+
+
+def _merged(places: list[np.ndarray]) -> pa.RecordBatch:
+    """Neighbouring paragraphs of whole documents, in any order, as passages."""
+    doc, removed, start, size, component, first = places
+    order = np.lexsort((component, start, removed, doc))
+    doc, removed, start, size, component, first = (x[order] for x in (doc, removed, start, size, component, first))
+    group = np.ones(len(doc), bool)
+    group[1:] = (doc[1:] != doc[:-1]) | (removed[1:] != removed[:-1])
+    # The largest end so far in each group: ends of later groups are lifted above those of earlier ones.
+    lift = (np.cumsum(group) - 1) * (int((start + size).max()) + 1)
+    stop = np.maximum.accumulate(start + size + lift) - lift
+    opens = group.copy()
+    opens[1:] |= start[1:] - stop[:-1] > MAX_GAP
+    at = np.flatnonzero(opens)
+    n_words = stop[np.append(at[1:], len(opens)) - 1] - start[at]
+    keep = n_words >= MIN_PASSAGE
+    found = (doc[at], start[at], n_words, removed[at].astype(bool), component[at], np.minimum.reduceat(first, at))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x[keep]).cast(f.type) for x, f in zip(found, ARROW_PASSAGES)], schema=ARROW_PASSAGES)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of a task's places, which come by document; at most ``PLACES_AT_ONCE`` and one document are held."""
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in PLACES])
+        count += batch.num_rows
+        if count < PLACES_AT_ONCE or held[0][0][0] == held[-1][0][-1]:
+            continue
+        places = [np.concatenate(x) for x in zip(*held)]
+        last = places[0] == places[0][-1]
+        yield _merged([x[~last] for x in places])
+        held = [[x[last] for x in places]]
+        count = len(held[0][0])
+    if held:
+        yield _merged([np.concatenate(x) for x in zip(*held)])
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -233,18 +288,31 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Null or empty texts and null ids give no rows. A repeated row repeats its
     passages under the same doc_id. Extra columns are not read.
     """
-    prepared(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with shuffles_cleared(spark):
+        places, lines_gone = _line_places(texts)
+        spans = _repeated_spans(texts, lines_gone)
+    places = places.select(*PLACES).unionByName(spans.select(
+        "doc_id", ((F.col("doc_id") != F.col("low.doc_id")) | (F.col("start") != F.col("low.start"))).alias("removed"),
+        "start", F.lit(SPAN).alias("n_words"), F.col("mark").alias("component"), F.col("low.doc_id").alias("first_doc_id")))
+    # Join neighbouring paragraphs of a document into passages.
+    return places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_passages, PASSAGES)
+
+
+def _line_places(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places of repeated lines and sentences, and the lines (doc_id, start) to be removed."""
     units = materialize(over_batches(texts, _units, UNITS), "units")
     lines = over_batches(texts.select("text"), _sketches, SKETCH)
     classes = materialize(lines.withColumnRenamed("mark", "rep"), "sketches")
     links = link_classes(classes, BANDING, lambda pairs: _verified(texts.select("text"), pairs))
     similar_marks = materialize(components(links).withColumnsRenamed({"node": "mark"}), "similar")
+    discard_written(classes)
 
     counts = units.groupBy("mark").agg(
         F.count("*").alias("copies"), F.min(F.col("doc_id")).alias("low_id"))
     grouped = counts.join(similar_marks, "mark", "left").filter("copies > 1 OR component IS NOT NULL")
-    grouped = grouped.select("mark", F.coalesce("component", "mark").alias("component"), "low_id")
+    grouped = materialize(grouped.select("mark", F.coalesce("component", "mark").alias("component"), "low_id"), "repeated")
     lowest = grouped.groupBy("component").agg(F.min("low_id").alias("first_doc_id"))
     grouped = materialize(grouped.select("mark", "component").join(lowest, "component"), "grouped")
     places = materialize(units.join(grouped, "mark").select("doc_id", "start", "n_words", "component", "first_doc_id"), "places")
@@ -255,20 +323,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Sentences are decided with the lines; only whole lines take the spans in them along.
     lines_gone = places.filter("removed").join(
         units.filter("line").select("doc_id", "start", "n_words"), ["doc_id", "start", "n_words"], "left_semi")
-    spans = _repeated_spans(texts, materialize(lines_gone.select("doc_id", "start").distinct(), "lines-gone"))
-    places = places.unionByName(spans.select(
-        "doc_id", "start", F.lit(SPAN).alias("n_words"), F.col("mark").alias("component"),
-        F.col("low.doc_id").alias("first_doc_id"),
-        ((F.col("doc_id") != F.col("low.doc_id")) | (F.col("start") != F.col("low.start"))).alias("removed")))
-    # Join neighbouring paragraphs of a document into passages.
-    order = Window.partitionBy("doc_id", "removed").orderBy("start", F.desc("n_words"), "component")
-    stop = F.max(F.col("start") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    places = places.withColumn("gap", F.col("start") - F.coalesce(stop, F.col("start") - F.lit(MAX_GAP) - 1))
-    places = places.withColumn("run", F.sum((F.col("gap") > MAX_GAP).cast("int")).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = places.groupBy("doc_id", "removed", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("stop"),
-        F.min(F.struct("start", "component"))["component"].alias("cluster"), F.min("first_doc_id").alias("first_doc_id"))
-    out = runs.select(
-        "doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "removed", "cluster", "first_doc_id")
-    return out.filter(F.col("n_words") >= MIN_PASSAGE)
+    lines_gone = materialize(lines_gone.select("doc_id", "start").distinct(), "lines-gone")
+    discard_written(units)
+    return places, lines_gone

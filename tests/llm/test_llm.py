@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,44 @@ def test_the_copy_that_stays_is_not_in_a_removed_line(spark):
     assert sorted(got) == [(1, 0, 240, False), (2, 0, 240, True)]
 
 
+def test_only_repeated_anchors_bring_spans(spark, monkeypatch):
+    rng = random.Random(77)
+    plain = lambda n: " ".join(prose(rng, n).replace(".", "").split())
+    passage = plain(40)
+    rows = [(1, plain(90) + " " + passage + " " + plain(90)), (2, plain(120) + " " + passage)]
+    rows += [(i, plain(200)) for i in range(3, 40)]
+    written, kept = {}, paragraphs.materialize
+
+    def seen(table, label):
+        out = kept(table, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(paragraphs, "materialize", seen)
+    # A full filter lets every anchor pass, as it does over a large corpus.
+    full = lambda ids, slot: np.full(paragraphs.FILTER_BITS // 64, -1)
+    monkeypatch.setattr(paragraphs, "id_filter", full)
+    got = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {(r.doc_id, r.removed) for r in got} == {(1, False), (2, True)} and {r.n_words for r in got} == {40}
+    assert written["spans"] <= 2 * (40 + 2 * paragraphs.REACH)
+
+
+def test_passages_over_several_batches(spark):
+    rng = random.Random(78)
+    rows = [(d, r, s, rng.choice([6, 20]), rng.randrange(9), rng.randrange(5))
+            for d in range(6) for r in (0, 1) for s in rng.sample(range(300), 30) for _ in range(2)]
+    rng.shuffle(rows)
+    whole = paragraphs._merged([np.array(x) for x in zip(*rows)])
+    rows.sort(key=lambda r: r[0])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(paragraphs.PLACES, r)) for r in rows[i:i + 7]]) for i in range(0, len(rows), 7)]
+    for once in (1, 100, 1 << 18):
+        paragraphs.PLACES_AT_ONCE, before = once, paragraphs.PLACES_AT_ONCE
+        try:
+            assert [r for b in paragraphs._passages(iter(batches)) for r in b.to_pylist()] == whole.to_pylist()
+        finally:
+            paragraphs.PLACES_AT_ONCE = before
+
+
 @pytest.mark.parametrize("edits", [0, 4])
 def test_passages_without_sentences_and_with_edits_are_found(spark, edits):
     rng = random.Random(18 + edits)
