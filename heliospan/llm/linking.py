@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliospan.llm.common import materialize
@@ -54,8 +54,8 @@ def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
 def link_classes(classes: DataFrame, banding: Banding, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Verified links (u, v) that join all similar classes into their components.
 
-    ``classes`` has rep, n (set size), bands, the bit and the parity columns. Every class is
-    compared with the smallest class it shares a bucket with, then with the smallest
+    ``classes`` has rep, n (set size), bands, the bit and the parity columns; a class may
+    stand in several rows, and counts once in a bucket. Every class is compared with the smallest class it shares a bucket with, then with the smallest
     of each bucket that is in another component. Last, in buckets that still hold
     several components, the members outside the largest one are compared with
     members of other components. A pair in one component is never compared again,
@@ -64,10 +64,12 @@ def link_classes(classes: DataFrame, banding: Banding, verified: Callable[[DataF
     not made into rows. ``verified`` keeps the pairs that are similar on full sets.
     """
     marks = bit_columns(banding) + parity_columns(banding)
-    facts = materialize(classes.select("rep", "n", *marks).dropDuplicates(["rep"]), "facts")
     entries = classes.select("rep", F.explode("bands").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
-    crowded = materialize(entries.join(hubs.select("key", "hub"), "key"), "crowded")
+    bucket = Window.partitionBy("key")
+    entries = entries.select("key", "rep", F.min("rep").over(bucket).alias("hub"), F.max("rep").over(bucket).alias("top"))
+    crowded = materialize(entries.filter("hub < top").select("key", "rep", "hub").distinct(), "crowded")
+    facts = classes.select("rep", "n", *marks).join(crowded.select("rep").distinct(), "rep", "left_semi")
+    facts = materialize(facts.dropDuplicates(["rep"]), "facts")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         both = pairs.join(_prefixed(facts, "a_"), F.col("u") == F.col("a_rep")).join(

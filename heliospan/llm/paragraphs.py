@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliospan.llm import superminhash
@@ -40,7 +40,7 @@ REACH = 24
 
 UNITS = "doc_id BIGINT, start INT, n_words INT, mark BIGINT, banded BOOLEAN, line BOOLEAN"
 MARKS = bit_columns(BANDING) + parity_columns(BANDING)
-SKETCH = "mark BIGINT, n BIGINT, bands ARRAY<BIGINT>, " + ", ".join(f"{c} BIGINT" for c in MARKS)
+SKETCH = "mark BIGINT, doc_id BIGINT, n BIGINT, bands ARRAY<BIGINT>, " + ", ".join(f"{c} BIGINT" for c in MARKS)
 SETS = "mark BIGINT, n BIGINT, items ARRAY<BIGINT>"
 ANCHORS = "doc_id BIGINT, mark BIGINT"
 SPANS = "doc_id BIGINT, start INT, mark BIGINT"
@@ -101,44 +101,56 @@ def _units(batch: pa.RecordBatch) -> Iterator[dict]:
         }
 
 
-def _line_sets(block: Block, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Content hash of the banded lines, and their shingle sets."""
+def _line_sets(block: Block, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Content hash of the banded lines, their texts, and their shingle sets. Equal lines of a block count once."""
     line, _ = _cuts(block)
     first, size = _spans(line)
-    mark = _marks(block, first, size)
-    chosen = size >= MIN_BANDED
+    at = np.flatnonzero(size >= MIN_BANDED)
+    mark = _marks(block, first, size)[at]
     if keep is not None:
-        chosen &= maybe_in(keep, _slots(mark))
-    owner = np.repeat(np.where(chosen, np.cumsum(chosen) - 1, -1), size)
+        found = maybe_in(keep, _slots(mark))
+        at, mark = at[found], mark[found]
+    _, once = np.unique(mark, return_index=True)
+    once.sort()
+    at, mark = at[once], mark[once]
+    number = np.full(len(first), -1)
+    number[at] = np.arange(len(at))
+    owner = np.repeat(number, size)
     inside = owner >= 0
-    values, bounds = shingle_sets(block.hashes[inside], owner[inside], int(chosen.sum()))
-    return mark[chosen], values, bounds
+    values, bounds = shingle_sets(block.hashes[inside], owner[inside], len(at))
+    return mark, block.text[first[at]], values, bounds
 
 
 def _slots(mark: np.ndarray) -> np.ndarray:
     return mark & np.int64(FILTER_BITS - 1)
 
 
+def _slot(column: str) -> Column:
+    return F.col(column).bitwiseAND(FILTER_BITS - 1)
+
+
 def _sketches(batch: pa.RecordBatch) -> Iterator[dict]:
     """Sketch of every banded line of a batch, once per content."""
     for block in blocks(batch.column("text")):
         if not len(block.starts):
             continue
-        mark, values, bounds = _line_sets(block)
+        mark, text, values, bounds = _line_sets(block)
         signature = superminhash.signatures(values, bounds, BANDING.slots)
         bits = np.hstack([BANDING.bits(signature), BANDING.parities(values, bounds)])
         keys = BANDING.keys(signature)
-        _, once = np.unique(mark, return_index=True)
         yield {
-            "mark": mark[once], "n": np.diff(bounds)[once],
-            "bands": list_array(keys[once].reshape(-1), np.arange(len(once) + 1) * BANDING.bands),
-        } | {c: bits[once, i] for i, c in enumerate(MARKS)}
+            "mark": mark, "doc_id": batch.column("doc_id").slice(block.first, block.count).take(pa.array(text)),
+            "n": np.diff(bounds), "bands": list_array(keys.reshape(-1), np.arange(len(mark) + 1) * BANDING.bands),
+        } | {c: bits[:, i] for i, c in enumerate(MARKS)}
 
 
-def _full_sets(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[dict]:
-    for block in blocks(batch.column("text")):
+def _full_sets(batch: pa.RecordBatch, wanted: tuple[np.ndarray, np.ndarray]) -> Iterator[dict]:
+    """Full sets of the lines that pass the bitmap of contents, from the texts that pass the bitmap of ids."""
+    marks, ids = wanted
+    inside = maybe_in(ids, _slots(batch.column("doc_id").to_numpy(zero_copy_only=False)))
+    for block in blocks(batch.column("text").filter(pa.array(inside))) if inside.any() else ():
         if len(block.starts):
-            mark, values, bounds = _line_sets(block, wanted)
+            mark, _, values, bounds = _line_sets(block, marks)
             if len(mark):
                 yield {"mark": mark, "n": np.diff(bounds), "items": list_array(values.view(np.int64), bounds)}
 
@@ -258,12 +270,16 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _merged([np.concatenate(x) for x in zip(*held)])
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of line contents that are similar on full shingle sets."""
+def _verified(texts: DataFrame, places: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of line contents that are similar on full shingle sets.
+
+    ``places`` has a doc_id for every content (mark): only those texts are scanned again.
+    """
     wanted = pairs.select(F.col("u").alias("mark")).unionByName(pairs.select(F.col("v").alias("mark")))
-    shared = texts.sparkSession.sparkContext.broadcast(id_filter(wanted, F.col("mark").bitwiseAND(FILTER_BITS - 1)))
+    wanted = materialize(places.join(wanted.distinct(), "mark").groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "wanted-sets")
+    shared = texts.sparkSession.sparkContext.broadcast((id_filter(wanted, _slot("mark")), id_filter(wanted, _slot("doc_id"))))
     sets = over_batches(texts, _full_sets, SETS, lambda: shared.value)
-    sets = materialize(sets.join(wanted.distinct(), "mark", "left_semi").dropDuplicates(["mark"]), "sets")
+    sets = materialize(sets.join(wanted, "mark", "left_semi").dropDuplicates(["mark"]), "sets")
     left = sets.select(F.col("mark").alias("u"), F.col("n").alias("nu"), F.col("items").alias("su"))
     right = sets.select(F.col("mark").alias("v"), F.col("n").alias("nv"), F.col("items").alias("sv"))
     return pairs.join(left, "u").join(right, "v").filter(similar("su", "sv", "nu", "nv")).select("u", "v")
@@ -303,9 +319,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def _line_places(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places of repeated lines and sentences, and the lines (doc_id, start) to be removed."""
     units = materialize(over_batches(texts, _units, UNITS), "units")
-    lines = over_batches(texts.select("text"), _sketches, SKETCH)
-    classes = materialize(lines.withColumnRenamed("mark", "rep"), "sketches")
-    links = link_classes(classes, BANDING, lambda pairs: _verified(texts.select("text"), pairs))
+    classes = materialize(over_batches(texts, _sketches, SKETCH).withColumnRenamed("mark", "rep"), "sketches")
+    held = classes.select(F.col("rep").alias("mark"), "doc_id")
+    links = link_classes(classes, BANDING, lambda pairs: _verified(texts, held, pairs))
     similar_marks = materialize(components(links).withColumnsRenamed({"node": "mark"}), "similar")
     discard_written(classes)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliospan.llm import (
-    chat, components, cotraining, decontaminate, mixing, near_dedup, paragraphs, quality_rules, secrets, sharding,
+    chat, components, cotraining, decontaminate, linking, mixing, near_dedup, paragraphs, quality_rules, secrets, sharding,
     superminhash, toxicity,
 )
 from heliospan.llm.common import prepared
@@ -298,6 +298,40 @@ def test_only_repeated_anchors_bring_spans(spark, monkeypatch):
     assert written["spans"] <= 2 * (40 + 2 * paragraphs.REACH)
 
 
+def test_a_line_of_many_batches_counts_once_in_a_bucket(spark, monkeypatch):
+    rng = random.Random(79)
+    plain = lambda n: " ".join(prose(rng, n).replace(".", "").split())
+    common = plain(60).split(" ")
+    # Both share bands, and with 49 of 63 shingles they are similar.
+    other = common[:30] + ["edited", "twice"] + common[31:]
+    rows = [(i, " ".join(other if i % 2 else common) + "\n" + plain(30)) for i in range(24)]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartitionByRange(12, "doc_id")
+    written, kept = {}, linking.materialize
+
+    def seen(rows, label):
+        out = kept(rows, label)
+        written.setdefault(label, [tuple(r) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(linking, "materialize", seen)
+    got = paragraphs.repeated_passages(table).collect()
+    assert {r.doc_id for r in got} == set(range(24)) and [r.doc_id for r in got if not r.removed] == [0]
+    crowded = [(key, rep) for key, rep, _ in written["crowded"]]
+    assert len(crowded) == len(set(crowded)) and {rep for _, rep in crowded} == {r[0] for r in written["facts"]}
+    assert len(written["facts"]) == 2 and len(crowded) == 2 * len({key for key, _ in crowded})
+
+
+def test_full_sets_are_made_of_wanted_texts_only():
+    rng = random.Random(80)
+    texts = [prose(rng, 40).replace(".", "") for _ in range(3)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in enumerate([*texts, None, texts[1]])])
+    all_of, none_of = np.full(paragraphs.FILTER_BITS // 64, -1), np.zeros(paragraphs.FILTER_BITS // 64, np.int64)
+    some = none_of.copy()
+    some[0] = 0b11010
+    sets = lambda ids: [m for out in paragraphs._full_sets(batch, (all_of, ids)) for m in out["mark"].tolist()]
+    assert len(sets(all_of)) == 3 and len(sets(some)) == 1 and sets(some)[0] == sets(all_of)[1] and sets(none_of) == []
+
+
 def test_passages_over_several_batches(spark):
     rng = random.Random(78)
     rows = [(d, r, s, rng.choice([6, 20]), rng.randrange(9), rng.randrange(5))
