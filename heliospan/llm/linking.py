@@ -13,6 +13,7 @@ from heliospan.llm.components import components
 from heliospan.llm.superminhash import Banding
 
 MIN_PERCENT = 75
+DRAWN_HUBS = 3
 
 
 def similar(a: str, b: str, na: str, nb: str) -> Column:
@@ -55,11 +56,12 @@ def link_classes(classes: DataFrame, banding: Banding, verified: Callable[[DataF
     """Verified links (u, v) that join all similar classes into their components.
 
     ``classes`` has rep, n (set size), bands, the bit and the parity columns; a class may
-    stand in several rows, and counts once in a bucket. Every class is compared with the smallest class it shares a bucket with, then with the smallest
-    of each bucket that is in another component. Last, in buckets that still hold
+    stand in several rows, and counts once in a bucket. Every class is compared with the
+    smallest class it shares a bucket with, then with the smallest and ``DRAWN_HUBS`` drawn
+    ones of each bucket that are in another component. Last, in buckets that still hold
     several components, the members outside the largest one are compared with
     members of other components. A pair in one component is never compared again,
-    so a group of near copies costs about one comparison each. Sizes, signature bits
+    so a group of near copies costs a few comparisons each. Sizes, signature bits
     and parities are tested inside the join, so pairs that merely share a passage are
     not made into rows. ``verified`` keeps the pairs that are similar on full sets.
     """
@@ -84,11 +86,17 @@ def link_classes(classes: DataFrame, banding: Banding, verified: Callable[[DataF
     # One comparison per class, with the smallest class of all its buckets.
     first = crowded.filter("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))
     links = materialize(verified(plausible(first.select(F.col("hub").alias("u"), F.col("rep").alias("v")))), "links")
-    # Then with the smallest class of each bucket, where that is in another component.
+    # Then with the smallest class and the drawn ones of each bucket, where these are in another component.
     now = placed(links)
     tops = now.filter("rep = hub").select("key", F.col("part").alias("top_part")).distinct()
     stars = now.filter("rep <> hub").join(tops, "key").filter("part <> top_part")
-    stars = stars.select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    stars = stars.select(F.col("hub").alias("u"), F.col("rep").alias("v"))
+    # The smallest class of a group is the hub of most of its buckets, so others are drawn, in each bucket anew.
+    draws = now.select("key", "rep", "part", F.explode(F.array(*map(F.lit, range(DRAWN_HUBS)))).alias("draw"))
+    drawn = draws.groupBy("key", "draw").agg(F.min(F.struct(
+        F.xxhash64("key", "draw", "rep").alias("order"), "rep", "part")).alias("top"))
+    drawn = now.join(drawn.select("key", "top.rep", "top.part").toDF("key", "top", "top_part"), "key").filter("part <> top_part")
+    stars = stars.unionByName(drawn.select(F.least("top", "rep").alias("u"), F.greatest("top", "rep").alias("v"))).distinct()
     links = materialize(links.unionByName(verified(plausible(stars))), "links")
     # Then, in buckets that still hold several components, across these.
     now = placed(links)
