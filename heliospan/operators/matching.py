@@ -17,8 +17,13 @@ common word, where one frequent word would make the join quadratic. Instead:
   true score and every other subset a lower one, so the maximum is exact;
 * more shared words are sought by prefixes. With the words of every name sorted from
   rare to frequent, two names that share ``s`` words share ``PROBE`` of them among
-  their first ``n - s + PROBE``. What the index has found bounds ``s`` from below, so
-  a lead probes with the rarest words only that a better station must share.
+  their first ``n - s + PROBE``. What is found so far bounds ``s`` from below, so
+  a lead probes with the rarest words only that a better station must share. Pairs
+  are scored where they meet; only those that reach the bound leave the join.
+
+The first bounds are equal and containing names and, for names of many words, the
+earliest station of each probe of the rarest words. Subsets that cannot reach the bound
+are not made, so long names that resemble each other look up none of the index.
 
 Containment outranks overlap even where overlap would score higher. A contained
 station is therefore taken out of the overlap groups: if the earliest station
@@ -28,6 +33,8 @@ successors of contained stations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -42,7 +49,11 @@ from heliospan.session import materialize
 # words has n * (n * n + 5) / 6 subsets of that size.
 INDEXED = 3
 # Words that prefixes of two names must share to be compared.
-PROBE = 2
+PROBE = 3
+# Rarest words of a lead and of a station from which the first comparisons are drawn.
+SEEDED = 6, 8
+# Scores of equal fractions may differ by rounding once the bonus is taken off.
+SLACK = 1e-9
 # Successors are found within ranges of this many station ordinals, then across
 # ranges, so a large overlap group is never sorted in one task.
 ORDINAL_RANGE = 65536
@@ -136,73 +147,138 @@ def contained_pairs(lnames: DataFrame, snames: DataFrame) -> DataFrame:
 
 
 def _shared_words(lnames: DataFrame, snames: DataFrame) -> DataFrame:
-    """Words found on both sides, with their number of names."""
+    """Words found on both sides, with their number of names and a number of their own."""
 
     def words(rows: DataFrame, name: str) -> DataFrame:
         exploded = rows.select(F.explode(token_set(F.col(name))).alias("word"))
         return exploded.groupBy("word").agg(F.count("*").alias("n"))
 
     left, right = words(lnames, "lname"), words(snames, "sname").withColumnRenamed("n", "m")
-    return left.join(right, "word").select("word", (F.col("n") + F.col("m")).alias("freq"))
+    both = left.join(right, "word").select("word", (F.col("n") + F.col("m")).alias("freq"))
+    return materialize(both.withColumn("code", F.monotonically_increasing_id()), "words")
 
 
 def _with_shared_words(rows: DataFrame, name: str, shared: DataFrame) -> DataFrame:
-    """Names with their shared words, rarest first, and their full word count."""
+    """Names with the numbers of their shared words, rarest first, and their full word count."""
     exploded = rows.select(name, F.explode(token_set(F.col(name))).alias("word")).join(shared, "word")
-    words = F.transform(F.sort_array(F.collect_list(F.struct("freq", "word"))), lambda w: w["word"])
+    words = F.transform(F.sort_array(F.collect_list(F.struct("freq", "code"))), lambda w: w["code"])
     return exploded.groupBy(name).agg(words.alias("words")).withColumn("size", F.size(token_set(F.col(name))))
 
 
-def _subsets(rows: DataFrame) -> DataFrame:
-    """Subsets of the words of a name with at most ``INDEXED`` words."""
+def _least_bounds(leads: DataFrame) -> list[tuple[int, float]]:
+    """Least ``bound`` of the leads of each word count; at most as many rows as a name has words."""
+    return [(r["size"], r["bound"]) for r in leads.groupBy("size").agg(F.min("bound").alias("bound")).collect()]
+
+
+def _least_size(stations: DataFrame) -> int:
+    return stations.agg(F.min("size").alias("size")).first()["size"] or 1
+
+
+def _subsets(rows: DataFrame, others: list[tuple[Column, Column]]) -> DataFrame:
+    """Subsets of the words of a name with at most ``INDEXED`` words that may reach a bound.
+
+    ``others`` are word counts and bounds on the other side. A subset is left out where
+    its score is below the bound for each of them.
+    """
     # Both sides sort words the same way, so equal subsets give equal text.
     one = "transform(words, (a, i) -> struct(a AS subset, 1 AS shared))"
     two = ("flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), "
            "b -> struct(concat_ws(' ', a, b) AS subset, 2 AS shared))))")
     three = ("flatten(flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), (b, j) -> "
              "transform(slice(words, i + j + 3, size(words)), c -> struct(concat_ws(' ', a, b, c) AS subset, 3 AS shared))))))")
-    subsets = F.expr(f"concat({one}, {two}, {three})")
+
+    def may_win(shared: int) -> Column:
+        return F.array_max(F.array(*[
+            F.lit(shared) >= bound * F.least("size", F.greatest(size, F.lit(shared))) - F.lit(SLACK) for size, bound in others
+        ]))
+
+    subsets = F.concat(*[
+        F.when(may_win(i + 1), F.expr(text)).otherwise(F.expr("array()")) for i, text in enumerate((one, two, three))
+    ])
     return rows.withColumn("s", F.explode(subsets)).select(
         *[c for c in rows.columns if c != "words"], "s.subset", "s.shared"
     )
 
 
-def _probes(rows: DataFrame, name: str, *keep: str) -> DataFrame:
-    """Word pairs of a name with the rank of the more frequent one, where more than ``INDEXED`` words may be shared."""
-    # The least prefix rule: with INDEXED + 1 shared words, the last words of a name need not be looked at.
-    pairs = F.expr(
-        "flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), "
-        "(b, j) -> struct(concat_ws(' ', a, b) AS probe, i + j + 2 AS last))))"
+def _lead_subsets(leads: DataFrame, stations: DataFrame) -> DataFrame:
+    found = _subsets(leads, [(F.lit(_least_size(stations)), F.col("bound"))])
+    return found.drop("bound")
+
+
+def _station_subsets(stations: DataFrame, leads: DataFrame) -> DataFrame:
+    found = _subsets(stations, [(F.lit(n), F.lit(bound)) for n, bound in _least_bounds(leads)] or [(F.lit(1), F.lit(2.0))])
+    return found.withColumnRenamed("size", "station_size")
+
+
+def _probes(rows: DataFrame, limit: Column, *keep: str) -> DataFrame:
+    """Hashes of ``PROBE`` words among the first ``limit``, with the rank of the most frequent one.
+
+    Equal words give equal hashes; other names with an equal hash are only compared in vain.
+    """
+    triples = F.expr(
+        "flatten(flatten(transform(_head, (a, i) -> transform(slice(_head, i + 2, size(_head)), (b, j) -> "
+        "transform(slice(_head, i + j + 3, size(_head)), (c, k) -> struct(xxhash64(a, b, c) AS probe, i + j + k + 3 AS last))))))"
+    )
+    head = rows.withColumn("n", F.size("words")).withColumn("_head", F.slice("words", 1, F.greatest(limit, F.lit(0))))
+    return head.withColumn("p", F.explode(triples)).select(*keep, "size", "n", "p.probe", "p.last")
+
+
+def _overlap(pairs: DataFrame) -> DataFrame:
+    """Overlap score of name pairs that reach ``bound``; those where one name contains the other are left out."""
+    score = F.size(F.array_intersect("words", "m_words")) / F.least("size", "m_size")
+    near = pairs.withColumn("score", score).filter(F.col("score") >= F.col("bound") - F.lit(SLACK))
+    return near.filter(~F.contains("lname", "sname") & ~F.contains("sname", "lname"))
+
+
+def _seed_pairs(leads: DataFrame, stations: DataFrame) -> DataFrame:
+    """Overlap of each lead with the earliest station of each probe of its rarest words.
+
+    These are only some pairs: a good score among them spares the search of low ones.
+    """
+    right = _probes(stations, F.lit(SEEDED[1]), "sname", "ord", "words")
+    first = F.min(F.struct("ord", "sname", F.col("words").alias("m_words"), F.col("size").alias("m_size")))
+    left = _probes(leads.filter(F.size("words") > INDEXED), F.lit(SEEDED[0]), "lname", "words")
+    met = left.hint("merge").join(right.groupBy("probe").agg(first.alias("first")), "probe")
+    return _overlap(met.select("lname", "words", "size", "first.*", F.lit(0.0).alias("bound")))
+
+
+def _need(bound: Column, smaller: Column) -> Column:
+    """Shared words that a score of ``bound`` takes, and more than ``INDEXED``."""
+    return F.greatest(F.lit(INDEXED + 1), F.ceil(bound * smaller - F.lit(SLACK)).cast("int"))
+
+
+def _compared(leads: DataFrame, stations: DataFrame, *keys: str) -> DataFrame:
+    """Overlap of the pairs that share more than ``INDEXED`` words, agree in ``keys`` and reach the ``bound`` of the lead.
+
+    A score of ``bound`` takes ``need`` shared words, and those take ``PROBE`` of the
+    first ``n - need + PROBE`` words on either side. Pairs are scored where they meet
+    and are never moved; one that meets on several probes is there several times.
+    """
+    leads, stations = (rows.filter(F.size("words") > INDEXED) for rows in (leads, stations))
+    least_size, bounds = _least_size(stations), _least_bounds(leads)
+    lead_need = _need(F.col("bound"), F.least("size", F.lit(least_size)))
+    station_need = F.array_min(F.array(*[
+        _need(F.lit(bound), F.least("size", F.lit(n))) for n, bound in bounds or [(1, 0.0)]
+    ]))
+    left = _probes(leads, F.size("words") - lead_need + PROBE, "lname", "words", "bound", *keys)
+    right = _probes(stations, F.size("words") - station_need + PROBE, "sname", "words", "ord", *keys)
+    right = right.withColumnsRenamed({"words": "m_words", "size": "m_size", "n": "m", "last": "m_last"})
+    need = _need(F.col("bound"), F.least("size", "m_size"))
+    met = left.hint("merge").join(right, ["probe", *keys]).filter(
+        (F.col("last") <= F.col("n") - need + PROBE) & (F.col("m_last") <= F.col("m") - need + PROBE)
     )
-    wide = rows.filter(F.size("words") > INDEXED).withColumn("n", F.size("words")).withColumn("p", F.explode(pairs))
-    return wide.filter(F.col("p.last") <= F.col("n") - (INDEXED + 1) + PROBE).select(name, "size", "n", "p.probe", "p.last", *keep)
+    return _overlap(met.select("lname", "sname", "ord", "bound", "words", "m_words", "size", "m_size", *keys))
 
 
 def _prefix_pairs(
     lead_words: DataFrame, station_words: DataFrame, bounds: DataFrame, contained: DataFrame
 ) -> DataFrame:
-    """Overlap of the pairs that share more than ``INDEXED`` words and may reach the ``bound`` of the lead.
+    """Overlap of the pairs that share more than ``INDEXED`` words and reach the ``bound`` of the lead.
 
-    ``bounds`` has the least overlap score that can still win, by lead name. A
-    score of ``bound`` takes ``need`` shared words, and those take ``PROBE`` of the
-    first ``n - need + PROBE`` words on either side.
+    ``bounds`` has the least overlap score that can still win, by lead name. The pairs of
+    ``contained`` are left out; the names of a pair tell, so they are not joined.
     """
-    left = _probes(lead_words.join(bounds, "lname"), "lname", "bound")
-    right = _probes(station_words, "sname").select(
-        "sname", "probe", F.col("size").alias("m_size"), F.col("n").alias("m"), F.col("last").alias("m_last")
-    )
-    smaller = F.least("size", "m_size")
-    need = F.greatest(F.lit(INDEXED + 1), F.ceil(F.col("bound") * smaller - F.lit(1e-9)).cast("int"))
-    pairs = (
-        left.hint("merge").join(right, "probe").withColumn("need", need)
-        .filter((F.col("last") <= F.col("n") - F.col("need") + PROBE) & (F.col("m_last") <= F.col("m") - F.col("need") + PROBE))
-        .select("lname", "sname").distinct()
-    )
-    pairs = pairs.join(contained.select("lname", "sname"), ["lname", "sname"], "left_anti")
-    sets = token_set(F.col("lname")), token_set(F.col("sname"))
-    shared = F.size(F.array_intersect(*sets))
-    scored = pairs.withColumn("score", shared / F.least(F.size(sets[0]), F.size(sets[1])))
-    return scored.join(station_words.select("sname", "ord"), "sname")
+    return _compared(lead_words.join(bounds, "lname"), station_words).select("lname", "sname", "score", "ord")
 
 
 def _candidate(score: Column, ordinal: str = "ord") -> Column:
@@ -272,8 +348,10 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     shared = _shared_words(lnames, stations)
     lead_words = materialize(_with_shared_words(lnames, "lname", shared), "lead-words")
     station_words = materialize(_with_shared_words(stations, "sname", shared).join(stations, "sname"), "station-words")
-    lookups = _subsets(lead_words)
-    members = _subsets(station_words).withColumnRenamed("size", "station_size")
+
+    def best_of(*parts: DataFrame) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.groupBy("lname").agg(F.max("best").alias("best"))
 
     # Without the city: one best candidate per lead name.
     equal = lnames.join(stations, F.col("lname") == F.col("sname")).select(
@@ -282,23 +360,26 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     holding = contained.groupBy("lname").agg(F.min("ord").alias("ord")).select(
         "lname", _candidate(F.lit(schemas.CONTAINED_SCORE)).alias("best")
     )
-    plain = equal.unionByName(holding).unionByName(_overlap_base(lookups, members, contained.select("lname", "ord")))
-    plain = materialize(plain.groupBy("lname").agg(F.max("best").alias("best")), "indexed")
-    # A city in the station name may lift a lower overlap above what is found so far.
-    in_a_city = keys.groupBy("lname").agg(F.max(F.col("city_key") != "").alias("lifted"))
-    bounds = plain.join(in_a_city, "lname").select(
-        "lname", (F.col("best.score") - F.when(F.col("lifted"), schemas.CITY_BONUS).otherwise(0.0)).alias("bound")
+    seeds = _seed_pairs(lead_words, station_words).select("lname", _candidate(F.col("score")).alias("best"))
+    plain = materialize(best_of(equal, holding, seeds), "seeded")
+    # What is found so far bounds the scores that are still sought.
+    bound = F.coalesce(F.col("best.score"), F.lit(0.0)).alias("bound")
+    seeded = lead_words.join(plain, "lname", "left").select(*lead_words.columns, bound)
+    lookups, members = _lead_subsets(seeded, station_words), _station_subsets(station_words, seeded)
+    plain = materialize(best_of(plain, _overlap_base(lookups, members, contained.select("lname", "ord"))), "indexed")
+    wide = _prefix_pairs(lead_words, station_words, plain.select("lname", bound), contained)
+    plain = materialize(best_of(plain, wide.select("lname", _candidate(F.col("score")).alias("best"))), "plain")
+
+    # With the city in the station name: one best candidate per name and city, where the bonus may lift it above.
+    lifted = keys.filter("city_key <> ''").join(plain, "lname").select(
+        "lname", "city_key", (F.col("best.score") - F.lit(schemas.CITY_BONUS)).alias("bound")
     )
-    wide = materialize(_prefix_pairs(lead_words, station_words, bounds, contained), "prefix-pairs")
-    plain = plain.unionByName(wide.select("lname", _candidate(F.col("score")).alias("best")))
-    plain = plain.groupBy("lname").agg(F.max("best").alias("plain"))
-
-    # With the city in the station name: one best candidate per name and city.
-    city_members = members.hint("merge").join(in_city, "sname").groupBy("subset", "station_size", "city_key").agg(
+    city_leads = materialize(lifted.join(lead_words, "lname"), "city-leads")
+    city_stations = materialize(station_words.join(in_city, "sname"), "city-stations")
+    city_members = _station_subsets(city_stations, city_leads).groupBy("subset", "station_size", "city_key").agg(
         F.min("ord").alias("ord")
     )
-    city_overlap = keys.filter("city_key <> ''").join(lookups.hint("merge"), "lname").hint("merge").join(
-        city_members, ["subset", "city_key"])
+    city_overlap = _lead_subsets(city_leads, city_stations).hint("merge").join(city_members, ["subset", "city_key"])
     city_holding = contained.join(in_city, "sname").groupBy("lname", "city_key").agg(F.min("ord").alias("ord"))
 
     def with_city(rows: DataFrame, score: Column) -> DataFrame:
@@ -307,8 +388,9 @@ def name_candidates(names: DataFrame, stations: DataFrame) -> DataFrame:
     boosted = with_city(city_overlap, _overlap_score()).unionByName(
         with_city(city_holding, F.lit(schemas.CONTAINED_SCORE))
     )
-    boosted = boosted.unionByName(with_city(wide.join(in_city, "sname"), F.col("score")))
+    boosted = boosted.unionByName(with_city(_compared(city_leads, city_stations, "city_key"), F.col("score")))
     boosted = boosted.groupBy("lname", "city_key").agg(F.max("best").alias("boosted"))
+    plain = plain.withColumnRenamed("best", "plain")
     city_only = in_city.join(stations, "sname").groupBy("city_key").agg(F.min("ord").alias("ord")).select(
         "city_key", _candidate(F.lit(schemas.CITY_BONUS)).alias("city_only")
     )

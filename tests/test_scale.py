@@ -13,6 +13,7 @@ from heliospan.functions import clock
 from heliospan.operators import matching, people, readings
 from heliospan.plans import pipelines
 from heliospan.sources import landed
+from test_matching import pair_score
 
 DAY_FIELDS = ("energy", "homeGridEnergy", "backUpEnergy", "backup2Energy", "homeLoadEnergy", "consumeEnergy", "gridPurchasedEnergy",
               "gridSellEnergy", "money", "batteryChargeEnergy", "batteryDischargeEnergy")
@@ -121,3 +122,39 @@ def test_exploded_names_are_not_broadcast(spark):
     pairs = matching._prefix_pairs(words, others, bounds, none)
     assert "SortMergeJoin [probe" in pairs._jdf.queryExecution().sparkPlan().toString()
     assert [(r.sname, r.score) for r in pairs.collect()] == [("a b c d x", 0.8)]
+
+
+def alike_names(n, size, last):
+    """Names of thirteen words, seven of them in all names."""
+    return [f"solar array brand b{i % 5} size s{i % size} lot l{i % 11} row r{i % 13} house h{i % 3} {last}" for i in range(n)]
+
+
+def test_names_that_share_most_words_write_no_pairs(spark, monkeypatch):
+    leads, stations = sorted(set(alike_names(150, 7, "roof"))), alike_names(60, 8, "plant")
+    written, write = {}, matching.materialize
+
+    def counted(rows, label):
+        written[label] = write(rows, label)
+        return written[label]
+
+    monkeypatch.setattr(matching, "materialize", counted)
+    rows = matching.name_candidates(
+        spark.createDataFrame([(n, "") for n in leads], "lname STRING, city_key STRING"),
+        spark.createDataFrame([(n, i) for i, n in enumerate(stations)], "sname STRING, ord BIGINT"),
+    ).collect()
+    best = {a: max((pair_score(a, b, ""), -i) for i, b in enumerate(stations)) for a in leads}
+    assert {r.lname: (round(r.score, 9), -r.ord) for r in rows} == {a: (round(s, 9), o) for a, (s, o) in best.items()}
+    # All 9,000 pairs share more than INDEXED words.
+    assert max(table.count() for table in written.values()) <= len(leads) + len(stations)
+
+
+def test_subsets_below_every_bound_are_not_made(spark):
+    words = [str(i) for i in range(14)]
+    leads = spark.createDataFrame([("low", words, 14, 0.0), ("high", words, 14, 0.9)], "lname STRING, words ARRAY<STRING>, size INT, bound DOUBLE")
+    long, short = (spark.createDataFrame([("s", words[:n], n, 1)], "sname STRING, words ARRAY<STRING>, size INT, ord BIGINT") for n in (12, 2))
+    count = lambda rows: sorted((r.lname, r["count"]) for r in rows.groupBy("lname").count().collect())
+    assert count(matching._lead_subsets(leads, long)) == [("low", 14 + 91 + 364)]
+    # A short station can be shared whole.
+    assert count(matching._lead_subsets(leads, short)) == [("high", 91 + 364), ("low", 14 + 91 + 364)]
+    high = leads.filter("bound > 0")
+    assert matching._station_subsets(long, high).count() == 0 and matching._station_subsets(short, high).count() == 1
