@@ -181,11 +181,11 @@ def _subsets(rows: DataFrame, others: list[tuple[Column, Column]]) -> DataFrame:
     its score is below the bound for each of them.
     """
     # Both sides sort words the same way, so equal subsets give equal text.
-    one = "transform(words, (a, i) -> struct(a AS subset, 1 AS shared))"
+    one = "transform(words, (a, i) -> struct(string(a) AS subset, 1 AS shared))"
     two = ("flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), "
-           "b -> struct(concat_ws(' ', a, b) AS subset, 2 AS shared))))")
+           "b -> struct(concat_ws(' ', string(a), string(b)) AS subset, 2 AS shared))))")
     three = ("flatten(flatten(transform(words, (a, i) -> transform(slice(words, i + 2, size(words)), (b, j) -> "
-             "transform(slice(words, i + j + 3, size(words)), c -> struct(concat_ws(' ', a, b, c) AS subset, 3 AS shared))))))")
+             "transform(slice(words, i + j + 3, size(words)), c -> struct(concat_ws(' ', string(a), string(b), string(c)) AS subset, 3 AS shared))))))")
 
     def may_win(shared: int) -> Column:
         return F.array_max(F.array(*[
